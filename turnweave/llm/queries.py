@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import sharding
+from . import mixing, sharding
 from .common import table
 
 QUERIES: dict = {}
@@ -14,3 +14,10 @@ def op1_sharding(spark, sf_dir):
 
 
 QUERIES["op1_sharding"] = op1_sharding
+
+
+def op10_mixing(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
+
+
+QUERIES["op10_mixing"] = op10_mixing
