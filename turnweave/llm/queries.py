@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, mixing, sharding, simhash
+from . import chat, decontam, mixing, quality, sharding, simhash
 from .common import table
 
 QUERIES: dict = {}
@@ -83,3 +83,59 @@ def op4_simhash(spark, sf_dir):
 
 
 QUERIES["op4_simhash"] = op4_simhash
+
+
+def op2_quality(spark, sf_dir):
+    judged = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def _quality_sql() -> str:
+    rules = " UNION ALL ".join(
+        f"SELECT '{r}' AS rule, {j} AS j, CAST({g} AS DOUBLE) AS cut" for r, (_, grid) in quality.RULES.items() for j, g in enumerate(grid)
+    )
+    values = "CASE rule " + " ".join(f"WHEN '{r}' THEN {m}" for r, (m, _) in quality.RULES.items()) + " END"
+    alpha = quality.MAX_REJECTION / len(quality.RULES)
+    return rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS text,
+    list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents
+), win AS (
+  SELECT doc_id, i, array_to_string(w[i : i + 4], ' ') AS v FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)
+), rep AS (
+  SELECT doc_id, count(DISTINCT p) AS n FROM (
+    SELECT doc_id, unnest(range(i, i + 5)) AS p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, v) AS c FROM win) WHERE c > 1) GROUP BY doc_id
+), m AS (
+  SELECT doc_id, stratum, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+    CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols, len(l) AS n_lines,
+    CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words
+  FROM d LEFT JOIN rep USING (doc_id)
+), f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m),
+rules AS ({rules}),
+lab AS (
+  SELECT f.*, q.quality = 1 AS good, substr(md5(CAST(doc_id AS VARCHAR) || '/holdout'), 1, 1) < '8' AS hold
+  FROM f JOIN (SELECT doc_id, min(quality) AS quality FROM labels WHERE quality IS NOT NULL GROUP BY doc_id) q USING (doc_id) WHERE NOT base_failed
+), k AS (
+  SELECT stratum, rule, j, cut, count(*) FILTER (hold AND good) AS n, count(*) FILTER (hold AND good AND x > cut) AS k,
+    count(*) FILTER (NOT hold AND NOT good AND x > cut) - {quality.COST} * count(*) FILTER (NOT hold AND good AND x > cut) AS gain
+  FROM (SELECT *, {values} AS x FROM lab, rules) GROUP BY stratum, rule, j, cut
+), p AS (
+  SELECT *, CASE WHEN k >= n * {alpha} THEN 1 ELSE list_sum(list_transform(range(0, k + 1), lambda i:
+    exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({alpha}) + (n - i) * ln(1 - {alpha})))) END AS tail
+  FROM k
+), ok AS (
+  SELECT *, bool_and(tail <= {quality.DELTA} / {len(quality.RULES)} / (SELECT count(DISTINCT stratum) FROM p)) OVER (PARTITION BY stratum, rule ORDER BY j) AS passed FROM p
+), best AS (
+  SELECT stratum, rule, arg_max(cut, gain * 100 - j) AS cut FROM ok WHERE passed AND gain > 0 GROUP BY stratum, rule
+), rej AS (
+  SELECT DISTINCT doc_id FROM (SELECT doc_id, {values} AS x, cut FROM f JOIN best USING (stratum) WHERE n_words > 0) WHERE x > cut
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM rej) AS kept
+FROM f
+"""
+
+
+QUERIES["op2_quality"] = op2_quality
+ORACLE_SQL["op2_quality"] = _quality_sql()
