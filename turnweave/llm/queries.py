@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, mixing, quality, sharding, simhash
+from . import anchors, chat, decontam, mixing, quality, sharding, simhash
 from .common import table
 
 QUERIES: dict = {}
@@ -139,3 +139,25 @@ FROM f
 
 QUERIES["op2_quality"] = op2_quality
 ORACLE_SQL["op2_quality"] = _quality_sql()
+
+
+def op6_anchors(spark, sf_dir):
+    return anchors.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op6_anchors"] = op6_anchors
+ORACLE_SQL["op6_anchors"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), win AS (
+  SELECT r, i, md5(array_to_string(w[i : i + 34], ' ')) AS v FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)
+), gone AS (
+  SELECT DISTINCT r, unnest(range(i, i + 35)) AS p FROM (SELECT *, count(*) OVER (PARTITION BY v) AS c FROM win) WHERE c > 1
+), one AS (
+  SELECT d.r, p, w[p] AS x FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS p FROM d) d
+), kept AS (
+  SELECT r, count(*) AS n, string_agg(x, ' ' ORDER BY p) AS t FROM one ANTI JOIN gone USING (r, p) GROUP BY r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""
