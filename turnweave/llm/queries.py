@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import anchors, chat, decontam, mixing, quality, sharding, simhash
+from . import anchors, chat, decontam, mixing, quality, sharding, simhash, substrings
 from .common import table
 
 QUERIES: dict = {}
@@ -161,3 +161,29 @@ WITH d AS (
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (r)
 """
+
+
+def op5_suffixes(spark, sf_dir):
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op5_suffixes"] = op5_suffixes
+ORACLE_SQL["op5_suffixes"] = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT doc_id, h, unnest(range(0, length(h) // 2)) AS i FROM d),
+win AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY v) AS least
+  FROM (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 100)) AS v FROM b WHERE 2 * i + 100 <= length(h))),
+hit AS (SELECT doc_id, i FROM win WHERE least < doc_id),
+mark AS (
+  SELECT b.doc_id, b.i, substr(b.h, 2 * b.i + 1, 2) AS x,
+    coalesce(max(hit.i) OVER (PARTITION BY b.doc_id ORDER BY b.i ROWS UNBOUNDED PRECEDING), -50) > b.i - 50 AS gone
+  FROM b LEFT JOIN hit ON b.doc_id = hit.doc_id AND b.i = hit.i
+), run AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS opens FROM mark),
+t AS (
+  SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (opens) AS n_spans, string_agg(x, '' ORDER BY i) FILTER (NOT gone) AS kept
+  FROM run GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM d LEFT JOIN t USING (doc_id)
+"""
