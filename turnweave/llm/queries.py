@@ -175,15 +175,16 @@ win AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY v) AS least
   FROM (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 100)) AS v FROM b WHERE 2 * i + 100 <= length(h))),
 hit AS (SELECT doc_id, i FROM win WHERE least < doc_id),
 mark AS (
-  SELECT b.doc_id, b.i, substr(b.h, 2 * b.i + 1, 2) AS x,
-    coalesce(max(hit.i) OVER (PARTITION BY b.doc_id ORDER BY b.i ROWS UNBOUNDED PRECEDING), -50) > b.i - 50 AS gone
-  FROM b LEFT JOIN hit ON b.doc_id = hit.doc_id AND b.i = hit.i
-), run AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS opens FROM mark),
-t AS (
-  SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (opens) AS n_spans, string_agg(x, '' ORDER BY i) FILTER (NOT gone) AS kept
-  FROM run GROUP BY doc_id
+  SELECT b.doc_id, b.i, coalesce(max(hit.i) OVER (PARTITION BY b.doc_id ORDER BY b.i ROWS UNBOUNDED PRECEDING), -50) > b.i - 50 AS gone
+  FROM (SELECT doc_id, i FROM b) b LEFT JOIN hit ON b.doc_id = hit.doc_id AND b.i = hit.i
+), run AS (SELECT doc_id, gone, min(i) AS lo, max(i) AS hi FROM (
+    SELECT *, i - row_number() OVER (PARTITION BY doc_id, gone ORDER BY i) AS k FROM mark) GROUP BY doc_id, gone, k
+), t AS (
+  SELECT doc_id, sum(hi - lo + 1) FILTER (gone) AS n_removed, count(*) FILTER (gone) AS n_spans,
+    string_agg(substr(h, 2 * lo + 1, 2 * (hi - lo + 1)), '' ORDER BY lo) FILTER (NOT gone) AS kept
+  FROM run JOIN d USING (doc_id) GROUP BY doc_id
 )
-SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
   sha256(unhex(coalesce(kept, ''))) AS kept_sha256
 FROM d LEFT JOIN t USING (doc_id)
 """
