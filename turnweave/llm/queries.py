@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import anchors, chat, decontam, mixing, quality, sharding, simhash, substrings
+from . import anchors, chat, decontam, mixing, pseudo, quality, sharding, simhash, substrings
 from .common import table
 
 QUERIES: dict = {}
@@ -188,3 +188,10 @@ SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_remo
   sha256(unhex(coalesce(kept, ''))) AS kept_sha256
 FROM d LEFT JOIN t USING (doc_id)
 """
+
+
+def op3_pseudo_likelihood(spark, sf_dir):
+    return pseudo.score(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op3_pseudo_likelihood"] = op3_pseudo_likelihood
