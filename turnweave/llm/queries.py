@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import anchors, chat, decontam, mixing, pseudo, quality, sharding, simhash, substrings
+from . import anchors, chat, decontam, extract, mixing, pseudo, quality, sharding, simhash, substrings
 from .common import table
 
 QUERIES: dict = {}
@@ -195,3 +195,10 @@ def op3_pseudo_likelihood(spark, sf_dir):
 
 
 QUERIES["op3_pseudo_likelihood"] = op3_pseudo_likelihood
+
+
+def op8_extraction(spark, sf_dir):
+    return extract.extract(table(spark, sf_dir, "pages"), columns=("page_id", "url"))
+
+
+QUERIES["op8_extraction"] = op8_extraction
