@@ -195,7 +195,7 @@ def _number(docs: DataFrame, vocabulary: np.ndarray, columns: list[str], text: s
                 sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h)])
                 for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
                     blobs.append(ids[a:b].tobytes())
-                    rounds.append(int(np.searchsorted(upto, int(sums[b] - sums[a]) * 0x9E3779B97F4A7C15 % 2**64 >> 61, "right")))
+                    rounds.append(int(np.searchsorted(upto, (int(sums[b]) - int(sums[a])) * 0x9E3779B97F4A7C15 % 2**64 >> 61, "right")))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(rounds, pa.int32()), pa.array(blobs, pa.binary())], names=[*columns, "__round", "__ids"])
 
     spark = docs.sparkSession

@@ -151,10 +151,10 @@ def _verdict(measured: DataFrame, cuts: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang", text: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` that the rules keep. Only measures of labelled documents are shuffled; the texts stay in
-    their tasks, where they are measured again to be judged."""
-    narrow = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{stratum}`").alias("lang"), F.col(f"`{text}`").alias("text"))
-    known = materialise(measure(narrow), "measures")
-    cuts = _usable(cutoffs(known, labels, "lang", **options))
-    carried = docs.select(F.col(f"`{stratum}`").alias("lang"), F.col(f"`{text}`").alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    return _verdict(measure(carried), cuts).filter("kept").select("row.*")
+    """The rows of ``docs`` that the rules keep. They are measured once and written with their measures to the shared
+    folder; only the measures of labelled documents are shuffled."""
+    carried = docs.select(
+        F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{stratum}`").alias("lang"), F.col(f"`{text}`").alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    )
+    measured = materialise(measure(carried), "measured-rows")
+    return _verdict(measured, _usable(cutoffs(measured.drop("row"), labels, "lang", **options))).filter("kept").select("row.*")

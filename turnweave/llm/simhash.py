@@ -181,6 +181,18 @@ def links(values: DataFrame, radius: int = 3, blocks: int | None = None, piece:
     return spread.repartition(*shard).sortWithinPartitions(*shard).mapInArrow(_forests(radius), "a long, b long").distinct()
 
 
+def _clusters(docs: DataFrame, doc_id: str, text: str, radius: int, width: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, body: a hash of the whole text, fp), and for each fp its component's root and smallest doc_id."""
+    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("body"), F.col(f"`{text}`").alias("text"))
+    marked = materialise(fingerprints(rows, width=width), "fingerprints")
+    values = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    roots = materialise(components(links(values, radius)), "roots")
+    owned = values.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    linked = owned.join(roots.select(F.col("node").alias("fp")), "fp", "left_semi")
+    ids = linked.groupBy("root").agg(F.min("least").alias("linked_id"))
+    return marked, materialise(owned.join(ids, "root", "left").select("fp", "root", F.coalesce("linked_id", "least").alias("component_id")), "named")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = 3, width: int = 3) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits) and component_id, the smallest doc_id reachable over
     links of at most ``radius`` bits.
@@ -188,20 +200,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Null or empty texts have fingerprint 0 and link like others. A null doc_id is never the smallest; a component of
     such alone has a null id. Repeated rows stay. Empty table: no rows.
     """
-    marked = materialise(fingerprints(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), width=width), "fingerprints")
-    values = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = materialise(components(links(values, radius)), "roots")
-    owned = values.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    linked = owned.join(roots.select(F.col("node").alias("fp")), "fp", "left_semi")
-    ids = linked.groupBy("root").agg(F.min("least").alias("linked_id"))
-    named = materialise(owned.join(ids, "root", "left").select("fp", F.coalesce("linked_id", "least").alias("component_id")), "named")
+    marked, named = _clusters(docs, doc_id, text, radius, width)
     return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one row of each component: that of the smallest doc_id (of several such rows, one). Rows without
-    doc_id stay only where their component has no id, all of them."""
-    found = near_duplicates(docs, **options)
-    keep = found.filter("doc_id = component_id").select("doc_id").distinct()
-    first = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return first.select(*docs.columns)
+def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = 3, width: int = 3) -> DataFrame:
+    """``docs`` with one row of each component: that of the smallest doc_id, null ids last; of several such rows, one."""
+    marked, named = _clusters(docs, doc_id, text, radius, width)
+    first = marked.join(named, "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "body")).alias("f"))
+    first = first.select(F.col("f.doc_id").alias("__first_id"), F.col("f.body").alias("__first_body"))
+    rows = docs.withColumn("__body", F.xxhash64(F.col(f"`{text}`")))
+    kept = rows.join(first, F.col(f"`{doc_id}`").eqNullSafe(F.col("__first_id")) & (F.col("__body") == F.col("__first_body")), "left_semi")
+    return kept.dropDuplicates([doc_id, "__body"]).select(*[F.col(f"`{c}`") for c in docs.columns])
