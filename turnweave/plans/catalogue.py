@@ -1,4 +1,378 @@
 """The registered queries and the SQL that must give the same rows."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import functions as F
+
+from ..functions import text as X
+from ..functions.times import format_offset
+from ..model import SECOND, DedupConfig, PlanConfig, SliceConfig
+from ..operators import dialog, intervals, overlap, planning
+from ..session import table
+from ..sinks import clean_line, quoted_line, segment_rows, transcript_json
+from ..sources.lines import parse_dialog
+from ..summary import fold, messages
+from .tables import EVENT_SQL, SPAN_SQL, TURN_SQL, event_segments, turns, user_spans
+
+QUERIES: dict[str, Callable] = {}
+ORACLE_SQL: dict[str, str] = {}
+#: Thresholds for the tables' scale: gaps of minutes and hours where recordings have seconds.
+DIALOG_GAP = 600 * SECOND
+HOUR = 3600 * SECOND
+SLICE = SliceConfig(pad_us=50_000, merge_gap_us=HOUR, target_us=600 * SECOND, overshoot_us=120 * SECOND, limit_us=900 * SECOND, inner_silence_us=6 * HOUR)
+PACK = SliceConfig(target_us=9000 * SECOND, overshoot_us=0, limit_us=48 * HOUR, inner_silence_us=6 * HOUR)
+PLAN = PlanConfig(target_tokens=200, max_tokens=220)
+# White space as DuckDB's regular expressions write it.
+WS = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+LABELS = {"user": "Guest", "assistant": "Host"}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+MERGED_SQL = f"""{EVENT_SQL}, f AS (
+  SELECT *, CASE WHEN lag(audio) OVER w = audio AND start_us - lag(end_us) OVER w <= {DIALOG_GAP} THEN 0 ELSE 1 END AS opens
+  FROM s WHERE text <> '' WINDOW w AS (PARTITION BY dir ORDER BY start_us, seg_no)
+), g AS (SELECT *, sum(opens) OVER (PARTITION BY dir ORDER BY start_us, seg_no) AS turn FROM f
+), m AS (
+  SELECT dir, CAST(turn AS BIGINT) AS turn, min(audio) AS audio, min(start_us) AS start_us, arg_max(end_us, (start_us, seg_no)) AS end_us,
+    string_agg(text, ' ' ORDER BY start_us, seg_no) AS text, count(*) AS n_segments FROM g GROUP BY dir, turn
+)"""
+
+
+@query(f"WITH {MERGED_SQL} SELECT * FROM m")
+def dialog_merge(spark, sf_dir):
+    return dialog.merge_turns(event_segments(spark, sf_dir), DIALOG_GAP)
+
+
+@query(f"WITH {MERGED_SQL} SELECT dir, audio, string_agg(text, ' ' ORDER BY turn) AS text, min(turn) AS first_turn FROM m GROUP BY dir, audio")
+def dialog_transcript(spark, sf_dir):
+    return dialog.transcripts(dialog_merge(spark, sf_dir))
+
+
+@query(f"""WITH {MERGED_SQL}, r AS (SELECT dir, audio, string_agg(text, ' ' ORDER BY turn) AS text, min(turn) AS n FROM m GROUP BY dir, audio)
+SELECT dir, '{{' || chr(10) || string_agg('  "' || audio || '": "' || text || '"', ',' || chr(10) ORDER BY n) || chr(10) || '}}' AS json FROM r GROUP BY dir""")
+def transcript_documents(spark, sf_dir):
+    return transcript_json(dialog_transcript(spark, sf_dir))
+
+
+@query(f"""WITH {MERGED_SQL}, q AS (SELECT * FROM m WHERE n_segments > 1)
+SELECT d.dir, turn, audio, start_us, end_us, text, n_segments FROM (SELECT DISTINCT dir FROM s) d LEFT JOIN q ON d.dir = q.dir""")
+def dialog_sessions(spark, sf_dir):
+    segments = event_segments(spark, sf_dir)
+    long = dialog.merge_turns(segments, DIALOG_GAP).filter("n_segments > 1")
+    return dialog.with_empty_dialogs(segments, long)
+
+
+PADDED_SQL = SPAN_SQL + """, tot AS (SELECT user_id, max(end_us) AS total FROM u GROUP BY user_id), p AS (
+  SELECT user_id, greatest(0, start_us - 50000) AS start_us, least(total, end_us + 50000) AS end_us FROM u JOIN tot USING (user_id))"""
+
+
+def _padded(spark, sf_dir):
+    spans = user_spans(spark, sf_dir)
+    totals = spans.groupBy("user_id").agg(F.max("end_us").alias("total"))
+    return intervals.pad(spans.join(totals, "user_id"), 50_000, "total").select("user_id", "start_us", "end_us")
+
+
+@query(f"WITH {PADDED_SQL} SELECT * FROM p")
+def interval_pad(spark, sf_dir):
+    return _padded(spark, sf_dir)
+
+
+def _merge_sql(source: str, gap: int, name: str) -> str:
+    return f"""{name}_f AS (SELECT *, CASE WHEN start_us - max(end_us) OVER (PARTITION BY user_id ORDER BY start_us, end_us ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) < {gap} THEN 0 ELSE 1 END AS opens FROM {source}
+), {name}_g AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY start_us, end_us ROWS UNBOUNDED PRECEDING) AS island FROM {name}_f
+), {name} AS (SELECT user_id, min(start_us) AS start_us, max(end_us) AS end_us FROM {name}_g GROUP BY user_id, island)"""
+
+
+@query(f"WITH {PADDED_SQL}, {_merge_sql('p', HOUR, 'm')} SELECT * FROM m")
+def interval_merge_close(spark, sf_dir):
+    return intervals.merge_close(_padded(spark, sf_dir), ["user_id"], HOUR)
+
+
+def _split_sql(source: str, limit: int, width: int, name: str) -> str:
+    return f"""{name} AS (SELECT user_id, k AS start_us, CASE WHEN e - b > {limit} THEN least(k + {width}, e) ELSE e END AS end_us FROM (
+  SELECT user_id, start_us AS b, end_us AS e, unnest(CASE WHEN end_us - start_us > {limit} THEN generate_series(start_us, end_us - 1, {width}) ELSE [start_us] END) AS k FROM {source}))"""
+
+
+@query(f"WITH {SPAN_SQL}, {_split_sql('u', 1200 * SECOND, 900 * SECOND, 'c')} SELECT * FROM c")
+def interval_split_long(spark, sf_dir):
+    return intervals.split_long(user_spans(spark, sf_dir), 1200 * SECOND, 900 * SECOND)
+
+
+@query(f"WITH {SPAN_SQL}, {_split_sql('u', 600 * SECOND, 600 * SECOND, 'c')} SELECT * FROM c")
+def vad_split(spark, sf_dir):
+    return intervals.split_long(user_spans(spark, sf_dir), 600 * SECOND)
+
+
+def _pack_sql(source: str, c: SliceConfig, name: str) -> str:
+    return f"""{name}_n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY start_us, end_us) AS rn FROM {source}
+), {name}_r AS (
+  SELECT user_id, rn, start_us AS b, start_us, end_us, end_us - start_us AS speech, 1 AS bin FROM {name}_n WHERE rn = 1
+  UNION ALL
+  SELECT n.user_id, n.rn, CASE WHEN x THEN n.start_us ELSE b END, n.start_us, n.end_us, CASE WHEN x THEN 0 ELSE speech END + n.end_us - n.start_us, bin + x::INT FROM (
+    SELECT n.*, r.b, r.speech, r.bin, n.start_us - r.end_us > {c.inner_silence_us} OR r.speech + n.end_us - n.start_us > {c.speech_cap_us} OR n.end_us - r.b > {c.limit_us} AS x
+    FROM {name}_r r JOIN {name}_n n ON n.user_id = r.user_id AND n.rn = r.rn + 1) n
+), {name} AS (SELECT user_id, min(start_us) AS start_us, arg_max(end_us, rn) AS end_us, CAST(sum(end_us - start_us) AS BIGINT) AS speech_us, count(*) AS n_spans FROM {name}_r GROUP BY user_id, bin)"""
+
+
+@query(f"WITH RECURSIVE {SPAN_SQL}, {_pack_sql('u', PACK, 'k')} SELECT * FROM k")
+def interval_pack_bins(spark, sf_dir):
+    return intervals.pack_bins(user_spans(spark, sf_dir), ["user_id"], PACK)
+
+
+def _half_even(n: str, d: int) -> str:
+    return f"(({n}) // {d} + CASE WHEN 2 * (({n}) % {d}) > {d} OR 2 * (({n}) % {d}) = {d} AND ({n}) // {d} % 2 = 1 THEN 1 ELSE 0 END)"
+
+
+def _clamp_sql(source: str, limit: int, name: str) -> str:
+    return f"""{name}_s AS (SELECT user_id, {_half_even('start_us * 2', 125)} AS a, greatest({_half_even('start_us * 2', 125)} + 1, {_half_even('end_us * 2', 125)}) AS z FROM {source}
+), {name} AS (SELECT user_id, k AS start_sample, least(k + {limit}, z) AS end_sample FROM (SELECT *, unnest(generate_series(a, z - 1, {limit})) AS k FROM {name}_s))"""
+
+
+SLICE_SQL = f"""{PADDED_SQL}, {_merge_sql('p', SLICE.merge_gap_us, 'm')}, {_split_sql('m', SLICE.limit_us, SLICE.target_us, 'c')}"""
+
+
+@query(f"WITH RECURSIVE {SLICE_SQL}, {_pack_sql('c', SLICE, 'k')}, {_clamp_sql('k', SLICE.limit_us * 16 // 1000, 'z')} SELECT * FROM z")
+def slice_pipeline(spark, sf_dir):
+    spans = user_spans(spark, sf_dir)
+    totals = spans.groupBy("user_id").agg(F.max("end_us").alias("total"))
+    return intervals.slice_speech(spans.join(totals, "user_id"), ["user_id"], SLICE, "total")
+
+
+@query(f"WITH {SPAN_SQL}, {_clamp_sql('u', 500 * 16000, 'z')} SELECT * FROM z")
+def interval_samples(spark, sf_dir):
+    return intervals.clamp_samples(intervals.spans_to_samples(user_spans(spark, sf_dir)), 500 * SECOND)
+
+
+def _offset_sql(us: str) -> str:
+    ms = _half_even(f"greatest({us}, 0)", 1000)
+    return f"printf('%02d:%02d:%02d.%03d', {ms} // 3600000, {ms} // 60000 % 60, {ms} // 1000 % 60, {ms} % 1000)"
+
+
+@query(f"WITH {EVENT_SQL} SELECT seg_no, {_offset_sql('start_us - 1704067200000000')} AS start, {_offset_sql('end_us - 1704067200000500')} AS end FROM s")
+def format_timestamp(spark, sf_dir):
+    s = event_segments(spark, sf_dir)
+    return s.select("seg_no", format_offset(F.col("start_us") - 1704067200000000).alias("start"), format_offset(F.col("end_us") - 1704067200000500).alias("end"))
+
+
+@query(f"WITH {EVENT_SQL} SELECT seg_no, audio, {_offset_sql('start_us')} AS start, {_offset_sql('end_us')} AS end, (end_us - start_us) / 1e6 AS duration, text FROM s")
+def segment_export(spark, sf_dir):
+    return segment_rows(event_segments(spark, sf_dir), "seg_no")
+
+
+_NAME_SQL = "CASE turn % 4 WHEN 0 THEN 'out/' || role || '.wav' WHEN 1 THEN upper(role) || '.MP3' WHEN 2 THEN 'guest' || conv_id || '.wav' ELSE '' END"
+
+
+@query(f"""WITH n AS (SELECT conv_id, turn, {_NAME_SQL} AS audio FROM conversations),
+p AS (SELECT *, regexp_extract(audio, '[^/]*$') AS name FROM n), q AS (SELECT *, regexp_replace(name, '\\.[^.]*$', '') AS stem FROM p)
+SELECT conv_id, turn, audio, CASE lower(stem) WHEN 'user' THEN 'Guest' WHEN 'assistant' THEN 'Host' ELSE coalesce(nullif(stem, ''), nullif(name, ''), 'audio') END AS speaker FROM q""")
+def speaker_label(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.expr(_NAME_SQL).alias("audio"))
+    return rows.withColumn("speaker", dialog.speaker_label(F.col("audio"), LABELS))
+
+
+@query(ORACLE_SQL["speaker_label"])
+def speaker_label_joined(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.expr(_NAME_SQL).alias("audio"))
+    labels = spark.createDataFrame(list(LABELS.items()), "key string, label string")
+    return dialog.label_speakers(rows, labels)
+
+
+@query(f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, greatest(n_chars, 0) * 250000 AS us FROM documents),
+w AS (SELECT *, len(list_filter(string_split_regex(text, '{WS}+'), lambda x: x <> '')) AS n_words, greatest(us, 0.001) AS d FROM d)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, text <> '' AND (n_words * 1e6 >= d OR length(text) * 1e6 >= 4.5 * d) AS dense FROM w""")
+def text_density(spark, sf_dir):
+    text = F.coalesce("text", F.lit(""))
+    dense = X.is_dense(text, F.greatest("n_chars", F.lit(0)) * 250_000, DedupConfig(min_chars_per_s=4.5))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(X.words(text)).cast("long").alias("n_words"), dense.alias("dense"))
+
+
+@query(f"""SELECT doc_id, array_to_string(list_filter(string_split_regex(lower(regexp_replace(nfc_normalize(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}_\\s\\x0B\\x1C-\\x1F\\x{{85}}\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]', '', 'g')), '{WS}+'), lambda x: x <> ''), ' ') AS tokens FROM documents""")
+def text_norm_tokens(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(X.norm_tokens(F.coalesce("text", F.lit(""))), " ").alias("tokens"))
+
+
+@query()
+def dedup_tail(spark, sf_dir):
+    """Conversations whose turns each begin with the last turn's last 20 words."""
+    t = turns(spark, sf_dir)
+    from pyspark.sql import Window
+
+    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("index"))
+    words = X.words(F.coalesce(before, F.lit("")))
+    tail = F.array_join(F.slice(words, F.greatest(F.lit(1), F.size(words) - 19), F.lit(20)), " ")
+    rows = t.select("conv_id", F.col("index").alias("seg_no"), (F.col("index") * 20 * SECOND).alias("start_us"), ((F.col("index") + 1) * 20 * SECOND).alias("end_us"), F.trim(F.concat(tail, F.lit(" "), F.col("text"))).alias("text"))
+    return overlap.drop_overlaps(rows, ["conv_id"], DedupConfig(tail_chars=160))
+
+
+_SPACED = "regexp_replace(coalesce(text, ''), '([,.;:!?])', ' \\\\1 —', 'g')"
+
+
+@query(f"""WITH a AS (SELECT doc_id, {_SPACED} AS t FROM documents),
+b AS (SELECT doc_id, regexp_replace(t, '^{WS}+|{WS}+$', '', 'g') AS t FROM a), c AS (SELECT doc_id, regexp_replace(t, '{WS}+([,.;:!?…])', '\\1', 'g') AS t FROM b),
+d AS (SELECT doc_id, regexp_replace(t, '{WS}+—{WS}*', ' — ', 'g') AS t FROM c), e AS (SELECT doc_id, regexp_replace(t, '{WS}{{2,}}', ' ', 'g') AS t FROM d)
+SELECT doc_id, regexp_replace(t, '^{WS}+|{WS}+$', '', 'g') AS fixed FROM e""".replace("\\\\1", "\\1"))
+def detok_spaces(spark, sf_dir):
+    spaced = F.regexp_replace(F.coalesce("text", F.lit("")), "([,.;:!?])", " $1 —")
+    return table(spark, sf_dir, "documents").select("doc_id", X.fix_spaces(spaced).alias("fixed"))
+
+
+_CASES = ", ".join(f"'{c}'" for c in X.CASES)
+_MARKS = ", ".join(f"('{k}', '{v}')" for k, v in X.MARKS.items())
+
+
+@query(f"""WITH w AS (SELECT DISTINCT regexp_extract(text, '[A-Za-z]+') AS token FROM documents), m(mark, sign) AS (VALUES {_MARKS}), c AS (SELECT unnest([{_CASES}]) AS form)
+SELECT token, form || '_' || mark AS label, CASE form WHEN 'LOWER' THEN token WHEN 'UPPER' THEN upper(token[1]) || lower(token[2:]) ELSE upper(token) END
+  || CASE WHEN mark = 'TIRE' AND form <> 'LOWER' THEN ' ' ELSE '' END || sign AS shaped FROM w, m, c
+UNION ALL SELECT token, 'OTHER' AS label, token AS shaped FROM w""")
+def token_case(spark, sf_dir):
+    words = table(spark, sf_dir, "documents").select(F.regexp_extract("text", "[A-Za-z]+", 0).alias("token")).distinct()
+    labels = F.array(*[F.lit(f"{c}_{m}") for c in X.CASES for m in X.MARKS], F.lit("OTHER"))
+    return words.select("token", F.explode(labels).alias("label")).withColumn("shaped", X.marked(F.col("token"), F.col("label")))
+
+
+@query(f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), h AS (SELECT *, substr(t, 1, length(t) // 2) AS a, substr(t, length(t) // 2 + 1) AS b FROM d)
+SELECT doc_id, CAST(CASE WHEN length(t) < 2 THEN -1 WHEN regexp_matches(a, '{WS}') THEN length(regexp_extract(a, '(?s)^(.*){WS}[^\\s\\x0B\\x1C-\\x1F\\x{{85}}\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]*$', 1))
+  WHEN regexp_matches(b, '{WS}') THEN length(t) // 2 + length(regexp_extract(b, '(?s)^(.*?){WS}', 1)) ELSE -1 END AS INTEGER) AS at FROM h""")
+def text_split_index(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", X.split_index(F.coalesce("text", F.lit(""))).alias("at"))
+
+
+@query("SELECT doc_id, CAST(greatest(1, (length(coalesce(text, '')) + 3) // 4) AS BIGINT) AS tokens FROM documents")
+def token_count(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", X.token_count(F.coalesce("text", F.lit(""))).alias("tokens"))
+
+
+SIZES_SQL = f"""sz AS (SELECT *, greatest(1, -(-tokens // {PLAN.target_tokens}), least(-(-tokens // {PLAN.max_tokens}), tokens)) AS chunks FROM (
+  SELECT conv_id, count(*) AS n_segments, CAST(greatest(1, (sum(length(text)) + 3) // 4) AS BIGINT) AS tokens FROM t GROUP BY conv_id))"""
+SIZES_SQL = SIZES_SQL.replace(f"-(-tokens // {PLAN.target_tokens})", f"(tokens + {PLAN.target_tokens - 1}) // {PLAN.target_tokens}").replace(f"-(-tokens // {PLAN.max_tokens})", f"(tokens + {PLAN.max_tokens - 1}) // {PLAN.max_tokens}")
+
+
+@query(f"WITH {TURN_SQL}, {SIZES_SQL} SELECT conv_id, n_segments, tokens, CAST(chunks AS INTEGER) AS chunks FROM sz")
+def chunk_count(spark, sf_dir):
+    return planning.token_sizes(turns(spark, sf_dir), ["conv_id"], PLAN)
+
+
+def _plan_sql(count: str, overlap_: int, name: str) -> str:
+    """Windows by recursion: from a window's start to its end by speaker runs, then on."""
+    return f"""{name}_n AS (SELECT conv_id, speaker, row_number() OVER (PARTITION BY conv_id ORDER BY idx) - 1 AS pos, count(*) OVER (PARTITION BY conv_id) AS n FROM t
+), {name}_e AS (SELECT *, min(stop) OVER (PARTITION BY conv_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS run_end FROM (
+    SELECT *, CASE WHEN speaker IS DISTINCT FROM lead(speaker) OVER (PARTITION BY conv_id ORDER BY pos) OR pos = n - 1 THEN pos + 1 END AS stop FROM {name}_n)
+), {name}_z AS (SELECT conv_id, n, greatest(1, (n + c - 1) // c) AS size FROM (SELECT conv_id, n, ({count}) AS c FROM (SELECT conv_id, count(*) AS n FROM t GROUP BY conv_id) q)
+), {name}_r AS (
+  SELECT z.conv_id, 1 AS chunk, 0 AS a, e.run_end AS b, n, size FROM {name}_z z JOIN (SELECT conv_id, pos, run_end FROM {name}_e) e ON e.conv_id = z.conv_id AND e.pos = least(size, n) - 1
+  UNION ALL
+  SELECT r.conv_id, chunk + 1, nxt, e.run_end, r.n, size FROM (SELECT *, greatest(0, b - greatest(0, least({overlap_}, size - 1))) AS nxt FROM {name}_r WHERE b < n) r
+    JOIN (SELECT conv_id, pos, run_end FROM {name}_e) e ON e.conv_id = r.conv_id AND e.pos = least(nxt + size, r.n) - 1
+), {name} AS (SELECT conv_id, CAST(chunk AS BIGINT) AS chunk, CAST(a AS BIGINT) AS seg_from, CAST(b AS BIGINT) AS seg_to FROM {name}_r)"""
+
+
+@query(f"WITH RECURSIVE {TURN_SQL}, {_plan_sql('3', 1, 'p')} SELECT * FROM p")
+def chunk_plan(spark, sf_dir):
+    return planning.chunk_plan(turns(spark, sf_dir), ["conv_id"], 3, 1)
+
+
+@query(f"""WITH RECURSIVE {TURN_SQL}, {_plan_sql('3', 1, 'p')}, cnt AS (SELECT conv_id, (count(*) + 1) // 2 AS c FROM p GROUP BY conv_id),
+{_plan_sql('SELECT c FROM cnt WHERE cnt.conv_id = q.conv_id', 1, 'p2')} SELECT * FROM p2""")
+def chunk_plan_pass2(spark, sf_dir):
+    t = turns(spark, sf_dir)
+    return planning.second_pass(t, ["conv_id"], planning.chunk_plan(t, ["conv_id"], 3, 1), 1)
+
+
+@query()
+def chunk_plan_rotated(spark, sf_dir):
+    return planning.chunk_plan(turns(spark, sf_dir), ["conv_id"], 3, 1, offset=2)
+
+
+CHUNK_TEXT_SQL = f"""WITH RECURSIVE {TURN_SQL}, {_plan_sql('3', 1, 'p')}, o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY idx) - 1 AS pos FROM t)
+SELECT p.conv_id, chunk, count(*) AS n_segments, string_agg('[#' || CASE WHEN idx < 10000 THEN lpad(CAST(idx AS VARCHAR), 4, '0') ELSE CAST(idx AS VARCHAR) END || '] ' || speaker || ': ' || text, chr(10) ORDER BY idx) AS body
+FROM p JOIN o ON o.conv_id = p.conv_id AND pos >= seg_from AND pos < seg_to GROUP BY p.conv_id, chunk"""
+
+
+@query(CHUNK_TEXT_SQL)
+def chunk_text(spark, sf_dir):
+    t = turns(spark, sf_dir)
+    return planning.chunk_texts(t, planning.chunk_plan(t, ["conv_id"], 3, 1), ["conv_id"])
+
+
+_LINE = """CASE turn % 5 WHEN 0 THEN '{"speaker":"' || role || '","text":' || quoted || ',"start":"00:00:0' || (turn % 10) || '"}'
+  WHEN 1 THEN ' ' || role || ' : "' || flat || '" ' WHEN 2 THEN '{"audio":"' || role || '.wav","text":' || quoted || '}' WHEN 3 THEN flat ELSE '{"text":' || turn || '}' END"""
+
+
+@query(f"""WITH q AS (SELECT conv_id, turn, role, regexp_replace(text, '[^A-Za-z ,.]', '', 'g') AS flat FROM conversations),
+l AS (SELECT *, '"' || flat || '"' AS quoted FROM q), r AS (
+  SELECT conv_id, turn AS line_no, CASE turn % 5 WHEN 0 THEN role WHEN 1 THEN role ELSE role || '.wav' END AS speaker, regexp_replace(flat, '^ +| +$', '', 'g') AS text,
+    CASE WHEN turn % 5 = 2 THEN role || '.wav' END AS audio, CASE WHEN turn % 5 = 0 THEN '00:00:0' || (turn % 10) END AS start, CAST(NULL AS VARCHAR) AS stop
+  FROM l WHERE turn % 5 < 3 AND trim(flat) <> ''
+)
+SELECT conv_id, line_no, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY line_no) AS INTEGER) AS index, speaker, text, audio, start, stop AS "end" FROM r""")
+def dialog_lines_parse(spark, sf_dir):
+    flat = F.regexp_replace("text", "[^A-Za-z ,.]", "")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", flat.alias("flat"), F.concat(F.lit('"'), flat, F.lit('"')).alias("quoted"))
+    return parse_dialog(rows.select("conv_id", F.col("turn").alias("line_no"), F.expr(_LINE).alias("line")), ["conv_id"])
+
+
+@query(f"""WITH r AS (SELECT role AS audio, turn * 1000 AS start_us, conv_id * 1000 + turn AS line_no, text FROM conversations WHERE regexp_matches(text, '\\S')),
+a AS (SELECT audio, string_agg(text, ' ' ORDER BY start_us, line_no) AS t FROM r GROUP BY audio),
+b AS (SELECT audio, regexp_replace(t, '^{WS}+|{WS}+$', '', 'g') AS t FROM a), c AS (SELECT audio, regexp_replace(t, '{WS}+([,.;:!?…])', '\\1', 'g') AS t FROM b),
+d AS (SELECT audio, regexp_replace(t, '{WS}+—{WS}*', ' — ', 'g') AS t FROM c), e AS (SELECT audio, regexp_replace(t, '{WS}{{2,}}', ' ', 'g') AS t FROM d)
+SELECT audio, regexp_replace(t, '^{WS}+|{WS}+$', '', 'g') AS text FROM e""")
+def transcript_merge_cli(spark, sf_dir):
+    return dialog.punctuated_transcripts(_cli_rows(spark, sf_dir), "text")
+
+
+def _cli_rows(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select(F.col("role").alias("audio"), (F.col("turn") * 1000).alias("start_us"), (F.col("conv_id") * 1000 + F.col("turn")).alias("line_no"), "text")
+
+
+@query("SELECT count(*) AS total, count(*) FILTER (regexp_matches(text, '\\S')) AS non_empty FROM conversations")
+def transcript_counters(spark, sf_dir):
+    return dialog.counters(_cli_rows(spark, sf_dir), "text")
+
+
+@query(f"""WITH {TURN_SQL} SELECT conv_id, idx AS index, speaker || ':' || CASE WHEN sq <> '' THEN ' ' || sq ELSE '' END AS clean,
+  speaker || ': ' || CAST(to_json(text) AS VARCHAR) AS quoted FROM (SELECT *, trim(regexp_replace(text, '{WS}+', ' ', 'g')) AS sq FROM t)""")
+def clean_lines(spark, sf_dir):
+    t = turns(spark, sf_dir)
+    return t.select("conv_id", "index", clean_line(F.col("speaker"), F.col("text")).alias("clean"), quoted_line(F.col("speaker"), F.col("text")).alias("quoted"))
+
+
+@query("""WITH f AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '{"transcription":"","text":"t' || doc_id || '"}' WHEN 1 THEN '[{"text":"a' || doc_id || '"},"b"]' WHEN 2 THEN 'plain ' || doc_id ELSE '{"transcript":"x"}' END AS raw FROM documents)
+SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 't' || doc_id WHEN 1 THEN 'a' || doc_id || ' b' WHEN 2 THEN raw ELSE 'x' END AS text FROM f""")
+def recogniser_answers(spark, sf_dir):
+    raw = """CASE doc_id % 4 WHEN 0 THEN '{"transcription":"","text":"t' || doc_id || '"}' WHEN 1 THEN '[{"text":"a' || doc_id || '"},"b"]' WHEN 2 THEN 'plain ' || doc_id ELSE '{"transcript":"x"}' END"""
+    return table(spark, sf_dir, "documents").select("doc_id", X.recognised(F.expr(raw)).alias("text"))
+
+
+@query(f"WITH {EVENT_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY md5('42/' || seg_no), seg_no) AS k FROM s) SELECT user_id, seg_no FROM r WHERE k <= 3")
+def file_sample(spark, sf_dir):
+    return dialog.sample_files(event_segments(spark, sf_dir).select("user_id", "seg_no"), 3, "user_id", "seg_no")
+
+
+@query(f"""WITH {TURN_SQL} SELECT conv_id, idx AS index, CASE WHEN speaker IN ('user', 'assistant', 'system') THEN speaker ELSE 'user' END AS role,
+  trim(text, ' ') || CASE WHEN trim(text, ' ') <> '' THEN chr(10) ELSE '' END || 'end' AS content FROM t""")
+def message_content(spark, sf_dir):
+    part = lambda text: F.struct(F.lit("text").alias("type"), text.alias("text"))
+    m = F.array(F.struct(F.initcap("speaker").alias("role"), F.array(part(F.col("text")), part(F.lit("  ")), part(F.lit(" end "))).alias("content")))
+    one = F.get(messages.prepared_column(m), F.lit(0))
+    return turns(spark, sf_dir).select("conv_id", "index", one["role"].alias("role"), one["content"].alias("content"))
+
+
+@query(f"""WITH RECURSIVE {TURN_SQL}, {SIZES_SQL}, {_plan_sql('SELECT chunks FROM sz WHERE sz.conv_id = q.conv_id', 1, 'p')}, cnt AS (SELECT conv_id, (count(*) + 1) // 2 AS c FROM p GROUP BY conv_id),
+{_plan_sql('SELECT c FROM cnt WHERE cnt.conv_id = q.conv_id', 1, 'p2')}
+SELECT conv_id, CAST(0 AS INTEGER) AS pass, CAST(chunk AS INTEGER) AS chunk, '[dry-run] {messages.Prompts().guide}' AS summary, 'done' AS status FROM p
+UNION ALL SELECT conv_id, 1, CAST(chunk AS INTEGER), '[dry-run] {messages.Prompts().guide}', 'done' FROM p2
+UNION ALL SELECT DISTINCT conv_id, -1, 0, '[dry-run] [dry-run] {messages.Prompts().guide}', 'done' FROM p""")
+def summary_fold_dryrun(spark, sf_dir):
+    windows = fold.prompts_of(turns(spark, sf_dir), ["conv_id"], PLAN)
+    return fold.summarise(windows, ["conv_id"]).select("conv_id", "pass", "chunk", "summary", "status")
