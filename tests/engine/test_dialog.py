@@ -41,6 +41,9 @@ def test_random_turns_against_a_plain_fold(spark):
     rng = random.Random(1)
     rows = [(rng.choice("ABC"), s, s + rng.randrange(9), rng.choice(["", "x", "y", "z"])) for s in (rng.randrange(300) for _ in range(400))]
     assert shown(D.merge_turns(segments(spark, *rows))) == plain_turns(rows, 3)
+    frame = segments(spark, *rows).unionByName(segments(spark, *rows[:50], where=None))
+    for width in (1, 7, 1000):
+        assert sorted(map(str, D.merge_turns(frame, slice_us=width * SECOND).collect())) == sorted(map(str, D.merge_turns(frame).collect()))
 
 
 def test_empty_sessions(spark):

@@ -105,6 +105,7 @@ def test_random_spans_against_plain_folds(spark, seed):
     merged = I.merge_close(frame, ["k"], 5)
     packed = I.pack_bins(merged, ["k"], SliceConfig(target_us=50, overshoot_us=10, limit_us=70, inner_silence_us=8))
     got, bins = merged.collect(), packed.collect()
+    assert sorted(map(str, I.merge_close(frame, ["k"], 5, slice_us=rng.choice([1, 9, 60, 999])).collect())) == sorted(map(str, got))
     for k in ("a", "b", None):
         want = plain_merge([(s, e) for n, s, e in rows if n == k], 5)
         assert sorted((r.start_us, r.end_us) for r in got if r.k == k) == want

@@ -22,18 +22,19 @@ def _joined(text: str, order: Sequence[str], separator: str = " ") -> Column:
     return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, text))), lambda x: x[text]), separator)
 
 
-def merge_turns(segments: DataFrame, gap_us: int = DIALOG_GAP_US, key: str = "dir", order: Sequence[str] = ORDER) -> DataFrame:
+def merge_turns(segments: DataFrame, gap_us: int = DIALOG_GAP_US, key: str = "dir", order: Sequence[str] = ORDER, slice_us: int | None = None) -> DataFrame:
     """Adjacent segments of one ``audio`` at most ``gap_us`` apart become a turn: ``dir, turn, audio, start_us, end_us, text,
     n_segments``.
 
     Segments without text are left out before adjacency is judged. A turn ends where its last segment ends. No fold is
     needed: a segment opens a turn by its predecessor alone.
+
+    A session is one window partition. Where one may hold a great part of all rows, ``slice_us`` cuts it into slices of
+    time: only each slice's last segment and number of turns (a row a slice, combined before the shuffle) are put in
+    order over the session, and the rows themselves never meet in one task. ``order`` must then begin with ``start_us``.
     """
-    w = Window.partitionBy(key).orderBy(*order)
     said = segments.filter(F.length("text") > 0)
-    opens = (F.lag("audio").over(w).eqNullSafe(F.col("audio"))) & (F.col("start_us") - F.lag("end_us").over(w) <= gap_us)
-    flagged = said.withColumn("__opens", F.when(F.coalesce(opens, F.lit(False)), 0).otherwise(1))
-    numbered = flagged.withColumn("turn", F.sum("__opens").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    numbered = _numbered_by_slice(said, gap_us, key, order, slice_us) if slice_us else _numbered(said, gap_us, key, order)
     last = F.max_by("end_us", F.struct(*order))
     return (
         numbered.groupBy(key, "turn")
@@ -42,6 +43,34 @@ def merge_turns(segments: DataFrame, gap_us: int = DIALOG_GAP_US, key: str = "di
     )
 
 
+def _opens(before: Column, gap_us: int) -> Column:
+    """Whether a segment opens a turn; ``before`` is (audio, end_us) of the one before it, null for the first."""
+    goes_on = before["audio"].eqNullSafe(F.col("audio")) & (F.col("start_us") - before["end_us"] <= gap_us)
+    return F.when(F.coalesce(before.isNotNull() & goes_on, F.lit(False)), 0).otherwise(1)
+
+
+def _numbered(said: DataFrame, gap_us: int, key: str, order: Sequence[str]) -> DataFrame:
+    w = Window.partitionBy(key).orderBy(*order)
+    flagged = said.withColumn("__opens", _opens(F.lag(F.struct("audio", "end_us")).over(w), gap_us))
+    return flagged.withColumn("turn", F.sum("__opens").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def _numbered_by_slice(said: DataFrame, gap_us: int, key: str, order: Sequence[str], slice_us: int) -> DataFrame:
+    rows = said.withColumn("__slice", F.floor(F.col("start_us") / F.lit(slice_us)).cast("long"))
+    slices = Window.partitionBy("__key").orderBy("__at")
+    one = [F.col(key).alias("__key"), F.col("__slice").alias("__at")]
+    meets = lambda t: F.col(key).eqNullSafe(t["__key"]) & (F.col("__slice") == t["__at"])
+    lasts = rows.groupBy(*one).agg(F.max_by(F.struct("audio", "end_us"), F.struct(*order)).alias("__last"))
+    lasts = lasts.select("__key", "__at", F.lag("__last").over(slices).alias("__before"))
+    within = Window.partitionBy(key, "__slice").orderBy(*order)
+    before = F.coalesce(F.lag(F.struct("audio", "end_us")).over(within), F.col("__before"))
+    flagged = rows.join(lasts, meets(lasts)).drop("__key", "__at").withColumn("__opens", _opens(before, gap_us))
+    counts = flagged.groupBy(*one).agg(F.sum("__opens").alias("__n"))
+    counts = counts.select("__key", "__at", F.coalesce(F.sum("__n").over(slices.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__first"))
+    upto = F.sum("__opens").over(within.rowsBetween(Window.unboundedPreceding, 0))
+    return flagged.join(counts, meets(counts)).withColumn("turn", F.col("__first") + upto)
+
+
 def transcripts(turns: DataFrame, key: str = "dir") -> DataFrame:
     """Per recording: its turns' texts in order, and where it first speaks (``first_turn``)."""
     return turns.groupBy(key, "audio").agg(F.trim(_joined("text", ("turn",))).alias("text"), F.min("turn").alias("first_turn"))

@@ -23,9 +23,21 @@ def pad(spans: DataFrame, by_us: int, total: str | None = None) -> DataFrame:
     return spans.withColumns({"start_us": F.greatest(F.lit(0).cast("long"), F.col("start_us") - by_us), "end_us": F.least(F.col(total), end) if total else end})
 
 
-def merge_close(spans: DataFrame, keys: Sequence[str], gap_us: int) -> DataFrame:
+def merge_close(spans: DataFrame, keys: Sequence[str], gap_us: int, slice_us: int | None = None) -> DataFrame:
     """Spans less than ``gap_us`` apart become one: ``keys, start_us, end_us``. One shuffle; the group-by reuses the
-    window's partitioning."""
+    window's partitioning.
+
+    A recording is one window partition. With ``slice_us`` it is cut into slices of time: the spans of a slice are merged
+    by themselves, and only each slice's merged spans meet by recording, so a hot recording's rows don't meet in one task.
+    Merging what is merged gives the same spans, as a gap within a slice is judged again with the reach of earlier ones.
+    """
+    if slice_us:
+        cut = spans.select(*keys, "start_us", "end_us", F.floor(F.col("start_us") / F.lit(slice_us)).alias("__slice"))
+        spans = _merged(cut, [*keys, "__slice"], gap_us)
+    return _merged(spans, keys, gap_us)
+
+
+def _merged(spans: DataFrame, keys: Sequence[str], gap_us: int) -> DataFrame:
     order = Window.partitionBy(*keys).orderBy("start_us", "end_us")
     reach = F.max("end_us").over(order.rowsBetween(Window.unboundedPreceding, -1))
     opens = F.when(reach.isNull() | (F.col("start_us") - reach >= gap_us), 1).otherwise(0)
