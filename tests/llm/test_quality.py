@@ -34,7 +34,7 @@ def test_measures_against_a_plain_loop(spark):
     found = {r.doc_id: measured(r) for r in quality.measure(frame).collect()}
     small = {i: plain_measure(t) for i, t in enumerate(texts[:-1])}
     assert {i: found[i] for i in small} == small
-    assert found[len(texts) - 1][5:] == (9000 - 0 if False else found[len(texts) - 1][5], True)
+    assert found[len(texts) - 1][5:] == (9000 - 0, True)
     assert quality.measure(frame.limit(0)).count() == 0
 
 
@@ -46,22 +46,24 @@ def plain_cutoffs(rows, labels, strata_of):
     hold = lambda i: hashlib.md5(f"{i}/holdout".encode()).hexdigest()[0] < "8"
     known = {i: q for i, q in labels.items() if i in rows and not rows[i][6]}
     strata = sorted({strata_of[i] for i in known})
-    a, found = quality.MAX_REJECTION / len(quality.RULES), {}
+    a, found = quality.MAX_REJECTION, {}
     for s in strata:
         own = {i: q for i, q in known.items() if strata_of[i] == s}
-        good = [i for i in own if hold(i) and own[i] == 1]
-        for rule, (_, grid) in quality.RULES.items():
-            best = None
-            for cut in grid:
-                k, n = sum(values[rule](rows[i]) > cut for i in good), len(good)
-                tail = sum(comb(n, j) * a**j * (1 - a) ** (n - j) for j in range(k + 1))
-                if tail > quality.DELTA / len(quality.RULES) / len(strata):
-                    break
-                over = [own[i] for i in own if not hold(i) and values[rule](rows[i]) > cut]
-                gain = sum(q != 1 for q in over) - quality.COST * sum(q == 1 for q in over)
-                if gain > 0 and (best is None or gain > best[0]):
-                    best = (gain, cut)
-            found[s, rule] = best and best[1]
+        over = lambda c, ids: [i for i in ids if values[c[0]](rows[i]) > c[1]]
+        half = [[i for i, q in own.items() if hold(i) == h and (q == 1) == g] for h, g in ((False, True), (False, False), (True, True))]
+        cells = [(r, cut) for r, (_, grid) in quality.RULES.items() for cut in grid]
+        chain = sorted((c for c in cells if over(c, half[1])), key=lambda c: (len(over(c, half[0])), -len(over(c, half[1])), cells.index(c)))
+        best = None
+        for end in range(1, len(chain) + 1):
+            gone = [{i for c in chain[:end] for i in over(c, ids)} for ids in half]
+            k, n = len(gone[2]), len(half[2])
+            if sum(comb(n, j) * a**j * (1 - a) ** (n - j) for j in range(k + 1)) > quality.DELTA / len(strata):
+                break
+            gain = len(gone[1]) - quality.COST * len(gone[0])
+            if gain > 0 and (best is None or gain > best[0]):
+                best = (gain, end)
+        for rule in quality.RULES:
+            found[s, rule] = min((c for r, c in chain[: best[1] if best else 0] if r == rule), default=None)
     return found, values
 
 
@@ -80,7 +82,7 @@ def test_verdicts_against_exact_binomials(spark):
     marks = spark.createDataFrame([(i, q, 0) for i, q in labels.items()] + [(5, 1, 0), (None, 1, 0), (3, None, 0), (77777, 1, 0)], "doc_id long, quality int, toxic int")
     rows = {i: plain_measure(t) for i, t, _ in docs if i is not None and i < 9000}
     cuts, values = plain_cutoffs(rows, labels, strata)
-    assert cuts["en", "symbols"] is not None and cuts["few", "symbols"] is None  # too few labels to certify anything
+    assert any(cuts["en", r] for r in quality.RULES) and not any(cuts["few", r] for r in quality.RULES)  # too few labels to certify anything
     want = []
     for i, t, lang in docs:
         m = plain_measure(t)

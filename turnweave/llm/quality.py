@@ -2,18 +2,20 @@
 
 Each document is measured natively (words, symbols, repeated lines, repeated word windows). A rule rejects a document
 whose measure is above a cutoff. Cutoffs come from labelled documents, per stratum (language), in two halves by a hash of
-the id: the holdout half certifies a cutoff if the exact binomial tail P(Bin(n, alpha) <= k) of its k rejections among n
-good documents is at most delta divided by the number of rules and strata; cutoffs of a rule are tested from the loosest
-on and testing stops at the first that fails, which needs no further correction. Of the certified cutoffs the selection
-half picks the one that catches most bad documents less ``cost`` times the good ones; ties go to the loosest. With
-probability 1 - delta no stratum then loses more than ``max_rejection`` of its good documents to the rules.
+the id. The selection half puts all cutoffs of all rules in a chain: first those that reject fewest good documents, of
+these the ones that reject most bad ones. The holdout half, which had no say in that, tests the chain's beginnings one after
+the other: a beginning (all its cutoffs together) is certified if the exact binomial tail P(Bin(n, max_rejection) <= k)
+of its k rejections among n good documents is at most delta divided by the number of strata. Testing stops at the first
+that fails, so within a stratum nothing further is paid for many tests; over the strata delta is shared out. Of the certified
+beginnings the one is taken that catches most bad documents of the selection half less ``cost`` times the good ones; ties
+go to the shorter. With probability 1 - delta no stratum then loses more than ``max_rejection`` of its good documents.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, materialise
@@ -92,37 +94,37 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
 
 
 def cutoffs(measured: DataFrame, labels: DataFrame, stratum: str = "lang", max_rejection: float = MAX_REJECTION, delta: float = DELTA, cost: int = COST) -> DataFrame:
-    """One row per stratum: ``stratum`` and ``cut_<rule>``, null where no cutoff is certified or none catches anything.
+    """One row per stratum that has a cutoff: ``stratum`` and ``cut_<rule>``, null where none is certified or catches anything.
 
     ``labels``: doc_id, quality (1 good, 0 bad); a document with several labels is good if all say so; null labels are
-    left out. Null and empty strata are one.
+    left out. Null and empty strata are one. What is gathered per stratum has as many rows as there are cutoffs.
     """
     one = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     rows = measured.filter(~F.col("base_failed")).join(one, "doc_id")
     hold = F.substring(F.md5(F.concat(F.col("doc_id").cast("string"), F.lit("/holdout")).cast("binary")), 1, 1) < "8"
-    rows = rows.select(F.coalesce(F.col(f"`{stratum}`"), F.lit("")).alias("stratum"), hold.alias("hold"), (F.col("quality") == 1).alias("good"), *[F.expr(m).alias(r) for r, (m, _) in RULES.items()])
-    count = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("long")
-    counts = [count(F.col("hold") & F.col("good")).alias("n")]
-    for r, (_, grid) in RULES.items():
-        above = [F.col(r) > g for g in grid]
-        counts += [
-            F.array(*[count(F.col("hold") & F.col("good") & x) for x in above]).alias(f"hold_{r}"),
-            F.array(*[count(~F.col("hold") & ~F.col("good") & x) - cost * count(~F.col("hold") & F.col("good") & x) for x in above]).alias(f"gain_{r}"),
-        ]
-    by_stratum = materialise(rows.groupBy("stratum").agg(*counts), "strata")
-    strata = by_stratum.agg(F.greatest(F.count("*"), F.lit(1)).alias("strata"))  # one row
-    alpha = max_rejection / len(RULES)
-    tested = by_stratum.crossJoin(F.broadcast(strata))
-    picked = []
-    for r, (_, grid) in RULES.items():
-        passed, found = F.lit(True), []
-        for j, g in enumerate(grid):
-            passed = passed & (F.col(f"__p_{r}_{j}") <= delta / len(RULES) / F.col("strata"))
-            gain = F.get(F.col(f"gain_{r}"), F.lit(j))
-            found.append(F.when(passed & (gain > 0), F.struct(gain.alias("gain"), F.lit(-j).alias("loose"), F.lit(g).alias("cut"))))
-            tested = tested.withColumn(f"__p_{r}_{j}", binomial_tail(F.get(F.col(f"hold_{r}"), F.lit(j)), F.col("n"), alpha))
-        picked.append(F.array_max(F.array(*found))["cut"].alias(f"cut_{r}"))
-    return tested.select("stratum", *picked)
+    values = F.expr("array(" + ", ".join(m for m, _ in RULES.values()) + ")")
+    rows = materialise(rows.select(F.coalesce(F.col(f"`{stratum}`"), F.lit("")).alias("stratum"), hold.alias("hold"), (F.col("quality") == 1).alias("good"), values.alias("x")), "labelled")
+    # as SQL text: hundreds of column objects take the driver longer than the job
+    grid = [(r, g) for r, (_, cuts) in enumerate(RULES.values()) for g in cuts]
+    array = lambda form: F.expr("array(" + ", ".join(form.format(n=n, r=r, g=f"{g}D") for n, (r, g) in enumerate(grid)) + ")")
+    over = rows.groupBy("stratum").agg(array("count_if(NOT hold AND good AND x[{r}] > {g})").alias("good"), array("count_if(NOT hold AND NOT good AND x[{r}] > {g})").alias("bad"))
+    cells = over.select("stratum", F.explode(array("named_struct('no', {n}, 'r', {r}, 'cut', {g}, 'good', good[{n}], 'bad', bad[{n}])")).alias("c")).select("stratum", "c.*")
+    place = F.row_number().over(Window.partitionBy("stratum").orderBy("good", F.desc("bad"), "no"))
+    chains = materialise(cells.filter("bad > 0").withColumn("place", place).groupBy("stratum").agg(F.collect_list(F.struct("r", "cut", "place")).alias("chain")), "chains")
+    # the first cutoff of the chain that rejects a document; null if none does
+    first = F.array_min(F.transform("chain", lambda c: F.when(F.get("x", c["r"]) > c["cut"], c["place"])))
+    marked = rows.join(F.broadcast(chains) if chains.count() <= BROADCAST_STRATA else chains, "stratum", "left").withColumn("first", first)
+    sums = marked.groupBy("stratum", "first").agg(F.expr("count_if(hold AND good)").alias("k"), F.expr(f"count_if(NOT hold AND NOT good) - {cost} * count_if(NOT hold AND good)").alias("gain"))
+    whole = Window.partitionBy("stratum")
+    upto = whole.orderBy("first").rowsBetween(Window.unboundedPreceding, 0)
+    strata = sums.agg(F.greatest(F.count_distinct("stratum"), F.lit(1)).alias("strata"))  # one row
+    steps = sums.withColumn("n", F.sum("k").over(whole)).filter("first IS NOT NULL")
+    steps = steps.select("stratum", "first", "n", F.sum("k").over(upto).alias("k"), F.sum("gain").over(upto).alias("gain")).crossJoin(F.broadcast(strata))
+    holds = binomial_tail(F.col("k"), F.col("n"), max_rejection) <= delta / F.col("strata")
+    passed = steps.withColumn("passed", F.min(holds.cast("int")).over(upto)).filter("passed = 1 AND gain > 0")
+    ends = passed.groupBy("stratum").agg(F.max(F.struct("gain", (-F.col("first")).alias("last"))).alias("b")).select("stratum", (-F.col("b.last")).alias("last"))
+    used = ends.join(chains, "stratum").withColumn("used", F.filter("chain", lambda c: c["place"] <= F.col("last")))
+    return used.select("stratum", *[F.expr(f"array_min(transform(filter(used, c -> c.r = {r}), c -> c.cut))").alias(f"cut_{name}") for r, name in enumerate(RULES)])
 
 
 def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", text: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
@@ -138,7 +140,6 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", text: str =
 
 def _usable(cuts: DataFrame) -> DataFrame:
     cuts = materialise(cuts, "cutoffs")
-    cuts = cuts.filter(F.coalesce(*[f"cut_{r}" for r in RULES]).isNotNull())
     return F.broadcast(cuts) if cuts.count() <= BROADCAST_STRATA else cuts
 
 

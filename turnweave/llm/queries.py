@@ -91,11 +91,10 @@ def op2_quality(spark, sf_dir):
 
 
 def _quality_sql() -> str:
-    rules = " UNION ALL ".join(
-        f"SELECT '{r}' AS rule, {j} AS j, CAST({g} AS DOUBLE) AS cut" for r, (_, grid) in quality.RULES.items() for j, g in enumerate(grid)
-    )
+    grid = [(r, g) for r, (_, cuts) in quality.RULES.items() for g in cuts]
+    rules = " UNION ALL ".join(f"SELECT '{r}' AS rule, {no} AS no, CAST({g} AS DOUBLE) AS cut" for no, (r, g) in enumerate(grid))
     values = "CASE rule " + " ".join(f"WHEN '{r}' THEN {m}" for r, (m, _) in quality.RULES.items()) + " END"
-    alpha = quality.MAX_REJECTION / len(quality.RULES)
+    alpha = quality.MAX_REJECTION
     return rf"""
 WITH d AS (
   SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS text,
@@ -116,21 +115,26 @@ rules AS ({rules}),
 lab AS (
   SELECT f.*, q.quality = 1 AS good, substr(md5(CAST(doc_id AS VARCHAR) || '/holdout'), 1, 1) < '8' AS hold
   FROM f JOIN (SELECT doc_id, min(quality) AS quality FROM labels WHERE quality IS NOT NULL GROUP BY doc_id) q USING (doc_id) WHERE NOT base_failed
-), k AS (
-  SELECT stratum, rule, j, cut, count(*) FILTER (hold AND good) AS n, count(*) FILTER (hold AND good AND x > cut) AS k,
-    count(*) FILTER (NOT hold AND NOT good AND x > cut) - {quality.COST} * count(*) FILTER (NOT hold AND good AND x > cut) AS gain
-  FROM (SELECT *, {values} AS x FROM lab, rules) GROUP BY stratum, rule, j, cut
+), x AS (SELECT doc_id, stratum, good, hold, rule, no, cut, {values} > cut AS over FROM lab, rules),
+chain AS (
+  SELECT stratum, rule, cut, no, row_number() OVER (PARTITION BY stratum ORDER BY g, b DESC, no) AS place FROM (
+    SELECT stratum, rule, cut, no, count(*) FILTER (NOT hold AND good AND over) AS g, count(*) FILTER (NOT hold AND NOT good AND over) AS b
+    FROM x GROUP BY stratum, rule, cut, no) WHERE b > 0
+), mark AS (SELECT x.doc_id, x.stratum, any_value(good) AS good, any_value(hold) AS hold, min(place) FILTER (over) AS place FROM x LEFT JOIN chain USING (stratum, no) GROUP BY x.doc_id, x.stratum),
+step AS (
+  SELECT stratum, place, k, gain, sum(k) OVER (PARTITION BY stratum) AS n FROM (
+    SELECT stratum, place, count(*) FILTER (hold AND good) AS k, count(*) FILTER (NOT hold AND NOT good) - {quality.COST} * count(*) FILTER (NOT hold AND good) AS gain FROM mark GROUP BY stratum, place)
+), cum AS (
+  SELECT stratum, place, CAST(n AS BIGINT) AS n, CAST(sum(k) OVER w AS BIGINT) AS k, sum(gain) OVER w AS gain FROM step WHERE place IS NOT NULL WINDOW w AS (PARTITION BY stratum ORDER BY place)
 ), p AS (
   SELECT *, CASE WHEN k >= n * {alpha} THEN 1 ELSE list_sum(list_transform(range(0, k + 1), lambda i:
     exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({alpha}) + (n - i) * ln(1 - {alpha})))) END AS tail
-  FROM k
+  FROM cum
 ), ok AS (
-  SELECT *, bool_and(tail <= {quality.DELTA} / {len(quality.RULES)} / (SELECT count(DISTINCT stratum) FROM p)) OVER (PARTITION BY stratum, rule ORDER BY j) AS passed FROM p
-), best AS (
-  SELECT stratum, rule, arg_max(cut, gain * 100 - j) AS cut FROM ok WHERE passed AND gain > 0 GROUP BY stratum, rule
-), rej AS (
-  SELECT DISTINCT doc_id FROM (SELECT doc_id, {values} AS x, cut FROM f JOIN best USING (stratum) WHERE n_words > 0) WHERE x > cut
-)
+  SELECT *, bool_and(tail <= {quality.DELTA} / (SELECT count(DISTINCT stratum) FROM mark)) OVER (PARTITION BY stratum ORDER BY place) AS passed FROM p
+), best AS (SELECT stratum, arg_max(place, gain * 100 - place) AS last FROM ok WHERE passed AND gain > 0 GROUP BY stratum),
+used AS (SELECT stratum, rule, min(cut) AS cut FROM chain JOIN best USING (stratum) WHERE place <= last GROUP BY stratum, rule),
+rej AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, {values} AS v, cut FROM f JOIN used USING (stratum) WHERE n_words > 0) WHERE v > cut)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM rej) AS kept
 FROM f
