@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .functions.text import fix_spaces, marked, split_index
+from .functions.text import fix_spaces, marked
 from .model import VadConfig
 from .operators.intervals import split_long
 from .session import ship
@@ -155,6 +155,3 @@ def half(text: str) -> int:
     before = [m.start() for m in re.finditer(r"\s", text[:middle])]
     behind = re.search(r"\s", text[middle:])
     return -1 if len(text) < 2 else before[-1] if before else middle + behind.start() if behind else -1
-
-
-__all__ = ["EchoRecogniser", "EnergyVoiceActivity", "RulePunctuator", "half", "punctuate", "recognise", "speech_spans", "split_index"]

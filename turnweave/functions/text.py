@@ -64,19 +64,8 @@ def capitalised(token: Column) -> Column:
     return F.concat(F.left(first, F.lit(1)), F.lower(F.substring(first, 2, 9)), F.lower(F.substring(token, 2, 1 << 30)))
 
 
-def punctuated(token: Column, label: Column) -> Column:
-    """A token in the case and with the mark of its label; any other label leaves it."""
-    out = token
-    for case in CASES:
-        shaped = {"LOWER": token, "UPPER": capitalised(token), "UPPER_TOTAL": F.upper(token)}[case]
-        for name, mark in MARKS.items():
-            glue = " " if name == "TIRE" and case != "LOWER" else ""
-            out = F.when(label == f"{case}_{name}", F.concat(shaped, F.lit(glue + mark))).otherwise(out)
-    return out
-
-
 def marked(token: Column, label: Column) -> Column:
-    """As ``punctuated``, from a table of marks: one lookup instead of a branch a label."""
+    """A token in the case and with the mark of its label; any other label leaves it. One lookup, not a branch a label."""
     known = F.create_map(*[F.lit(x) for k, v in MARKS.items() for x in (k, v)])
     parts = F.regexp_extract(label, r"^(LOWER|UPPER_TOTAL|UPPER)_([A-Z]+)$", 1), F.regexp_extract(label, r"^(LOWER|UPPER_TOTAL|UPPER)_([A-Z]+)$", 2)
     mark = F.element_at(known, parts[1])
