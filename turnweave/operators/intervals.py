@@ -5,14 +5,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 from math import gcd
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.numbers import div
 from ..functions.times import to_samples
 from ..model import SliceConfig
-from .fold import ordered_fold
+from ..session import ship
 
 
 def pad(spans: DataFrame, by_us: int, total: str | None = None) -> DataFrame:
@@ -70,30 +72,41 @@ def pack_bins(spans: DataFrame, keys: Sequence[str], config: SliceConfig = Slice
 
     A bin closes where the silence before the next span is above ``inner_silence_us``, where its speech would get above
     the cap, or its length above the limit. The silence rule depends on neighbours alone, so it splits each recording into
-    islands by a window; the other two rules are a fold within islands, streamed.
+    islands by a window; the other two rules are a fold within islands, over columns of Arrow batches in the window's own
+    partitioning and order: one shuffle, and no recording is held in memory by the fold.
     """
     order = Window.partitionBy(*keys).orderBy("start_us", "end_us")
     gap = F.col("start_us") - F.lag("end_us").over(order)
     rows = spans.select(*keys, "start_us", "end_us", F.coalesce((gap > config.inner_silence_us).cast("int"), F.lit(0)).alias("__cut"))
-    speech_cap, limit = config.speech_cap_us, config.limit_us
-
-    def start(key):
-        return {"key": key}
-
-    def close(s):
-        if "start_us" in s:
-            yield dict(zip(keys, s["key"], strict=True)) | {c: s[c] for c in ("start_us", "end_us", "speech_us", "n_spans")}
-
-    def step(s, row):
-        a, b = row["start_us"], row["end_us"]
-        if "start_us" not in s or row["__cut"] or s["speech_us"] + b - a > speech_cap or b - s["start_us"] > limit:
-            yield from close(s)
-            s.update(start_us=a, end_us=b, speech_us=b - a, n_spans=1)
-        else:
-            s.update(end_us=b, speech_us=s["speech_us"] + b - a, n_spans=s["n_spans"] + 1)
-
+    rows = rows.withColumn("__first", F.lag("start_us").over(order).isNull().cast("int"))
     schema = T.StructType([f for f in rows.schema.fields if f.name in keys] + [T.StructField(c, T.LongType()) for c in ("start_us", "end_us", "speech_us", "n_spans")])
-    return ordered_fold(rows, keys, ["start_us", "end_us"], schema, start, step, close)
+    columns = [f.name for f in schema.fields]
+    arrow, cap, limit = to_arrow_schema(schema), config.speech_cap_us, config.limit_us
+    ship(spans.sparkSession)
+
+    def pack(batches):
+        open_ = None  # key values, start, end, speech, spans of the bin that may go on in the next batch
+        for batch in batches:
+            by = {n: batch.column(n).to_pylist() for n in batch.schema.names}
+            own = list(zip(*[by[k] for k in keys], strict=True))
+            out = []
+            for key, a, b, cut, first in zip(own, by["start_us"], by["end_us"], by["__cut"], by["__first"], strict=True):
+                if open_ is not None and not (first or cut or open_[3] + b - a > cap or b - open_[1] > limit):
+                    open_[2], open_[3], open_[4] = b, open_[3] + b - a, open_[4] + 1
+                else:
+                    if open_ is not None:
+                        out.append(open_)
+                    open_ = [key, a, b, b - a, 1]
+            yield _bins(out)
+        yield _bins([open_] if open_ is not None else [])
+
+    def _bins(found):
+        values = [list(v) for v in zip(*[b[0] for b in found], strict=True)] if found else [[] for _ in keys]
+        values += [[b[k] for b in found] for k in (1, 2, 3, 4)]
+        named = dict(zip([*keys, "start_us", "end_us", "speech_us", "n_spans"], values, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(named[c], f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+
+    return rows.sortWithinPartitions(*keys, "start_us", "end_us").mapInArrow(pack, schema)
 
 
 def clamp_samples(chunks: DataFrame, limit_us: int = 20_000_000, rate: int = 16_000) -> DataFrame:

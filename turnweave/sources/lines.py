@@ -5,7 +5,7 @@ from __future__ import annotations
 import configparser
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
@@ -18,10 +18,6 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", F.posexplode("lines").alias("line_no", "line"))
 
 
-def _kind(v: Column) -> Column:
-    return F.schema_of_variant(v)
-
-
 def parse_dialog(lines: DataFrame, keys: Sequence[str], order: str = "line_no", line: str = "line") -> DataFrame:
     """Accepted lines: ``keys, order, index`` (from 1 by dialog), ``speaker, text, audio, start, end``.
 
@@ -29,27 +25,26 @@ def parse_dialog(lines: DataFrame, keys: Sequence[str], order: str = "line_no",
     ``speaker`` and ``audio`` that isn't empty, Unknown if that is no string. A line that isn't JSON is cut at its first
     colon; one pair of quotes around its text goes. JSON that is no object is left out.
     """
-    raw = strip(F.coalesce(F.col(line), F.lit("")))
-    v = F.try_parse_json(raw)
-    rows = lines.select(*keys, order, raw.alias("raw"), v.alias("v")).filter("raw <> ''")
-    part = lambda k: F.try_variant_get("v", f"$.{k}", "variant")
-    value = lambda k: F.try_variant_get("v", f"$.{k}", "string")
-    is_object = F.coalesce(_kind(F.col("v")).startswith("OBJECT"), F.lit(False))
+    raw = lines.select(*keys, order, strip(F.coalesce(F.col(line), F.lit(""))).alias("raw"))
+    # each part is taken out once; as SQL text, as hundreds of column objects take the driver longer than the job
+    rows = raw.withColumn("v", F.try_parse_json("raw"))
+    parts = rows.selectExpr(*[f"`{k}`" for k in (*keys, order)], "raw", "v IS NULL AS plain", "coalesce(schema_of_variant(v) LIKE 'OBJECT%', false) AS object", *[f"schema_of_variant(try_variant_get(v, '$.{k}', 'variant')) AS {k}_kind" for k in ("text", "speaker", "audio")], *[f"try_variant_get(v, '$.{k}', 'string') AS {k}" for k in ("text", "speaker", "audio", "start", "end")])
+    empty = lambda k: F.expr(f"coalesce({k}_kind = 'VOID', true) OR coalesce({k} IN ('', 'false', '[]', '{{}}'), true) OR coalesce({k}_kind <> 'STRING' AND try_cast({k} AS double) = 0, false)")
+    name = lambda k: F.when(F.col(f"{k}_kind") == "STRING", F.coalesce(F.nullif(strip(F.col(k)), F.lit("")), F.lit("Unknown"))).otherwise("Unknown")
+    speaker = F.when(~empty("speaker"), name("speaker")).when(~empty("audio"), name("audio")).otherwise("Unknown")
     said = strip(F.regexp_replace("raw", r"(?s)^[^:]*:", ""))
-    said = F.when(said.startswith('"') & said.endswith('"'), F.when(F.length(said) > 1, said.substr(F.lit(2), F.length(said) - 2)).otherwise("")).otherwise(said)
-    empty = lambda k: F.coalesce(_kind(part(k)) == "VOID", F.lit(True)) | value(k).isin("", "false", "[]", "{}") | F.coalesce(~_kind(part(k)).startswith("STRING") & (value(k).try_cast("double") == 0), F.lit(False))
-    name = lambda k: F.when(_kind(part(k)) == "STRING", F.nullif(strip(value(k)), F.lit("")))
-    speaker = F.when(~empty("speaker"), F.coalesce(name("speaker"), F.lit("Unknown"))).when(~empty("audio"), F.coalesce(name("audio"), F.lit("Unknown"))).otherwise("Unknown")
-    plain = F.col("v").isNull()
-    found = rows.select(
+    bare = F.when(said.startswith('"') & said.endswith('"'), F.when(F.length(said) > 1, said.substr(F.lit(2), F.length(said) - 2)).otherwise("")).otherwise(said)
+    found = parts.select(
         *keys,
         order,
-        F.when(plain, F.coalesce(F.nullif(strip(F.substring_index("raw", ":", 1)), F.lit("")), F.lit("Unknown"))).otherwise(speaker).alias("speaker"),
-        F.when(plain & F.col("raw").contains(":"), strip(said)).when(is_object & (_kind(part("text")) == "STRING"), strip(value("text"))).alias("text"),
-        *[F.when(~plain, value(k)).alias(k) for k in ("audio", "start", "end")],
-    ).filter("text <> ''")
-    index = F.row_number().over(Window.partitionBy(*keys).orderBy(order)) if keys else F.row_number().over(Window.orderBy(order))
-    return found.select(*keys, order, index.alias("index"), "speaker", "text", "audio", "start", "end")
+        F.when(F.col("plain"), F.coalesce(F.nullif(strip(F.substring_index("raw", ":", 1)), F.lit("")), F.lit("Unknown"))).otherwise(speaker).alias("speaker"),
+        F.when(F.col("plain") & F.col("raw").contains(":"), strip(bare)).when(F.col("object") & (F.col("text_kind") == "STRING"), strip(F.col("text"))).alias("text"),
+        *[F.when(~F.col("plain"), F.col(k)).alias(k) for k in ("audio", "start", "end")],
+    )
+    # accepted lines are counted before the others go: a filter below the window would have all of this put into the scan twice
+    window = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    index = F.count_if(F.coalesce(F.col("text") != "", F.lit(False))).over(window).cast("int")
+    return found.withColumn("index", index).filter("text <> ''").select(*keys, order, "index", "speaker", "text", "audio", "start", "end")
 
 
 def read_segments(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
