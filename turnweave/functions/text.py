@@ -22,8 +22,12 @@ MARKS = {
 CASES = ("LOWER", "UPPER", "UPPER_TOTAL")
 
 
+#: All white space characters, for trimming without a regular expression.
+_BLANKS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+
+
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(text, F.lit(_BLANKS))
 
 
 def squeeze(text: Column) -> Column:
