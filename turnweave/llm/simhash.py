@@ -205,10 +205,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = 3, width: int = 3) -> DataFrame:
-    """``docs`` with one row of each component: that of the smallest doc_id, null ids last; of several such rows, one."""
+    """``docs`` with one row of each component: that of the smallest doc_id, null ids last; of several such rows, one.
+
+    The texts are shuffled once, by a key that is never null; repeated rows are dropped in the same partitioning.
+    """
     marked, named = _clusters(docs, doc_id, text, radius, width)
+    key = lambda c: F.coalesce(F.concat(F.lit("k"), c.cast("string")), F.lit("n"))
     first = marked.join(named, "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "body")).alias("f"))
-    first = first.select(F.col("f.doc_id").alias("__first_id"), F.col("f.body").alias("__first_body"))
-    rows = docs.withColumn("__body", F.xxhash64(F.col(f"`{text}`")))
-    kept = rows.join(first, F.col(f"`{doc_id}`").eqNullSafe(F.col("__first_id")) & (F.col("__body") == F.col("__first_body")), "left_semi")
-    return kept.dropDuplicates([doc_id, "__body"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    first = first.select(key(F.col("f.doc_id")).alias("__key"), F.col("f.body").alias("__body"))
+    rows = docs.withColumns({"__key": key(F.col(f"`{doc_id}`")), "__body": F.xxhash64(F.col(f"`{text}`"))})
+    kept = rows.join(first, ["__key", "__body"], "left_semi")
+    if not marked.groupBy("doc_id", "body").count().filter("count > 1").isEmpty():  # rows that repeat whole
+        kept = kept.dropDuplicates(["__key", "__body"])
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
