@@ -24,6 +24,8 @@ from .common import WORD, materialise
 WEIGHTS = (5, 2, 1)
 #: Most sources the driver plans for (about 100 MB of plan); more raise an error, none is dropped.
 MAX_SOURCES = 1_000_000
+#: Sources up to which their totals are broadcast: about 2 MB.
+BROADCAST_SOURCES = 10_000
 #: Hash buckets of a source: the unit in which its stream is numbered.
 BUCKETS = 4096
 
@@ -93,6 +95,38 @@ def _ranges_before(cuts: str, block: Column) -> Column:
     return F.size(F.filter(cuts, lambda c: c <= block))
 
 
+def _stream(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int, *more: Column) -> DataFrame:
+    """doc_id, source, size, and the place in the source's permuted stream: hash ``__h`` and its bucket ``__b``."""
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    name = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("n"))
+    return docs.select(
+        F.col(f"`{id_col}`").alias("doc_id"),
+        F.col(f"`{source_col}`").alias("source"),
+        F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
+        *more,
+        F.md5(F.concat(F.lit(f"{seed}/"), name, F.lit("/"), F.md5(text.cast("binary"))).cast("binary")).alias("__h"),
+    ).withColumn("__b", F.conv(F.substring("__h", 1, 3), 16, 10).cast("int"))
+
+
+def _plan(sums: DataFrame, weights: Sequence[float], share: float, most: int) -> tuple[list, list[Fraction]]:
+    """Totals per source in order, and their targets; one row per source reaches the driver."""
+    totals = sums.groupBy("source").agg(F.sum("n").alias("n")).limit(MAX_SOURCES + 1).collect()
+    if len(totals) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources")
+    totals.sort(key=lambda r: (r.source is None, (r.source or "").encode()))
+    return totals, targets([r.n for r in totals], [weights[i % len(weights)] for i in range(len(totals))], share, most)
+
+
+def _small(df: DataFrame, n_sources: int) -> DataFrame:
+    return F.broadcast(df) if n_sources <= BROADCAST_SOURCES else df
+
+
+def _starts(sums: DataFrame) -> DataFrame:
+    """Words of its source before each bucket, as ``__s2, __b2, __first, n``."""
+    earlier = Window.partitionBy("source").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    return sums.select(F.col("source").alias("__s2"), F.col("__b").alias("__b2"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("__first"), "n")
+
+
 def mix(
     docs: DataFrame,
     weights: Sequence[float] = WEIGHTS,
@@ -104,7 +138,6 @@ def mix(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
-    keep: bool = False,
 ) -> DataFrame:
     """One row per document: size, its source's size and target, words taken, and for each of the up to ``most`` times it
     is taken the output shard and place (``shard_1, order_1, shard_2, ...``; null where not taken). A document counts as
@@ -112,25 +145,10 @@ def mix(
 
     Weights go by the sources' code-point order, nulls last, repeating. Null text or none: size 0, taken 0. Repeated
     rows are rows of their own (they tie in the permutation and so are interchangeable). Same input, same result.
-    With ``keep`` the input row follows as struct ``row``; then ``docs`` is read twice.
     """
-    spark = docs.sparkSession
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(
-        F.col(id_col).alias("doc_id"),
-        F.col(source_col).alias("source"),
-        F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
-        *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if keep else []),
-        F.md5(F.concat(F.lit(f"{seed}/"), F.coalesce(F.col(id_col).cast("string"), F.lit("n")), F.lit("/"), F.md5(text.cast("binary"))).cast("binary")).alias("__h"),
-    ).withColumn("__b", F.conv(F.substring("__h", 1, 3), 16, 10).cast("int"))
-    if not keep:
-        rows = materialise(rows, "mix-rows")
-    sums = materialise(rows.groupBy("source", "__b").agg(F.sum("size").alias("n"), F.count("*").alias("docs")), "mix-sums")
-    totals = sums.groupBy("source").agg(F.sum("n").alias("n")).limit(MAX_SOURCES + 1).collect()
-    if len(totals) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    totals.sort(key=lambda r: (r.source is None, (r.source or "").encode()))
-    want = targets([r.n for r in totals], [weights[i % len(weights)] for i in range(len(totals))], share, most)
+    rows = materialise(_stream(docs, id_col, text_col, source_col, seed), "mix-rows")
+    sums = materialise(rows.groupBy("source", "__b").agg(F.sum("size").alias("n")), "mix-sums")
+    totals, want = _plan(sums, weights, share, most)
     words = [round(t) for t in want]
     plan = split_quotas([-(-w // block_words) for w in words], shards, seed)
     cuts, upto = [], [0] * len(totals)
@@ -138,17 +156,13 @@ def mix(
         upto = [a + b for a, b in zip(upto, quota, strict=True)]
         cuts.append(upto)
     schema = T.StructType([T.StructField("__s", T.StringType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField("__want", T.LongType()), T.StructField("__cuts", T.ArrayType(T.LongType()))])
-    by_source = spark.createDataFrame([(r.source, int(r.n), float(t), w, [c[i] for c in cuts]) for i, (r, t, w) in enumerate(zip(totals, want, words, strict=True))], schema)
-    if len(totals) <= 10_000:  # about 2 MB
-        by_source = F.broadcast(by_source)
-    earlier = Window.partitionBy("source").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select(F.col("source").alias("__s2"), F.col("__b").alias("__b2"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("__first"))
+    by_source = docs.sparkSession.createDataFrame([(r.source, int(r.n), float(t), w, [c[i] for c in cuts]) for i, (r, t, w) in enumerate(zip(totals, want, words, strict=True))], schema)
     within = Window.partitionBy("source", "__b").orderBy("__h", F.col("doc_id").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
     placed = (
         rows.withColumn("__at", F.coalesce(F.sum("size").over(within), F.lit(0)))
-        .join(starts, F.col("source").eqNullSafe(F.col("__s2")) & (F.col("__b") == F.col("__b2")))
+        .join(_starts(sums).drop("n"), F.col("source").eqNullSafe(F.col("__s2")) & (F.col("__b") == F.col("__b2")))
         .withColumn("__at", F.col("__at") + F.col("__first"))
-        .join(by_source, F.col("source").eqNullSafe(F.col("__s")), "left")
+        .join(_small(by_source, len(totals)), F.col("source").eqNullSafe(F.col("__s")), "left")
     )
     out, taken = [], F.lit(0).cast("long")
     for k in range(most):
@@ -158,14 +172,36 @@ def mix(
         shard = _ranges_before("__cuts", block)
         here = (F.col("size") > 0) & (begin < F.col("__want"))
         out += [F.when(here, shard).cast("int").alias(f"shard_{k + 1}"), F.when(here, F.xxhash64("__h", F.lit(k))).alias(f"order_{k + 1}")]
-    return placed.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), *out, *(["row"] if keep else []))
+    return placed.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), *out)
 
 
-def mix_rows(docs: DataFrame, **options) -> DataFrame:
+def mix_rows(
+    docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.5, most: int = 2, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **dealing
+) -> DataFrame:
     """The mix as rows with the columns of ``docs``: whole documents, each as often as a copy of it begins in the mix.
-    A document of no words is not taken."""
-    most = options.get("most", 2)
-    picked = mix(docs, keep=True, **options)
-    times = sum((F.when(F.col(f"shard_{k + 1}").isNotNull(), 1).otherwise(0) for k in range(most)), F.lit(0))
-    picked = picked.select("row", times.alias("times")).filter("times > 0")
-    return picked.select("row", F.explode(F.sequence(F.lit(1), "times"))).select("row.*")
+    A document of no words is not taken; rows that repeat whole are taken together. ``dealing``: options of ``mix`` for the
+    output shards, which don't change what is taken.
+
+    The texts are never shuffled. A source's stream is cut in a bucket of the permutation, so only the rows of that bucket
+    (one in ``BUCKETS``) are put in order to find the last hash that is taken; all rows are then judged where they are,
+    by bucket and hash. ``docs`` is read three times, so pass a table.
+    """
+    hashed = _stream(docs, id_col, text_col, source_col, seed)
+    sums = materialise(hashed.groupBy("source", "__b").agg(F.sum("size").alias("n")), "mix-sums")
+    totals, want = _plan(sums, weights, share, most)
+    schema = T.StructType([T.StructField("__s", T.StringType()), T.StructField("__k", T.IntegerType()), T.StructField("__left", T.LongType())])
+    left = [(r.source, k, min(round(t) - k * int(r.n), int(r.n))) for r, t in zip(totals, want, strict=True) for k in range(most)]
+    wanted = _small(docs.sparkSession.createDataFrame(left, schema), len(totals))
+    # the bucket that each copy of a stream ends in, and the words it still gives
+    ends = _starts(sums).join(wanted, F.col("__s2").eqNullSafe(F.col("__s"))).filter("__first < __left AND __left <= __first + n")
+    ends = materialise(ends.select(F.col("__s2").alias("__s"), "__k", F.col("__b2").alias("__end"), (F.col("__left") - F.col("__first")).alias("__rest")), "mix-ends")
+    inside = hashed.select("source", "__b", "__h", "size").join(_small(ends, len(totals)), F.col("source").eqNullSafe(F.col("__s")) & (F.col("__b") == F.col("__end")))
+    before = F.coalesce(F.sum("size").over(Window.partitionBy("__s", "__k").orderBy("__h").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    last = inside.withColumn("__before", before).filter("__before < __rest").groupBy("__s", "__k").agg(F.max("__h").alias("__last"))
+    marks = materialise(last.groupBy("__s").agg(F.sort_array(F.collect_list("__last")).alias("__lasts")), "mix-marks")
+    carried = _stream(docs, id_col, text_col, source_col, seed, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    judged = carried.join(_small(marks, len(totals)), F.col("source").eqNullSafe(F.col("__s")))
+    # the bucket leads the hash, so one comparison judges both
+    times = F.size(F.filter("__lasts", lambda h: F.col("__h") <= h))
+    picked = judged.filter("size > 0").select("row", times.alias("__times")).filter("__times > 0")
+    return picked.select("row", F.explode(F.sequence(F.lit(1), "__times"))).select("row.*")
