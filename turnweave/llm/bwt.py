@@ -14,6 +14,10 @@ from collections.abc import Sequence
 import numpy as np
 
 
+#: Symbols of 9 bits that one sort key holds.
+PACKED = 7
+
+
 class Shard:
     """Strings with their suffix order. ``text`` has symbols 1..256 for bytes and 0 for the mark behind each string."""
 
@@ -30,22 +34,41 @@ class Shard:
         self.transform[self.order == 0] = 0
 
     def _sorted(self, marks: np.ndarray) -> np.ndarray:
-        """Suffix array by doubling; marks rank by their string."""
+        """Suffix array by doubling from ``PACKED`` symbols on; marks rank by their string. Only suffixes that still tie are
+        sorted again."""
         n = len(self.text)
-        rank = self.text.astype(np.int64) + len(marks)
-        rank[marks] = np.arange(len(marks))
-        k = 1
+        symbol = self.text.astype(np.int64)
+        key = np.zeros(n, np.int64)
+        for k in range(PACKED):  # symbols up to the mark, which ends the comparison
+            key[: n - k] |= symbol[k:] << (9 * (PACKED - 1 - k))
+        after = marks[np.searchsorted(marks, np.arange(n))] if n else key
+        reach = after - np.arange(n)
+        short = reach < PACKED
+        key[short] &= -1 << (9 * (PACKED - 1 - reach[short]))
+        # a suffix with its mark among the packed symbols is told apart by its string; marks are below all symbols
+        order = np.argsort(key, kind="stable")
+        tie = np.where(short, np.searchsorted(marks, after), 0)
+        own, owner = key[order], tie[order]
+        new = np.concatenate([[True], (own[1:] != own[:-1]) | (owner[1:] != owner[:-1])]) if n else np.zeros(0, bool)
+        rank = np.empty(n, np.int64)
+        rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0)) if n else order
+        k = PACKED
         while True:
-            second = np.zeros(n, np.int64)
-            second[: n - k] = rank[k:] + 1
-            key = rank * (max(n, 257 + len(marks)) + 2) + second
-            order = np.argsort(key, kind="stable")
-            key = key[order]
-            new = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])]) if n else key
-            rank = np.empty(n, np.int64)
-            rank[order] = new
-            if not n or new[-1] == n - 1:
+            start = np.flatnonzero(new)
+            size = np.diff(np.append(start, n))
+            open_ = np.repeat(size > 1, size)
+            if not open_.any():
                 return order
+            at = np.flatnonzero(open_)
+            row = order[at]
+            # the suffix k further on exists: rows whose mark is nearer have settled
+            pair = rank[row] * n + rank[row + k]
+            again = np.argsort(pair, kind="stable")
+            row, pair = row[again], pair[again]
+            order[at] = row
+            first = np.concatenate([[True], pair[1:] != pair[:-1]])
+            new[at] = first
+            rank[row] = at[np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))]
             k *= 2
 
     def back(self) -> np.ndarray:
@@ -69,25 +92,24 @@ class Merged:
         base = np.concatenate([[0], np.cumsum([len(s.text) for s in shards])])
         n = int(base[-1])
         symbol = np.concatenate([s.transform for s in shards]) if shards else np.zeros(0, np.uint16)
-        back = np.concatenate([np.where(b >= 0, b + o, -1) for b, o in zip((s.back() for s in shards), base, strict=False)]).astype(np.int32) if shards else np.zeros(0, np.int32)
-        mark_rows = np.concatenate([np.arange(len(s.first) - 1) + o for s, o in zip(shards, base, strict=False)]).astype(np.int32) if shards else np.zeros(0, np.int32)
+        back = np.concatenate([np.where(b >= 0, b + o, -1) for b, o in zip((s.back() for s in shards), base, strict=False)]) if shards else np.zeros(0, np.int64)
+        mark_rows = np.concatenate([np.arange(len(s.first) - 1) + o for s, o in zip(shards, base, strict=False)]) if shards else np.zeros(0, np.int64)
         m = len(mark_rows)
-        row = np.arange(n, dtype=np.int32)
+        row = np.arange(n)
         block = np.zeros(n, np.int32)
         self.common = np.full(n, depth, np.int32)
         border = np.zeros(n, bool)
         for h in range(1, depth + 1):
-            before = symbol[row]
+            before = symbol.take(row)
             order = np.argsort(before, kind="stable")[m:]  # rows at the start of a string have no longer suffix
-            row_new = np.concatenate([mark_rows, back[row[order]]])
-            dealt = before[order]
-            old = block[order]
+            row = np.concatenate([mark_rows, back.take(row.take(order))])
+            dealt, old = before.take(order), block.take(order)
             now = np.ones(n, bool)
             if n > m:
                 now[m + 1 :] = (dealt[1:] != dealt[:-1]) | (old[1:] != old[:-1])
             self.common[now & ~border] = h - 1
             border = now
-            row, block = row_new, np.cumsum(now, dtype=np.int32)
+            block = np.cumsum(now, dtype=np.int32)
             if border.all():
                 break
         self.row, self.base = row, base

@@ -128,8 +128,10 @@ def _by_windows(texts: list[bytes], least: np.ndarray, width: int) -> list[np.nd
 def _resolve(texts: list[bytes], h: np.ndarray, least: np.ndarray, source: np.ndarray, width: int) -> dict[int, np.ndarray]:
     """For pieces whose minimizer has several distinct pieces, the least owner of each window."""
     order = np.argsort(h, kind="stable")
-    cuts = np.flatnonzero(h[order][1:] != h[order][:-1]) + 1
-    groups = [g for g in np.split(order, cuts) if len(g) > 1]
+    same = h[order][1:] == h[order][:-1]
+    begins = np.flatnonzero(same & ~np.concatenate([[False], same[:-1]]) if len(same) else same)
+    ends = np.flatnonzero(same & ~np.concatenate([same[1:], [False]]) if len(same) else same) + 2
+    groups = [order[a:b] for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
     out: dict[int, np.ndarray] = {}
     batch: list[int] = []
     size = 0
