@@ -6,6 +6,7 @@ import os
 import duckdb
 import pytest
 
+from turnweave.functions.text import MARKS
 from turnweave.plans.catalogue import ORACLE_SQL, QUERIES
 
 SMALL = "/root/testdata/sf0.001"
@@ -28,3 +29,17 @@ def test_query(spark, name):
             con.execute(f"CREATE VIEW {os.path.basename(p)[:-8]} AS SELECT * FROM '{p}'")
         result = con.execute(ORACLE_SQL[name])
         assert found == rows([d[0] for d in result.description], result.fetchall())
+
+
+def test_token_case_takes_all_words_of_the_whole_texts(spark, tmp_path):
+    texts = ["Über den Fluß, señor: 12été3 x", "one ONE two-three\n日本 мир", "éa 'q'", "", None, "--- 77"]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    words = {"Über", "den", "Fluß", "señor", "été", "x", "one", "ONE", "two", "three", "日本", "мир", "éa", "q"}
+    want = {(w, "OTHER", w) for w in words}
+    for w in words:
+        for m, sign in MARKS.items():
+            want.add((w, f"LOWER_{m}", w + sign))
+            for form, shaped in (("UPPER", w[:1].upper()[:1] + w[1:].lower()), ("UPPER_TOTAL", w.upper())):
+                want.add((w, f"{form}_{m}", shaped + (" " if m == "TIRE" else "") + sign))
+    found = [(r.token, r.label, r.shaped) for r in QUERIES["token_case_words"](spark, str(tmp_path)).collect()]
+    assert len(found) == len(set(found)) and set(found) == want

@@ -236,9 +236,19 @@ SELECT token, form || '_' || mark AS label, CASE form WHEN 'LOWER' THEN token WH
   || CASE WHEN mark = 'TIRE' AND form <> 'LOWER' THEN ' ' ELSE '' END || sign AS shaped FROM w, m, c
 UNION ALL SELECT token, 'OTHER' AS label, token AS shaped FROM w""")
 def token_case(spark, sf_dir):
-    words = table(spark, sf_dir, "documents").select(F.regexp_extract("text", "[A-Za-z]+", 0).alias("token")).distinct()
+    return _cased(table(spark, sf_dir, "documents").select(F.regexp_extract("text", "[A-Za-z]+", 0).alias("token")))
+
+
+def _cased(words):
     labels = F.array(*[F.lit(f"{c}_{m}") for c in X.CASES for m in X.MARKS], F.lit("OTHER"))
-    return words.select("token", F.explode(labels).alias("label")).withColumn("shaped", X.marked(F.col("token"), F.col("label")))
+    return words.distinct().select("token", F.explode(labels).alias("label")).withColumn("shaped", X.marked(F.col("token"), F.col("label")))
+
+
+@query()
+def token_case_words(spark, sf_dir):
+    """All words of the whole texts: runs of letters of any script, with their combining marks."""
+    found = F.regexp_extract_all("text", F.lit(r"(\p{L}[\p{L}\p{M}]*)"), 1)
+    return _cased(table(spark, sf_dir, "documents").select(F.explode(found).alias("token")))
 
 
 @query(f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), h AS (SELECT *, substr(t, 1, length(t) // 2) AS a, substr(t, length(t) // 2 + 1) AS b FROM d)
