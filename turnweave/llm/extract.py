@@ -1,10 +1,15 @@
-"""Main text of web pages: flat text blocks, told apart by a decision tree.
-
-A page becomes a flat list of text blocks, cut at block-level tags. Each block has the word count and link density of itself
-and of both neighbours, and marks of where it stands: inside an element that its tag, class, id or role names as a side
-part (menu, footer, comments, ...), inside one named as the main part, in a heading, in a list item. A CART tree over these
-features says which blocks are the article. It is trained on a small labelled table: the blocks of ``TRAINING_PAGES`` invented
-pages of several layouts, whose article blocks are known. The table does not depend on the input.
+"""Main text of web pages: flat text blocks, classified by a decision tree.
+
+A page becomes a flat list of text blocks, cut at block-level tags. A block is described by the word count and link density
+of itself and of both neighbours; by whether a button or field stands beside it; and by marks of its tag path: a side part
+by its element (menu, footer, ...) or by what its class, id or role says of it, a main part, a heading, a list item. Names
+may mislead or mean nothing, so they are features like the others: the share of the page's words that a so-called side part
+holds, whether its name says main part as well, and whether another element is marked as the main part, go with them. A CART tree over these features says which blocks are the
+article.
+
+The tree is trained on ``labelled_pages``, a small table labelled by hand, from which ``TRAINING_PAGES`` pages are put
+together: the article of one page among side parts of several, also with meaningless names, without semantic elements, with
+the article's element named after a side part, and with other lengths of texts. The table does not depend on the input.
 """
 
 from __future__ import annotations
@@ -20,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ship
+from .labelled_pages import PAGES
 
 # Element names and hint words.
 _BLOCKS = frozenset(
@@ -48,10 +54,15 @@ _TOKEN = re.compile(
     re.S,
 )
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|\b(hidden)\b")
-_SIDE, _HARD, _MAIN, _HEADING, _ITEM = 1, 2, 4, 8, 16
+_SIDE, _HARD, _MAIN, _HEADING, _ITEM, _MIXED = 1, 2, 4, 8, 16, 32
+_CONTROLS = frozenset("button input textarea select".split())
 
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "side", "main", "heading", "item")
-TRAINING_PAGES, DEPTH, LEAF = 400, 8, 8
+FEATURES = (
+    "words", "links", "words_before", "links_before", "words_after", "links_after", "controls",
+    "side", "hard", "mixed", "share", "main", "elsewhere", "heading", "item",
+)
+TRAINING_PAGES, DEPTH, LEAF = 1500, 8, 30
+_ARTICLE = "¶"
 
 
 @lru_cache(1 << 14)
@@ -70,7 +81,7 @@ def _hints(tag: str, attributes: str) -> int:
     if parts & _COMMENT_WORDS:
         found |= _SIDE | _HARD
     elif side and not (main and side <= {"header"}):
-        found |= _SIDE
+        found |= _SIDE | _MIXED * bool(main)
     elif main and not side:
         found |= _MAIN
     if tag in _SIDE_TAGS:
@@ -84,24 +95,26 @@ def _inherited(tag: str, attributes: str, above: int) -> int:
     own = _hints(tag, attributes)
     if tag == "header" and not above & _MAIN:
         own |= _SIDE
-    state = above & (_SIDE | _HARD | _MAIN)
+    state = above & (_SIDE | _HARD | _MAIN | _MIXED)
     if tag == "main" and own & _MAIN:
         state = _MAIN
     elif own & _MAIN and (tag == "article" and not state & _HARD or not state & _SIDE):
         state = _MAIN
     if own & _SIDE:
-        state = state & ~_MAIN | own & (_SIDE | _HARD)
+        state = state & ~_MAIN | own & (_SIDE | _HARD | _MIXED if not above & _SIDE else _SIDE | _HARD)
     return state
 
 
 def blocks(page: str) -> tuple[list[str], np.ndarray]:
     """The page's text blocks in order, white space squeezed, and their features (one row each)."""
     texts: list[str] = []
-    counts: list[tuple[int, int, int]] = []
+    counts: list[tuple] = []
     parts: list[str] = []
-    stack: list[tuple[str, int]] = []  # open containers with their state
+    stack: list[tuple[str, int, int, int]] = []  # open containers: tag, and the state, side part and number around them
+    parents = [0]  # of each container by number; 0 is the page
+    controls: set[int] = set()
     dropped: list[str] = []
-    state = leaf = 0
+    state = leaf = side_part = n_parts = here = 0
     link, link_depth, words_linked = False, 0, 0
 
     def flush():
@@ -111,7 +124,7 @@ def blocks(page: str) -> tuple[list[str], np.ndarray]:
             if words:
                 texts.append(" ".join(words))
                 mark = leaf if leaf & _SIDE else state | leaf
-                counts.append((len(words), min(words_linked, len(words)), mark))
+                counts.append((len(words), min(words_linked, len(words)), mark, here, side_part))
             parts, words_linked = [], 0
 
     def text(a: int, b: int):
@@ -124,6 +137,11 @@ def blocks(page: str) -> tuple[list[str], np.ndarray]:
             if link:
                 words_linked += len(piece.split())
 
+    def close(k: int):
+        nonlocal state, side_part, here
+        _, state, side_part, here = stack[k]
+        del stack[k:]
+
     at = 0
     while m := _TOKEN.search(page, at):
         text(at, m.start())
@@ -144,14 +162,15 @@ def blocks(page: str) -> tuple[list[str], np.ndarray]:
                 if tag in _CONTAINERS:
                     for k in range(len(stack) - 1, -1, -1):
                         if stack[k][0] == tag:
-                            state = stack[k][1]
-                            del stack[k:]
+                            close(k)
                             link = link and link_depth <= k
                             break
             continue
+        if tag in _CONTROLS:
+            controls.add(here)
         if tag in _RAW:
-            close = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
-            at = close.start() if close else len(page)
+            end = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
+            at = end.start() if end else len(page)
             continue
         if tag in _DROPPED and not attributes.endswith("/"):
             if tag == "head" or not dropped:
@@ -173,27 +192,41 @@ def blocks(page: str) -> tuple[list[str], np.ndarray]:
                         if stack[k][0] in ("ul", "ol", "menu", "dir"):
                             break
                         if stack[k][0] == "li":
-                            state = stack[k][1]
-                            del stack[k:]
+                            close(k)
                             break
-                stack.append((tag, state))
-                state = _inherited(tag, attributes, state) | (_ITEM if tag == "li" else state & _ITEM if tag not in ("article", "main", "section") else 0)
+                stack.append((tag, state, side_part, here))
+                parents.append(here)
+                here = len(parents) - 1
+                inner = _inherited(tag, attributes, state)
+                if inner & _SIDE and not state & _SIDE:
+                    n_parts += 1
+                    side_part = n_parts
+                state = inner | (_ITEM if tag == "li" else state & _ITEM if tag not in ("article", "main", "section") else 0)
             else:
-                leaf = (_hints(tag, attributes) & _SIDE if attributes else 0) | (_HEADING if tag[0] == "h" and tag[1:].isdigit() else 0)
+                leaf = (_hints(tag, attributes) & (_SIDE | _MIXED) if attributes else 0) | (_HEADING if tag[0] == "h" and tag[1:].isdigit() else 0)
     text(at, len(page))
     flush()
-    return texts, _features(counts)
+    return texts, _features(counts, parents, controls)
 
 
-def _features(counts: list[tuple[int, int, int]]) -> np.ndarray:
+def _features(counts: list[tuple], parents: list[int], controls: set[int]) -> np.ndarray:
     n = len(counts)
     out = np.zeros((n, len(FEATURES)), np.float32)
     if n:
-        words, linked, mark = np.array(counts, np.int64).T
+        words, linked, mark, box, part = np.array(counts, np.int64).T
+        parent = np.array(parents)
         out[:, 0], out[:, 1] = words, linked / words
         out[1:, 2:4], out[:-1, 4:6] = out[:-1, :2], out[1:, :2]
-        for k, bit in enumerate((_SIDE, _MAIN, _HEADING, _ITEM)):
-            out[:, 6 + k] = mark & bit > 0
+        beside = np.zeros(len(parents), bool)
+        beside[list(controls)] = True
+        beside[0] = False
+        out[:, 6] = beside[box] | beside[parent[box]]
+        for name, bit in (("side", _SIDE), ("hard", _HARD), ("mixed", _MIXED), ("main", _MAIN), ("heading", _HEADING), ("item", _ITEM)):
+            out[:, FEATURES.index(name)] = mark & bit > 0
+        free, inside = words - linked, mark & _MAIN > 0
+        held = np.bincount(part, free)[part] / max(1, int(free.sum()))
+        out[:, FEATURES.index("elsewhere")] = ~inside & inside.any()
+        out[:, FEATURES.index("share")] = np.where((mark & _SIDE > 0) & (part > 0), held, 0)
     return out
 
 
@@ -243,87 +276,81 @@ class Tree:
         return self.share[node] >= 0.5
 
 
-def training_page(rng: random.Random) -> tuple[str, list[str]]:
-    """An invented page and its article's blocks."""
-    word = lambda: "".join(rng.choice(("ka", "lo", "mi", "tre", "sun", "var", "de", "pol", "ish")) for _ in range(rng.randint(1, 4)))
-    say = lambda a, b: " ".join(word() for _ in range(rng.randint(a, b))).capitalize() + rng.choice((".", ".", "", "?"))
-    link = lambda a, b: f'<a href="/{word()}">{say(a, b)}</a>'
-    pick = rng.choice
-    marked = rng.random() < 0.8  # else only text and links tell the parts
-
-    def part(inner: str, *tags: str) -> str:
-        tag = pick(tags) if marked else "div"
-        return f"<{tag}>{inner}</{tag.split()[0]}>"
-
-    def links(n: int) -> str:
-        if rng.random() < 0.5:
-            return "<ul>" + "".join(f"<li>{link(1, 4)}</li>" for _ in range(n)) + "</ul>"
-        return "".join(f"<div>{link(1, 6)}</div>" for _ in range(n))
-
-    body, article, html = [], [], []
-    for _ in range(rng.randint(1, 9)):
-        kind = rng.random()
-        if kind < 0.2:
-            article.append(say(1, 12))
-            html.append(f"<h{(k := rng.randint(1, 3))}>{article[-1]}</h{k}>")
-        elif kind < 0.3:
-            items = [say(1, 15) for _ in range(rng.randint(2, 5))]
-            article += items
-            html.append("<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>")
-        elif kind < 0.36 and marked:
-            linked = say(1, 12)
-            article.append(linked)
-            html.append(f'<p><a href="/x">{linked}</a></p>')
-        else:
-            short = rng.random() < 0.3
-            text = say(1, 6) if short else say(8, 120)
-            if not short and rng.random() < 0.3:
-                linked = say(1, 4)
-                article.append(f"{text} {linked} tail.")
-                html.append(f'<p>{text} <a href="#">{linked}</a> tail.</p>')
-            else:
-                article.append(text)
-                html.append(pick(("<p>{}</p>", "<div>{}</div>", "<blockquote>{}</blockquote>", "<p>{}")).format(text))
-    if rng.random() < 0.7:
-        body.append(part(f"<div>{link(1, 3)}</div>" + (say(1, 6) if marked else ""), "header", 'div class="header"', 'div id="masthead"', 'div role="banner"'))
-    if rng.random() < 0.9:
-        body.append(part(links(rng.randint(3, 9)), "nav", 'div class="menu"', 'div id="main-nav"', 'div class="navbar top"'))
-    if marked and rng.random() < 0.5:
-        body.append(part(f"<p>{say(3, 40)}</p>" + link(1, 2), 'div class="ad"', 'div class="cookie-notice"', 'div id="gdpr-banner"', 'div class="site-notice"', 'div class="promo box"'))
-    body.append(part("".join(html), "article", "main", 'div class="content"', 'div id="post-body"', "div", 'section class="story"'))
-    if marked and rng.random() < 0.6:
-        said = "".join(f"<div><b>{word()}</b></div><p>{say(3, 60)}</p>" for _ in range(rng.randint(1, 4)))
-        body.append(part(said, 'div id="comments"', 'section class="comments"', 'div class="comment-list"', 'article class="comment"'))
-    if rng.random() < 0.6:
-        more = part(links(rng.randint(2, 8)) + (f"<p>{say(4, 30)}</p>" if marked else ""), "aside", 'div id="sidebar"', 'div class="related-posts"', 'div class="widget"')
-        body.insert(rng.randint(0, len(body)), more)
-    if marked and rng.random() < 0.4:
-        body.append(f"<form><p>{say(3, 20)}</p><label>{say(1, 3)}</label><input></form>")
-    if rng.random() < 0.8:
-        body.append(part(f"© {word()} {link(1, 2)} {link(1, 2)} " + (say(2, 12) if marked else link(1, 3)), "footer", 'div class="footer"', 'div role="contentinfo"'))
-    return f"<html><head><title>{say(2, 6)}</title></head><body>{''.join(body)}</body></html>", article
-
-
-def training_table(pages: int = TRAINING_PAGES, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of the blocks of so many invented pages."""
-    rng, xs, ys = random.Random(seed), [], []
-    for _ in range(pages):
-        page, article = training_page(rng)
-        texts, x = blocks(page)
-        left = list(article)
-        y = np.zeros(len(texts), bool)
-        for k, t in enumerate(texts):  # article blocks come in order
-            if left and t == left[0]:
-                y[k] = True
-                left.pop(0)
-        if not left:
-            xs.append(x)
-            ys.append(y)
-    return np.concatenate(xs), np.concatenate(ys)
-
-
-def trained(pages: int = TRAINING_PAGES, seed: int = 0) -> Tree:
-    return Tree(*training_table(pages, seed))
+_NAMED = re.compile(r"""\b(class|id|role)="([^"]*)\"""")
+_SEMANTIC = re.compile(r"<(/?)(?:nav|aside|footer|header|main|article|section|form)\b")
+_OWN = re.compile(f"<p>({_ARTICLE}[^<]+)</p>")
+_PROSE = re.compile(r"(?<!</a)>(?<!<a>)([^<]+)(?!</a>)(?=<)")
+
+
+def variant(page: str, rng: random.Random, opaque: bool = False, plain: bool = False, misnamed: bool = False, lengths: int = 0) -> str:
+    """A labelled page with meaningless names (``opaque``), without semantic elements (``plain``), with the element around the
+    article's first block named after a side part (``misnamed``), or with longer and shorter texts (``lengths`` 1: somewhat, 2: of
+    any length from a word on)."""
+    if plain:
+        page = _SEMANTIC.sub(lambda m: f"<{m[1]}div", page)
+    if opaque:
+        names: dict[str, str] = {}
+        page = _NAMED.sub(lambda m: f'class="{names.setdefault(m[2], "".join(rng.choice("bcdghjklqvxz") for _ in range(5)))}"', page)
+    if misnamed:
+        before = list(re.finditer(r"<(div|section)\b[^>]*>", page[: page.index(_ARTICLE)]))
+        if before and "article" not in page and "<main" not in page:
+            m = before[-1]
+            page = f'{page[: m.start()]}<{m[1]} class="{rng.choice(sorted(_SIDE_WORDS))}">{page[m.end() :]}'
+    if lengths:
+
+        def scaled(m):
+            words = m[1].split()
+            if not words or rng.random() < 0.3:
+                return m[0]
+            mark, words = (_ARTICLE, [words[0][1:], *words[1:]]) if words[0][0] == _ARTICLE else ("", words)
+            n = round(2 ** rng.uniform(0, 7)) if lengths > 1 else max(1, round(len(words) * rng.choice((0.4, 0.7, 1.5, 3))))
+            return f">{mark}{' '.join(words[k % len(words)] for k in range(n))}"
+
+        page = _PROSE.sub(scaled, page)
+    if lengths > 1:  # where marks tell the article, a block of it may also be one link or a word
+        page = _OWN.sub(lambda m: m[0] + rng.choice(("", "", "", f'<p><a href="/x">{m[1]}</a></p>', f"<p>{' '.join(m[1].split()[:2])}</p>", f"<blockquote>{m[1]}</blockquote>")), page)
+    return f"<html><body>{page}</body></html>"
+
+
+def labelled(page: str) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of a labelled page's blocks; the marks are taken off first."""
+    texts, _ = blocks(page)
+    _, x = blocks(page.replace(_ARTICLE, ""))
+    return x, np.array([t.startswith(_ARTICLE) for t in texts], bool)
+
+
+def elements(page: str) -> tuple[list[str], list[str], list[str]]:
+    """A labelled page's outermost elements: those before its article, the article's, and those behind it."""
+    out, depth, begin = [], 0, 0
+    for m in re.finditer(r"<(/?)([a-z0-9]+)[^>]*>", page):
+        if m[2] not in ("br", "input", "hr", "img"):
+            depth += -1 if m[1] else 1
+        if not depth:
+            out.append(page[begin : m.end()].strip())
+            begin = m.end()
+    own = [k for k, e in enumerate(out) if _ARTICLE in e]
+    return out[: own[0]], [out[k] for k in own], [e for k, e in enumerate(out) if k > own[0] and k not in own]
+
+
+def training_table(n: int = TRAINING_PAGES, seed: int = 0, pages: tuple[str, ...] = PAGES) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of the blocks of ``n`` pages, each the article of one labelled page among side parts of several."""
+    rng, found = random.Random(seed), []
+    parts = [elements(p) for p in pages]
+    before, behind = ([e for p in parts for e in p[k]] for k in (0, 2))
+    for _ in range(n):
+        k = rng.randrange(len(pages))
+        page = pages[k]
+        if rng.random() < 0.8:
+            page = "\n".join(rng.sample(before, rng.randint(0, 4)) + parts[k][1] + rng.sample(behind, rng.randint(0, 5)))
+        marks = rng.random()  # where names and elements tell the parts, lengths may be any
+        told = 0.4 < marks < 0.9
+        found.append(labelled(variant(page, rng, opaque=marks < 0.25, plain=0.15 < marks < 0.35, misnamed=marks > 0.9, lengths=2 if told else rng.choice((0, 1)))))
+    return np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
+
+
+@lru_cache(1)
+def trained(n: int = TRAINING_PAGES, seed: int = 0) -> Tree:
+    return Tree(*training_table(n, seed))
 
 
 def extract(pages: DataFrame, html: str = "html", columns: tuple[str, ...] | None = None, tree: Tree | None = None) -> DataFrame:
