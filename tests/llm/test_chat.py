@@ -52,3 +52,11 @@ def test_repeated_rows_extra_columns_and_an_empty_table(spark):
     frame = spark.createDataFrame([(*r, "x", 5) for r in rows], SCHEMA + ", turns string, opens long")
     assert chat.digest(chat.format_conversations(frame)).count() == 1
     assert chat.digest(chat.format_conversations(frame.limit(0))).count() == 0
+
+
+def test_a_conversation_of_many_turns_and_spans_in_bytes(spark):
+    rows = [(1, t, ("user", "assistant")[t % 3 > 0], f"tür <| \U0001f600 {t} " * 10) for t in range(20_000)]
+    digests, done = run(spark, rows)
+    assert digests == plain(rows)
+    raw = done[1].formatted.encode()
+    assert [raw[s.first_byte : s.end_byte].decode() for s in done[1].loss_spans] == [done[1].formatted[s.start : s.end] for s in done[1].loss_spans]

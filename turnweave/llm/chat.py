@@ -25,8 +25,8 @@ def unescape(text: Column) -> Column:
 def format_conversations(
     turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", loss_role: str = "assistant"
 ) -> DataFrame:
-    """One row per conversation: ``conv_id, formatted, loss_spans`` (half-open code point ranges of the texts of
-    ``loss_role`` in ``formatted``).
+    """One row per conversation: ``conv_id, formatted, loss_spans``: where the texts of ``loss_role`` stand in ``formatted``, as
+    half-open ranges of code points (``start, end``) and of UTF-8 bytes (``first_byte, end_byte``).
 
     Turns go by number, nulls first, then role and text; repeated rows stay. Null text or role: empty. Null ids form one
     conversation. Empty table: no rows. A conversation is one row, so its turns meet in one task; sums of lengths are
@@ -43,9 +43,10 @@ def format_conversations(
     rows = rows.select("*", F.row_number().over(order).alias("no"), before.alias("before")).withColumn("opens", F.col("before").isNull() | (F.col("before") != F.col("role")))
     # an opening turn closes the run before it and writes its own head; any other turn writes a separator
     lead = F.when(F.col("opens"), F.length("role") + F.lit(len(START) + 1) + F.when(F.col("no") > 1, len(END)).otherwise(0)).otherwise(len(SEP)).cast("long")
-    upto = F.sum(lead + F.length("text")).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.select("conv_id", "no", "role", "text", "opens", upto.alias("to"))
-    grouped = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("no", "role", "text", "opens", "to"))).alias("turns"))
+    # what a turn leads with is ASCII: as many bytes as code points
+    upto = lambda size: F.sum(lead + size("text")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.select("conv_id", "no", "role", "text", "opens", upto(F.length).alias("to"), upto(F.octet_length).alias("to_byte"))
+    grouped = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("no", "role", "text", "opens", "to", "to_byte"))).alias("turns"))
     opens = F.transform(F.filter("turns", lambda t: t["opens"]), lambda t: t["no"])
     runs = F.transform(
         "opens",
@@ -55,7 +56,8 @@ def format_conversations(
         ),
     )
     merged = F.transform("runs", lambda r: F.concat(F.lit(START), r["role"], F.lit("\n"), F.array_join(r["texts"], SEP), F.lit(END)))
-    spans = F.transform(F.filter("turns", lambda t: t["role"] == F.url_encode(F.lit(loss_role))), lambda t: F.struct((t["to"] - F.length(t["text"])).alias("start"), t["to"].alias("end")))
+    lost = F.filter("turns", lambda t: t["role"] == F.url_encode(F.lit(loss_role)))
+    spans = F.transform(lost, lambda t: F.struct((t["to"] - F.length(t["text"])).alias("start"), t["to"].alias("end"), (t["to_byte"] - F.octet_length(t["text"])).alias("first_byte"), t["to_byte"].alias("end_byte")))
     return grouped.withColumn("opens", opens).withColumn("runs", runs).select("conv_id", F.array_join(merged, "").alias("formatted"), spans.alias("loss_spans"))
 
 
@@ -72,8 +74,11 @@ def read_back(formatted: str = "formatted") -> Column:
 
 
 def digest(formatted: DataFrame) -> DataFrame:
-    """Read-back digests of ``format_conversations``."""
-    lost = F.array_join(F.transform("loss_spans", lambda s: unescape(F.substr(F.col("formatted"), (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")))), "")
+    """Read-back digests of ``format_conversations``. Spans are cut by bytes: code points would be counted from the string's start
+    for each."""
+    raw = F.col("formatted").cast("binary")
+    cut = lambda s: F.substr(raw, (s["first_byte"] + 1).cast("int"), (s["end_byte"] - s["first_byte"]).cast("int")).cast("string")
+    lost = unescape(F.array_join(F.transform("loss_spans", cut), ""))
     parsed = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return formatted.withColumn("turns", read_back()).withColumn("loss", lost).select(
         "conv_id",
