@@ -1,3 +1,6 @@
+import random
+import re
+import time
 import unicodedata
 
 from pyspark.sql import functions as F
@@ -83,3 +86,36 @@ def test_recognised_and_quoted(spark):
     given = ['{"transcription":"","text":"t"}', '{"transcript":"x"}', "{}", '["a",{"text":"b"},"c"]', "plain text", ""]
     assert column(spark, given, X.recognised(F.col("v"))) == ["t", "x", "", "a b c", "plain text", ""]
     assert column(spark, ['a"b\\c\nd', "é"], X.quoted(F.col("v"))) == ['"a\\"b\\\\c\\nd"', '"é"']
+
+
+def test_spaces_against_plain_rules_and_in_linear_time(spark):
+    white = "[" + "".join(c for c in map(chr, range(0x3001)) if c.isspace()) + "]"
+
+    def plain(t):
+        t = re.sub(white + "+([,.;:!?…])", r"\1", t.strip())
+        t = re.sub(f"{white}+—{white}*", " — ", t)
+        return re.sub(white + "{2,}", " ", t).strip()
+
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("ab,.!?…— \t\n\u2003\xa0 — ,") for _ in range(rng.randint(0, 25))) for _ in range(3000)] + [None]
+    found = spark.createDataFrame([(t,) for t in texts], "t string").select("t", X.fix_spaces(F.col("t")).alias("f"), X.word_count(F.col("t")).alias("n"), X.words(F.col("t")).alias("w")).collect()
+    for r in found:
+        assert r.f == (r.t and plain(r.t)) if r.t is None or r.t else r.f == ""
+        assert r.t is None or (r.n, r.w) == (len(r.t.split()), r.t.split())
+    blanks = spark.createDataFrame([("a" + " " * 1_000_000 + ", b" + " " * 1_000_000 + "— c" + "\n" * 1_000_000,)], "t string")
+    begun = time.perf_counter()
+    assert blanks.select(X.fix_spaces(F.col("t"))).first()[0] == "a, b — c"
+    assert time.perf_counter() - begun < 20  # seconds for a run of this many; it took hours by backing up
+
+
+def test_texts_that_skip_python_are_their_own_compatibility_form():
+    stable = re.compile(X.STABLE.replace("*+$", "$"))
+    held = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and stable.match(chr(c))]
+    assert len(held) > 20_000 and all(unicodedata.normalize("NFKC", c) == c and not unicodedata.combining(c) for c in held)
+
+
+def test_norm_tokens_of_compatibility_characters(spark):
+    texts = ["ﬁne Ⅳ x²", "e\u0301té été", "ａｂｃ １２", "plain, text!", "日本 ｶﾞ", None, ""]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string").select("t", X.norm_tokens(F.col("t")).alias("w"))
+    for r in frame.collect():
+        assert r.w is None if r.t is None else r.w == plain_tokens(r.t)

@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 from ..model import SECOND, DedupConfig
 from .numbers import div
 
-#: White space as Unicode and the four ASCII separators have it.
-SPACE = r"[\s\x0B\x1C-\x1F\x85\xA0  -     　]"
+#: White space as Unicode and the four ASCII separators have it. The first 256 characters are listed one by one: the regex
+#: engine looks such up in a table, but tries classes and ranges one after the other.
+SPACE = r"[ \t\n\x0B\f\r\x1C\x1D\x1E\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
+#: Runs of anything else; they never give back what they took.
+WORD = f"[^{SPACE[1:-1]}]++"
 
 # Marks and cases that a punctuation model's labels are made of.
 MARKS = {
@@ -32,17 +35,22 @@ def strip(text: Column) -> Column:
 
 def squeeze(text: Column) -> Column:
     """Words joined by one blank."""
-    return F.trim(F.regexp_replace(text, rf"{SPACE}+", " "))
+    return F.trim(F.regexp_replace(text, f"{SPACE}++", " "))
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(text, rf"{SPACE}+"), lambda w: w != "")
+    return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+
+
+def word_count(text: Column) -> Column:
+    """Number of ``words``, without making them."""
+    return F.regexp_count(text, F.lit(WORD))
 
 
 def is_dense(text: Column, duration_us: Column, config: DedupConfig = DedupConfig()) -> Column:
     """At least so many words or so many characters a second; no text is never dense. A length of zero counts as 1 ns."""
     us = F.greatest(duration_us.cast("double"), F.lit(0.001))
-    dense = (F.size(words(text)) * float(SECOND) >= us * config.min_words_per_s) | (F.length(text) * float(SECOND) >= us * config.min_chars_per_s)
+    dense = (word_count(text) * float(SECOND) >= us * config.min_words_per_s) | (F.length(text) * float(SECOND) >= us * config.min_chars_per_s)
     return F.coalesce((F.length(text) > 0) & dense, F.lit(False))
 
 
@@ -56,10 +64,18 @@ def nfkc(text: Column) -> Column:
     return normalised(text)
 
 
+#: Texts of these characters alone are their own compatibility form: no combining marks, and none with a compatible spelling.
+#: ASCII, Latin, Cyrillic, common punctuation, kana and unified ideographs.
+STABLE = (
+    r"^[\x00-\x7F\u00A1-\u00A7\u00A9\u00AB-\u00AE\u00B0\u00B1\u00B6\u00B7\u00BB\u00BF-\u0131\u0134-\u013E\u0141-\u0148\u014A-\u017E"
+    r"\u0400-\u0482\u048A-\u04FF\u2010\u2012-\u2016\u2018-\u2023\u3041-\u3096\u30A1-\u30FA\u4E00-\u9FFF]*+$"
+)
+
+
 def norm_tokens(text: Column) -> Column:
-    """Lower-cased words without punctuation, in compatibility form. Plain ASCII is not sent to Python."""
-    plain = F.when(text.rlike(r"^\p{ASCII}*$"), text).otherwise(nfkc(text))
-    return words(F.lower(F.regexp_replace(plain, rf"[^\p{{L}}\p{{N}}_[{SPACE[1:-1]}]]", "")))
+    """Lower-cased words without punctuation, in compatibility form. Only texts that have another form go through Python."""
+    plain = F.when(F.coalesce(text.rlike(STABLE), F.lit(True)), text).otherwise(nfkc(text))
+    return words(F.lower(F.regexp_replace(plain, rf"[^\p{{L}}\p{{N}}_{SPACE[1:-1]}]++", "")))
 
 
 def capitalised(token: Column) -> Column:
@@ -79,10 +95,11 @@ def marked(token: Column, label: Column) -> Column:
 
 
 def fix_spaces(text: Column) -> Column:
-    """No blank before marks, one on each side of a dash that has one before it, no double blanks."""
-    out = F.regexp_replace(strip(text), rf"{SPACE}+([,.;:!?…])", "$1")
-    out = F.regexp_replace(out, rf"{SPACE}+—{SPACE}*", " — ")
-    return strip(F.regexp_replace(out, rf"{SPACE}{{2,}}", " "))
+    """No blank before marks, one on each side of a dash that has one before it, no double blanks. Runs are squeezed first, by a
+    match that never backs up, so what follows looks at single characters: linear in any text."""
+    out = F.regexp_replace(strip(text), f"{SPACE}{{2,}}+", " ")
+    out = F.regexp_replace(out, f"{SPACE}([,.;:!?…])", "$1")
+    return strip(F.regexp_replace(out, f"{SPACE}—{SPACE}?", " — "))
 
 
 def split_index(text: Column) -> Column:
