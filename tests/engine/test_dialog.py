@@ -54,7 +54,7 @@ def test_empty_sessions(spark):
 
 def test_speaker_labels(spark):
     labels = {"bob": "Bob", "x.wav": "Ex"}
-    cases = {"x/Bob.WAV": "Bob", "zed.wav": "zed", "": "audio", None: "audio", "x.wav": "Ex", ".wav": ".wav", "a.b.c": "a.b", "dir\\bob.mp3": "Bob"}
+    cases = {"x/Bob.WAV": "Bob", "zed.wav": "zed", "": "audio", None: "audio", "x.wav": "Ex", ".wav": ".wav", "a.b.c": "a.b", "dir\\bob.mp3": "Bob", "x/a/": "a", "x/bob.wav//": "Bob"}
     frame = spark.createDataFrame([(k,) for k in cases], "audio string")
     for found in (frame.withColumn("speaker", D.speaker_label(F.col("audio"), labels)), D.label_speakers(frame, spark.createDataFrame(list(labels.items()), "key string, label string"))):
         assert {r.audio: r.speaker for r in found.collect()} == cases

@@ -82,10 +82,15 @@ def with_empty_dialogs(segments: DataFrame, turns: DataFrame, key: str = "dir")
     return sessions.join(turns, key, "left").select(*turns.columns)
 
 
+def _file_name(audio: Column) -> Column:
+    """What stands behind the last slash, those at the end aside."""
+    return F.element_at(F.split(F.regexp_replace(F.coalesce(audio, F.lit("")), r"[/\\]++$", ""), r"[/\\]"), -1)
+
+
 def speaker_label(audio: Column, labels: Mapping[str, str]) -> Column:
     """A recording's label: that of its stem, the stem in lower case, the file name or that in lower case, the first that
     has one; else the stem, the name, or ``audio``. ``labels`` is a constant of the job, held in the plan."""
-    name = F.element_at(F.split(F.regexp_replace(F.coalesce(audio, F.lit("")), r"[/\\]+$", ""), r"[/\\]"), -1)
+    name = _file_name(audio)
     stem = F.regexp_replace(name, r"(?<=.)\.[^.]*$", "")
     known = F.create_map(*[F.lit(x) for kv in labels.items() for x in kv]) if labels else F.create_map().cast("map<string,string>")
     full = lambda c: F.nullif(c, F.lit(""))
@@ -95,7 +100,7 @@ def speaker_label(audio: Column, labels: Mapping[str, str]) -> Column:
 
 def label_speakers(turns: DataFrame, labels: DataFrame, audio: str = "audio") -> DataFrame:
     """As ``speaker_label`` with ``labels`` (key, label) as a table of any size: four equi-joins, no broadcast is forced."""
-    rows = turns.withColumn("__name", F.element_at(F.split(F.coalesce(audio, F.lit("")), r"[/\\]"), -1))
+    rows = turns.withColumn("__name", _file_name(F.col(audio)))
     rows = rows.withColumn("__stem", F.regexp_replace("__name", r"(?<=.)\.[^.]*$", ""))
     one = labels.filter(F.length("label") > 0).groupBy("key").agg(F.min("label").alias("label"))
     for k, c in enumerate((F.col("__stem"), F.lower("__stem"), F.col("__name"), F.lower("__name"))):
