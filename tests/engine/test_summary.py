@@ -98,6 +98,30 @@ def test_rate_limits():
     assert clients.build("gemini", "a-flash", "k").limiter.per_minute == 5 and clients.build("openrouter", "x", "k").limiter.per_minute == 0
 
 
+def test_clients_of_two_dialogs_share_the_limit(monkeypatch):
+    now, slept = [0.0], []
+
+    def sleep(seconds):
+        slept.append(seconds)
+        now[0] += seconds
+
+    build = lambda: clients.build("gemini", "a-flash-for-this-test", "k", send=Network(*[(200, candidates("ok"))] * 4).send, sleep=lambda s: None)
+    one, two = build(), build()  # a worker makes a client for each dialog
+    assert one.limiter is two.limiter
+    monkeypatch.setattr(one.limiter, "clock", lambda: now[0])
+    monkeypatch.setattr(one.limiter, "sleep", sleep)
+    for client in (one, two, one, two, one):
+        client.chat(ASK)
+    assert not slept  # five a minute
+    two.chat(ASK)
+    assert sum(slept) >= 60 and clients.build("gemini", "another", "k").limiter is not one.limiter
+
+
+def test_digest_tells_prompts_apart():
+    ask = lambda m: clients.Digest().chat(m)
+    assert ask(ASK) == ask(list(ASK)) != ask(ASK[1:]) and ask(ASK) != ask([ASK[1], ASK[0], ASK[2]])
+
+
 def test_policies():
     assert [Retry(base=2).delay(k, lambda a, b: 0.0) for k in (0, 1, 2, 3, 9)] == [2, 2, 4, 8, 30]
     assert Retry(base=2).delay(4, lambda a, b: b) == 18
@@ -105,6 +129,9 @@ def test_policies():
     assert policy.retry_after({"retry-after": "3"}) == 3 and policy.retry_after({}) is None and policy.retry_after({"Retry-After": "soon"}) is None
     assert policy.retry_after({"RateLimit-Reset": "Thu, 01 Jan 2026 12:00:30 GMT"}, noon) == 30
     assert policy.retry_after({"Retry-After": "Thu, 01 Jan 2026 11:00:00 GMT"}, noon) == 0
+    assert policy.retry_after({"X-RateLimit-Reset": "9", "Retry-After": ""}) == 9 and policy.retry_after({"Retry-After": "-5"}) is None
+    assert policy.retry_after({"Retry-After": "Thu, 01 Jan 2026 13:00:20 +0100"}, noon) == 20
+    assert policy.error_message('{"error":{"message":"","code":"c"}}') == "c" and policy.error_message('{"error":{"code":4},"message":" m "}') == "m" and policy.error_message("[1]") == "[1]"
     assert policy.error_message('{"error":"x"}') == "x" and policy.error_message("<p>") == "<p>" and policy.error_message('{"message":"m"}') == "m"
     assert policy.thinking("off") == {"thinkingBudget": 0} and policy.thinking("dynamic", include=True) == {"thinkingBudget": -1, "includeThoughts": True}
     assert policy.thinking() is None and policy.thinking("default", 5) == {"thinkingBudget": 5} and policy.thinking("manual", "9") == {"thinkingBudget": 9}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import time
 import urllib.error
@@ -27,6 +28,15 @@ class DryRun:
         return f"[dry-run] {lines[-1][:120] if lines else ''}".strip()
 
 
+class Digest:
+    """Answers with the SHA-256 of all it was told: each message's role and plain text. A change anywhere in a prompt changes
+    every later answer, so a fold over it can be held against SQL."""
+
+    def chat(self, messages: Sequence[dict]) -> str:
+        told = "\x1e".join(f"{m['role']}\x1f{m['content']}" for m in prepared(messages))
+        return hashlib.sha256(told.encode()).hexdigest()
+
+
 @dataclass(frozen=True)
 class Dialect:
     url: Callable[[str], str]
@@ -120,4 +130,4 @@ def build(provider: str, model: str, api_key: str | None, dry_run: bool = False,
     if name not in DIALECTS:
         raise ValueError(f"unknown provider {provider!r}")
     limit = requests_per_minute(model) if per_minute is None and name == "gemini" else per_minute or 0
-    return HttpChat(DIALECTS[name], model, api_key, limiter=RateLimiter(limit), **options)
+    return HttpChat(DIALECTS[name], model, api_key, **{"limiter": RateLimiter.shared((name, model, api_key), limit)} | options)
