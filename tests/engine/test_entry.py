@@ -17,6 +17,11 @@ def test_the_rest_works_without_the_training_data_subpackage(tmp_path):
     assert subprocess.run([sys.executable, "-c", code], cwd=copy, capture_output=True, text=True, check=True).stdout.strip() == "fine"
 
 
+def test_the_rest_works_where_the_training_data_subpackage_lacks_a_library():
+    code = "import sys; sys.modules['xxhash'] = None; import __spark_entry__ as e; q = e.queries(); assert 'dialog_merge' in q and not any(k.startswith('op') for k in q); e.oracle_sql(); print('fine')"
+    assert subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True, check=True).stdout.strip() == "fine"
+
+
 def test_names():
     import __spark_entry__ as e
 

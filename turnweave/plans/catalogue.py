@@ -11,9 +11,12 @@ from ..functions.times import format_offset
 from ..model import SECOND, DedupConfig, PlanConfig, SliceConfig
 from ..operators import dialog, intervals, overlap, planning
 from ..session import table
-from ..sinks import clean_line, quoted_line, segment_rows, transcript_json
+from ..sinks import clean_line, dialog_rows, punctuated, quoted_line, segment_rows, transcript_json, transcript_text
 from ..sources.lines import parse_dialog
+from ..backends import punctuate
+from ..sources.audio import cut
 from ..summary import fold, messages
+from ..summary.clients import Digest
 from .tables import EVENT_SQL, SPAN_SQL, TURN_SQL, event_segments, turns, user_spans
 
 QUERIES: dict[str, Callable] = {}
@@ -170,6 +173,35 @@ def segment_export(spark, sf_dir):
     return segment_rows(event_segments(spark, sf_dir), "seg_no")
 
 
+@query(f"WITH {MERGED_SQL} SELECT dir, turn, audio, {_offset_sql('start_us')} AS start, {_offset_sql('end_us')} AS end, text FROM m")
+def dialog_export(spark, sf_dir):
+    return dialog_rows(dialog_merge(spark, sf_dir), "dir", "turn")
+
+
+@query(f"WITH {MERGED_SQL} SELECT dir, audio, audio || chr(10) || string_agg(text, ' ' ORDER BY turn) || chr(10) || chr(10) AS block FROM m GROUP BY dir, audio")
+def transcript_blocks(spark, sf_dir):
+    return transcript_text(dialog_transcript(spark, sf_dir)).select("dir", "audio", "block")
+
+
+#: A recording of 16-bit samples for each user: the numbers from 0 on, as many as the user has milliseconds of speech.
+_CLIPPED = 16 * SECOND
+
+
+@query(f"""WITH {SPAN_SQL}, c AS (SELECT user_id, start_us % {_CLIPPED} AS a, start_us % {_CLIPPED} + (end_us - start_us) % {_CLIPPED} AS z FROM u),
+q AS (SELECT DISTINCT user_id, a * 2 // 125 AS a, z * 2 // 125 AS z FROM c WHERE z * 2 // 125 > a * 2 // 125)
+SELECT user_id, a AS start_sample, z AS end_sample, CAST(2 * greatest(0, least(z, 256000) - least(a, 256000)) AS BIGINT) AS n_bytes,
+  upper(substr(md5(CAST(user_id AS VARCHAR)), 1 + 2 * CAST(a % 16 AS INTEGER), 2)) AS first_byte FROM q WHERE a < 256000""")
+def chunk_cut(spark, sf_dir):
+    """Chunks cut from 16 seconds of bytes; a chunk that goes beyond the end is clipped there."""
+    spans = user_spans(spark, sf_dir).select("user_id", (F.col("start_us") % _CLIPPED).alias("a"), ((F.col("end_us") - F.col("start_us")) % _CLIPPED).alias("d"))
+    sample = lambda c: F.expr(f"({c}) * 2 div 125")
+    chunks = spans.select("user_id", sample("a").alias("start_sample"), sample("a + d").alias("end_sample")).filter("end_sample > start_sample").distinct()
+    both = F.unhex(F.repeat(F.concat(*[F.repeat(F.substring(F.md5(F.col("user_id").cast("string").cast("binary")), 1 + 2 * k, 2), 2) for k in range(16)]), 16000))
+    waves = chunks.select("user_id").distinct().select("user_id", both.alias("pcm"))
+    clipped = cut(waves, chunks.filter("start_sample < 256000"), "user_id")
+    return clipped.select("user_id", "start_sample", "end_sample", F.octet_length("pcm").cast("long").alias("n_bytes"), F.hex(F.substring("pcm", 1, 1)).alias("first_byte"))
+
+
 _NAME_SQL = "CASE turn % 4 WHEN 0 THEN 'out/' || role || '.wav' WHEN 1 THEN upper(role) || '.MP3' WHEN 2 THEN 'guest' || conv_id || '.wav' ELSE '' END"
 
 
@@ -194,7 +226,7 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, text <> '' AND (n_words * 1e6
 def text_density(spark, sf_dir):
     text = F.coalesce("text", F.lit(""))
     dense = X.is_dense(text, F.greatest("n_chars", F.lit(0)) * 250_000, DedupConfig(min_chars_per_s=4.5))
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(X.words(text)).cast("long").alias("n_words"), dense.alias("dense"))
+    return table(spark, sf_dir, "documents").select("doc_id", X.word_count(text).cast("long").alias("n_words"), dense.alias("dense"))
 
 
 @query(f"""SELECT doc_id, array_to_string(list_filter(string_split_regex(lower(regexp_replace(nfc_normalize(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}_\\s\\x0B\\x1C-\\x1F\\x{{85}}\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]', '', 'g')), '{WS}+'), lambda x: x <> ''), ' ') AS tokens FROM documents""")
@@ -299,11 +331,31 @@ def chunk_plan_pass2(spark, sf_dir):
     return planning.second_pass(t, ["conv_id"], planning.chunk_plan(t, ["conv_id"], 3, 1), 1)
 
 
-@query()
+def _turned_sql(count: int, overlap_: int, passes: str, begin: str, name: str) -> str:
+    """As ``_plan_sql`` for plans that begin at ``begin`` (of n, size and pass): what lies behind it, then what lies before."""
+    return f"""{name}_b AS (SELECT conv_id, n, size, pass, {begin} AS off FROM (SELECT conv_id, n, greatest(1, (n + {count - 1}) // {count}) AS size FROM (SELECT conv_id, count(*) AS n FROM t GROUP BY conv_id)) CROSS JOIN (SELECT unnest({passes}) AS pass)
+), {name}_n AS (SELECT conv_id, pass, speaker, pos, size, pos < off AS rng FROM (SELECT conv_id, speaker, row_number() OVER (PARTITION BY conv_id ORDER BY idx) - 1 AS pos FROM t) JOIN {name}_b USING (conv_id)
+), {name}_e AS (SELECT *, min(stop) OVER (PARTITION BY conv_id, pass, rng ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS run_end FROM (
+    SELECT *, CASE WHEN speaker IS DISTINCT FROM lead(speaker) OVER w OR lead(pos) OVER w IS NULL THEN pos + 1 END AS stop FROM {name}_n WINDOW w AS (PARTITION BY conv_id, pass, rng ORDER BY pos))
+), {name}_z AS (SELECT conv_id, pass, rng, min(pos) AS lo, max(pos) + 1 AS hi, any_value(size) AS size FROM {name}_n GROUP BY conv_id, pass, rng
+), {name}_r AS (
+  SELECT z.conv_id, z.pass, z.rng, 1 AS no, lo AS a, e.run_end AS b, lo, hi, z.size FROM {name}_z z JOIN (SELECT conv_id, pass, pos, run_end FROM {name}_e) e ON e.conv_id = z.conv_id AND e.pass = z.pass AND e.pos = least(lo + z.size, hi) - 1
+  UNION ALL
+  SELECT r.conv_id, r.pass, r.rng, no + 1, nxt, e.run_end, lo, hi, size FROM (SELECT *, greatest(lo, b - greatest(0, least({overlap_}, size - 1))) AS nxt FROM {name}_r WHERE b < hi) r
+    JOIN (SELECT conv_id, pass, pos, run_end FROM {name}_e) e ON e.conv_id = r.conv_id AND e.pass = r.pass AND e.pos = least(nxt + size, hi) - 1
+), {name} AS (SELECT conv_id, pass, row_number() OVER (PARTITION BY conv_id, pass ORDER BY rng, no) AS chunk, CAST(a AS BIGINT) AS seg_from, CAST(b AS BIGINT) AS seg_to FROM {name}_r)"""
+
+
+@query(f"WITH RECURSIVE {TURN_SQL}, {_turned_sql(3, 1, '[0]', '2 % n', 'p')} SELECT conv_id, chunk, seg_from, seg_to FROM p")
 def chunk_plan_rotated(spark, sf_dir):
     return planning.chunk_plan(turns(spark, sf_dir), ["conv_id"], 3, 1, offset=2)
 
 
+@query(f"WITH RECURSIVE {TURN_SQL}, {_turned_sql(2, 1, '[0, 1]', 'pass * greatest(1, size // 2) % n', 'p')} SELECT conv_id, CAST(pass AS INTEGER) AS pass, chunk, seg_from, seg_to FROM p")
+def chunk_plan_passes(spark, sf_dir):
+    return planning.chunk_plans(turns(spark, sf_dir), ["conv_id"], 2, 1, passes=2)
+
+
 CHUNK_TEXT_SQL = f"""WITH RECURSIVE {TURN_SQL}, {_plan_sql('3', 1, 'p')}, o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY idx) - 1 AS pos FROM t)
 SELECT p.conv_id, chunk, count(*) AS n_segments, string_agg('[#' || CASE WHEN idx < 10000 THEN lpad(CAST(idx AS VARCHAR), 4, '0') ELSE CAST(idx AS VARCHAR) END || '] ' || speaker || ': ' || text, chr(10) ORDER BY idx) AS body
 FROM p JOIN o ON o.conv_id = p.conv_id AND pos >= seg_from AND pos < seg_to GROUP BY p.conv_id, chunk"""
@@ -345,6 +397,25 @@ def _cli_rows(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select(F.col("role").alias("audio"), (F.col("turn") * 1000).alias("start_us"), (F.col("conv_id") * 1000 + F.col("turn")).alias("line_no"), "text")
 
 
+PUNCTUATED_SQL = f"""w AS (SELECT conv_id, turn, role, text, list_filter(string_split_regex(text, '{WS}+'), lambda x: x <> '') AS w FROM conversations),
+a AS (SELECT *, array_to_string(list_transform(w, lambda x, i: CASE WHEN i = 1 THEN upper(x[1]) || lower(x[2:]) ELSE x END || CASE WHEN i = len(w) THEN '.' ELSE '' END), ' ') AS t FROM w),
+b AS (SELECT * REPLACE (regexp_replace(t, '^{WS}+|{WS}+$', '', 'g') AS t) FROM a), c AS (SELECT * REPLACE (regexp_replace(t, '{WS}+([,.;:!?…])', '\\1', 'g') AS t) FROM b),
+d AS (SELECT * REPLACE (regexp_replace(t, '{WS}+—{WS}*', ' — ', 'g') AS t) FROM c), e AS (SELECT * REPLACE (regexp_replace(regexp_replace(t, '{WS}{{2,}}', ' ', 'g'), '^{WS}+|{WS}+$', '', 'g') AS t) FROM d)"""
+
+
+@query(f"WITH {PUNCTUATED_SQL} SELECT conv_id, turn, CASE WHEN len(w) = 0 THEN text ELSE t END AS text_punct FROM e")
+def punctuate_texts(spark, sf_dir):
+    """The rule stand-in's labels: the first word in upper case, a full stop behind the last."""
+    return punctuate(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")).select("conv_id", "turn", "text_punct")
+
+
+@query(f"""WITH {PUNCTUATED_SQL} SELECT conv_id, turn, '{{"audio":"' || role || '","start":' || turn || ', "text_punct": ' || CAST(to_json(CASE WHEN len(w) = 0 THEN text ELSE t END) AS VARCHAR) || '}}' AS line FROM e""")
+def punctuated_lines(spark, sf_dir):
+    raw = F.expr("""concat(' {"audio":"', role, '","start":', turn, ' } ')""")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", raw.alias("raw"))
+    return punctuated(punctuate(rows)).select("conv_id", "turn", "line")
+
+
 @query("SELECT count(*) AS total, count(*) FILTER (regexp_matches(text, '\\S')) AS non_empty FROM conversations")
 def transcript_counters(spark, sf_dir):
     return dialog.counters(_cli_rows(spark, sf_dir), "text")
@@ -386,3 +457,44 @@ UNION ALL SELECT DISTINCT conv_id, -1, 0, '[dry-run] [dry-run] {messages.Prompts
 def summary_fold_dryrun(spark, sf_dir):
     windows = fold.prompts_of(turns(spark, sf_dir), ["conv_id"], PLAN)
     return fold.summarise(windows, ["conv_id"]).select("conv_id", "pass", "chunk", "summary", "status")
+
+
+def _told(*parts: str) -> str:
+    """SQL of the digest of messages, each a role and an SQL text."""
+    return "sha256(" + " || chr(30) || ".join(f"'{r}' || chr(31) || {t}" for r, t in zip(parts[::2], parts[1::2], strict=True)) + ")"
+
+
+def _prompted_sql(p: messages.Prompts = messages.Prompts()) -> str:
+    quote = lambda text: "'" + text.replace("'", "''") + "'"
+    system = f"CASE n.pass WHEN 0 THEN {quote(p.system)} ELSE replace({quote(p.second)}, '{{fragment_label}}', n.chunk || '/' || chunks) END"
+    user = f"{quote(p.pass_heading)} || CASE n.pass WHEN 0 THEN {quote(p.named(0))} ELSE {quote(p.named(1))} END || ' (' || (n.pass + 1) || '/2)' || chr(10) || chr(10) || {quote(p.summary_heading)} || coalesce(nullif(f.summary, ''), {quote(p.no_summary)})"
+    user += f" || chr(10) || chr(10) || {quote(p.fragment_heading)} || n.chunk || '/' || chunks || chr(10) || body || chr(10) || chr(10) || {quote(p.guide)}"
+    asked = _told("system", system, "user", user)
+    again = _told("assistant", "f.summary", "system", system, "user", user)
+    last = _told("system", quote(f"{p.system}\n\n{p.recheck}"), "user", "summary")
+    return f"""WITH RECURSIVE {TURN_SQL}, {SIZES_SQL}, {_plan_sql('SELECT chunks FROM sz WHERE sz.conv_id = q.conv_id', 1, 'p')}, cnt AS (SELECT conv_id, (count(*) + 1) // 2 AS c FROM p GROUP BY conv_id),
+{_plan_sql('SELECT c FROM cnt WHERE cnt.conv_id = q.conv_id', 1, 'p2')}, o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY idx) - 1 AS pos FROM t),
+n AS (SELECT *, count(*) OVER (PARTITION BY conv_id, pass) AS chunks, row_number() OVER (PARTITION BY conv_id ORDER BY pass, chunk) AS k FROM (
+  SELECT p.conv_id, pass, chunk, string_agg('[#' || CASE WHEN idx < 10000 THEN lpad(CAST(idx AS VARCHAR), 4, '0') ELSE CAST(idx AS VARCHAR) END || '] ' || speaker || ': ' || text, chr(10) ORDER BY idx) AS body
+  FROM (SELECT 0 AS pass, * FROM p UNION ALL SELECT 1, * FROM p2) p JOIN o ON o.conv_id = p.conv_id AND pos >= seg_from AND pos < seg_to GROUP BY p.conv_id, pass, chunk)
+), f AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS k, -2 AS pass, CAST(0 AS BIGINT) AS chunk, '' AS summary FROM n
+  UNION ALL SELECT n.conv_id, n.k, n.pass, n.chunk, CASE WHEN f.summary = '' THEN {asked} ELSE {again} END FROM f JOIN n ON n.conv_id = f.conv_id AND n.k = f.k + 1
+)
+SELECT conv_id, CAST(pass AS INTEGER) AS pass, CAST(chunk AS INTEGER) AS chunk, summary, 'done' AS status FROM f WHERE k > 0
+UNION ALL SELECT conv_id, -1, 0, {last}, 'done' FROM (SELECT conv_id, arg_max(summary, k) AS summary FROM f GROUP BY conv_id)"""
+
+
+@query(_prompted_sql())
+def summary_fold_digest(spark, sf_dir):
+    """Every answer is a digest of the whole prompt, so prompts, order and the running summary all show."""
+    windows = fold.prompts_of(turns(spark, sf_dir), ["conv_id"], PLAN)
+    return fold.summarise(windows, ["conv_id"], Digest).select("conv_id", "pass", "chunk", "summary", "status")
+
+
+@query(ORACLE_SQL["summary_fold_digest"])
+def summary_fold_resumed(spark, sf_dir):
+    """A job that goes on from the first pass of another: the other's rows and its own are those of one job."""
+    windows = fold.prompts_of(turns(spark, sf_dir), ["conv_id"], PLAN)
+    first = fold.summarise(windows, ["conv_id"], Digest).filter("pass = 0")
+    return first.unionByName(fold.summarise(windows, ["conv_id"], Digest, state=first)).select("conv_id", "pass", "chunk", "summary", "status")
