@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from turnweave import backends, sinks
 from turnweave.functions.text import recognised
-from turnweave.model import SECOND, SliceConfig
+from turnweave.model import SECOND, DedupConfig, PlanConfig, SliceConfig
 from turnweave.operators import dialog, intervals
+from turnweave.plans import jobs
 from turnweave.sources import audio, lines
+from turnweave.summary import fold
 
 
 def write_wave(path, samples, rate=16_000, channels=1, width=2):
@@ -36,6 +38,7 @@ def test_catalogue_and_decoding(spark, tmp_path):
     assert sorted((r.file_name, r.stem, r.suffix) for r in files.collect()) == [("x.WAV", "x", ".wav"), ("y.wav", "y", ".wav"), ("z.mp3", "z", ".mp3")]
     waves = {r.path.rsplit("/", 1)[1]: r for r in audio.waveforms(files).collect()}
     assert {k: r.total_us for k, r in waves.items()} == {"x.WAV": 500_000, "y.wav": 500_000, "z.mp3": 0}
+    assert waves["x.WAV"].status == "ok" and "wave" in waves["z.mp3"].status
     assert np.abs(audio.from_pcm(waves["x.WAV"].pcm) - tone(0.5) / 32768).max() < 1e-3
 
 
@@ -46,6 +49,97 @@ def test_resampling():
     assert np.array_equal(audio.resample(x, 16000, 16000), x)
 
 
+def test_resampling_down_keeps_what_fits_and_takes_out_what_does_not():
+    at = np.arange(48_000) / 48_000
+    low, high = np.sin(2 * np.pi * 1000 * at), np.sin(2 * np.pi * 11_000 * at)
+    got = audio.resample((low + high).astype(np.float32), 48_000, 16_000)
+    want = np.sin(2 * np.pi * 1000 * np.linspace(0, at[-1], 16_000))
+    assert len(got) == 16_000 and np.abs(got - want)[200:-200].max() < 0.02  # interpolation alone would fold 11 kHz onto 5
+
+
+def test_other_codecs_go_through_a_program(spark, tmp_path):
+    program = tmp_path / "decode.sh"
+    program.write_text("#!/bin/sh\nif [ \"$1\" = 16000 ]; then read -r kind; [ \"$kind\" = good ] && head -c 32000 /dev/zero || { echo bad input >&2; exit 3; }; fi\n")
+    program.chmod(0o755)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.mp3").write_bytes(b"good\n")
+    (tmp_path / "in/b.ogg").write_bytes(b"else\n")
+    write_wave(tmp_path / "in/c.wav", tone(0.25))
+    files = audio.catalogue(spark, str(tmp_path / "in"))
+    decode = audio.piped((str(program), "{rate}"))
+    waves = {r.path.rsplit("/", 1)[1]: (r.total_us, r.status) for r in audio.waveforms(files, decode=decode).collect()}
+    assert waves["a.mp3"] == (1_000_000, "ok") and waves["c.wav"] == (250_000, "ok") and waves["b.ogg"][0] == 0 and "bad input" in waves["b.ogg"][1]
+    none = audio.piped((str(tmp_path / "missing"),))
+    assert "missing" in {r.path.rsplit("/", 1)[1]: r.status for r in audio.waveforms(files, decode=none).collect()}["a.mp3"]
+
+
+def test_decoded_recordings_are_kept(spark, tmp_path):
+    write_wave(tmp_path / "in/a.wav", tone(0.25))
+    table, calls = str(tmp_path / "kept"), tmp_path / "calls"
+    calls.mkdir()
+
+    def counted(content, rate, folder=str(calls)):
+        import tempfile
+
+        tempfile.mkstemp(dir=folder)
+        return audio.decode_wave(content, rate)
+
+    look = lambda: audio.kept_waveforms(audio.catalogue(spark, str(tmp_path / "in")), table, decode=counted)
+    assert [(r.total_us, r.status) for r in look().collect()] == [(250_000, "ok")] and len(list(calls.iterdir())) == 1
+    assert look().count() == 1 and len(list(calls.iterdir())) == 1
+    write_wave(tmp_path / "in/b.wav", tone(0.5))
+    assert sorted(r.total_us for r in look().collect()) == [250_000, 500_000] and len(list(calls.iterdir())) == 2
+
+
+def test_whole_job(spark, tmp_path):
+    quiet = np.zeros(16_000)
+    write_wave(tmp_path / "s/bob.wav", np.concatenate([quiet, tone(2), quiet, tone(1), quiet]))
+    write_wave(tmp_path / "s/amy.wav", quiet)
+    files = audio.catalogue(spark, str(tmp_path / "s"))
+    waves = audio.waveforms(files)
+    slicing, dense = SliceConfig(inner_silence_us=0), DedupConfig(min_words_per_s=0.5)
+    segments = jobs.transcribe(waves, slicing=slicing, dedup=dense).orderBy("seg_no").collect()
+    assert [(r.path.rsplit("/", 1)[1], r.seg_no, r.text, r.accepted) for r in segments] == [("bob.wav", 1, "2100 ms", True), ("bob.wav", 2, "1100 ms", True)]
+    assert [r.text for r in jobs.full_texts(jobs.transcribe(waves, slicing=slicing, dedup=dense)).collect()] == ["2100 ms 1100 ms"]
+    rows = jobs.process(files, waves, slicing=slicing, dedup=dense)
+    assert sorted((r.audio, r.file_no, r.text) for r in rows.collect()) == [("amy.wav", 1, ""), ("bob.wav", 2, "1100 ms"), ("bob.wav", 2, "2100 ms")]
+    assert [(r.audio, r.text, r.n_segments) for r in jobs.punctuated_turns(rows).collect()] == [("bob.wav", "2100 ms 1100 ms.", 2)]
+
+    class Made:
+        def __init__(self):
+            import tempfile
+
+            tempfile.mkstemp(dir=folder)
+
+        def transcribe(self, samples, rate):
+            return "x"
+
+    folder = str(tmp_path / "made")
+    (tmp_path / "made").mkdir()
+    chunks = audio.cut(waves, intervals.slice_speech(backends.speech_spans(waves), ["path"], slicing, "total_us"), "path")
+    for _ in range(3):
+        backends.recognise(chunks.coalesce(1), backends.once("made in this test", Made)).count()
+    assert len(list((tmp_path / "made").iterdir())) <= 4  # a worker each at most, not a task each
+    assert backends.on_device("gpu", 0.5).taskResources["gpu"].amount == 0.5
+
+
+def test_merged_document_tokens_and_state(spark, tmp_path):
+    rows = [{"audio": "z.wav", "start": 2.0, "text": "b"}, {"audio": "a.wav", "start": 1.0, "text": "q"}, {"audio": "z.wav", "start": 1.0, "text": "a"}, {"audio": "n.wav", "text": " "}]
+    (tmp_path / "s.jsonl").write_text("\n".join(json.dumps(r) for r in rows))
+    done = backends.punctuate(lines.read_segments(spark, str(tmp_path / "s.jsonl")))
+    document = sinks.merged_json(done)
+    assert document.first().json == json.dumps({"z.wav": "A. B.", "a.wav": "Q."}, indent=2)
+    sinks.write_text(document, str(tmp_path / "out"), "json")
+    assert "".join(f.read_text() for f in (tmp_path / "out").glob("*.txt")) == document.first().json + "\n"
+    (tmp_path / "d.txt").write_text("A: abcd\nB: abcde\n\nnothing\n")
+    assert [tuple(r)[1:] for r in lines.dialog_tokens(spark, str(tmp_path / "d.txt"), PlanConfig(target_tokens=2, max_tokens=2)).collect()] == [(2, 3, 2)]
+    state = spark.createDataFrame([("p", "h", 0, 1, "s1", "done", 1, None), ("p", "h", fold.RECHECK, 0, "s2", "done", 1, None), ("q", "h", 0, 1, "s1", "done", 1, None), ("q", "h", 0, 2, "s1", "limited", 3, "stop")], "dialog string, content_hash string, pass int, chunk int, summary string, status string, attempts int, error string")
+    held = fold.write_state(state, str(tmp_path / "state"))
+    assert held.count() == 4 and fold.write_state(state.limit(1), str(tmp_path / "state")).count() == 5
+    assert {r.dialog for r in fold.open_state(held, ["dialog"]).collect()} == {"q"}
+    assert [tuple(r) for r in fold.partial_summaries(state, ["dialog"]).collect()] == [("q", "s1", "limited", "stop", 0, 2)]
+
+
 def test_recording_to_segments(spark, tmp_path):
     quiet = np.zeros(16_000)
     write_wave(tmp_path / "s/bob.wav", np.concatenate([quiet, tone(2), quiet, tone(1), quiet]))

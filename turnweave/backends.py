@@ -1,7 +1,8 @@
 """Plug-ins for what needs models: voice activity, recognition, punctuation. Each has a deterministic stand-in; the stand-ins
 are stubs for tests and dry runs, not models.
 
-A backend is made on the worker by a factory, once for each task, and fed one recording, chunk or text at a time.
+A backend is made on the worker by a factory, once for each task (or process, by ``once``), and fed one recording, chunk or
+text at a time. A stage may be given a resource profile, so that models that need a device run where one is.
 """
 
 from __future__ import annotations
@@ -72,7 +73,31 @@ class RulePunctuator:
         return [{"word": w, "entity_group": shape(k)} for k, w in enumerate(tokens)]
 
 
-def speech_spans(waves: DataFrame, make: Callable[[], VoiceActivity] = EnergyVoiceActivity, config: VadConfig = VadConfig(), key: str = "path") -> DataFrame:
+_held: dict[str, object] = {}
+
+
+def once(name: str, make: Callable[[], object]) -> Callable[[], object]:
+    """A factory that makes the backend of that name once a worker process; later tasks there get the same."""
+
+    def held():
+        from turnweave import backends  # the worker's own module, not what was sent along
+
+        if name not in backends._held:
+            backends._held[name] = make()
+        return backends._held[name]
+
+    return held
+
+
+def on_device(device: str = "gpu", amount: float = 1.0, cores: int | None = None):
+    """A profile for stages whose tasks need ``amount`` of a device each; voice activity may do without one."""
+    from pyspark.resource import ResourceProfileBuilder, TaskResourceRequests
+
+    needs = TaskResourceRequests().resource(device, amount)
+    return ResourceProfileBuilder().require(needs.cpus(cores) if cores else needs).build
+
+
+def speech_spans(waves: DataFrame, make: Callable[[], VoiceActivity] = EnergyVoiceActivity, config: VadConfig = VadConfig(), key: str = "path", profile=None) -> DataFrame:
     """``key, total_us, start_us, end_us`` of the voice in each recording, spans above the limit split."""
     ship(waves.sparkSession)
 
@@ -83,7 +108,7 @@ def speech_spans(waves: DataFrame, make: Callable[[], VoiceActivity] = EnergyVoi
                 spans = [(round(a * 1e6), round(b * 1e6)) for a, b in backend.spans(np.nan_to_num(from_pcm(row["pcm"])), row["sample_rate"])]
                 yield pa.RecordBatch.from_pydict({key: pa.array([row[key]] * len(spans), pa.string()), "total_us": pa.array([row["total_us"]] * len(spans), pa.int64()), "start_us": pa.array([s for s, _ in spans], pa.int64()), "end_us": pa.array([e for _, e in spans], pa.int64())})
 
-    found = waves.select(key, "sample_rate", "pcm", "total_us").mapInArrow(run, f"{key} string, total_us long, start_us long, end_us long")
+    found = waves.select(key, "sample_rate", "pcm", "total_us").mapInArrow(run, f"{key} string, total_us long, start_us long, end_us long", profile=profile)
     return split_long(found, config.max_span_us)
 
 
@@ -97,7 +122,7 @@ def _transcribe(backend, samples, rate, language):
     return backend.transcribe(samples, rate, **({name: language} if name else {}))
 
 
-def recognise(chunks: DataFrame, make: Callable[[], Recogniser] = EchoRecogniser, rate: int = 16_000, language: str | None = None) -> DataFrame:
+def recognise(chunks: DataFrame, make: Callable[[], Recogniser] = EchoRecogniser, rate: int = 16_000, language: str | None = None, profile=None) -> DataFrame:
     """``chunks`` with ``answer``: what the recogniser says of ``pcm``, strings as they are and all else as JSON
     (``functions.text.recognised`` reads either)."""
     ship(chunks.sparkSession)
@@ -112,10 +137,10 @@ def recognise(chunks: DataFrame, make: Callable[[], Recogniser] = EchoRecogniser
             said = [s if isinstance(s, str) else json.dumps(s, ensure_ascii=False) if isinstance(s, dict | list) else str(s) for s in said]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(said, pa.string())], names=[*kept, "answer"])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(run, schema, profile=profile)
 
 
-def punctuate(texts: DataFrame, make: Callable[[], Punctuator] = RulePunctuator, text: str = "text", out: str = "text_punct") -> DataFrame:
+def punctuate(texts: DataFrame, make: Callable[[], Punctuator] = RulePunctuator, text: str = "text", out: str = "text_punct", profile=None) -> DataFrame:
     """``texts`` with punctuation and case restored in ``out``: the backend's labels come from Python, the text is put
     together by expressions. A text that it fails on is halved at a blank until it works; if a part can't be halved the
     whole stays as it was. Blank texts stay."""
@@ -146,7 +171,7 @@ def punctuate(texts: DataFrame, make: Callable[[], Punctuator] = RulePunctuator,
     token = lambda p: marked(F.trim(F.coalesce(p["word"], F.lit(""))), F.coalesce(F.nullif(p["entity_group"], F.lit("")), F.lit("LOWER_O")))
     parts: Column = F.transform("__labels", lambda run: fix_spaces(F.array_join(F.transform(run, token), " ")))
     whole = fix_spaces(F.array_join(parts, " "))
-    return source.mapInArrow(run, schema).withColumn(out, F.when(F.col("__labels").isNull(), F.col(text)).otherwise(whole)).select(*[c for c in kept if c != out], out)
+    return source.mapInArrow(run, schema, profile=profile).withColumn(out, F.when(F.col("__labels").isNull(), F.col(text)).otherwise(whole)).select(*[c for c in kept if c != out], out)
 
 
 def half(text: str) -> int:

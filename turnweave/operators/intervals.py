@@ -135,9 +135,10 @@ def report(spans: DataFrame, word: str = "Голос") -> DataFrame:
     return spans.withColumn("line", F.format_string(f"%.1f-%.1f {word}", F.col("start_us") / 1e6, F.col("end_us") / 1e6))
 
 
-def number_segments(chunks: DataFrame, keys: Sequence[str], rate: int = 16_000) -> DataFrame:
-    """Segments (``seg_no`` from 1, times, empty text) of chunks in samples; 16 kHz samples are exact in microseconds."""
+def number_segments(chunks: DataFrame, keys: Sequence[str], rate: int = 16_000, keep: Sequence[str] = ()) -> DataFrame:
+    """Segments (``seg_no`` from 1, times, empty text, columns to ``keep``) of chunks in samples; 16 kHz samples are exact in
+    microseconds."""
     order = Window.partitionBy(*keys).orderBy("start_sample", "end_sample")
     common = gcd(rate, 1_000_000)
     us = lambda c: div(F.col(c) * (1_000_000 // common), rate // common)
-    return chunks.select(*keys, F.row_number().over(order).cast("long").alias("seg_no"), us("start_sample").alias("start_us"), us("end_sample").alias("end_us"), F.lit("").alias("text"))
+    return chunks.select(*keys, F.row_number().over(order).cast("long").alias("seg_no"), us("start_sample").alias("start_us"), us("end_sample").alias("end_us"), F.lit("").alias("text"), *keep)

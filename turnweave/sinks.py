@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions.text import quoted, squeeze
 from .functions.times import format_offset
+from .operators.dialog import punctuated_transcripts
 
 
 def segment_rows(segments: DataFrame, *keys: str) -> DataFrame:
@@ -46,6 +47,17 @@ def punctuated(segments: DataFrame, text: str = "text_punct") -> DataFrame:
     return segments.withColumn("line", F.concat(body, comma, F.lit(f'"{text}": '), quoted(F.col(text)), F.lit("}")))
 
 
+def merged_json(segments: DataFrame, text: str = "text_punct") -> DataFrame:
+    """All recordings' punctuated texts as one JSON object, recordings by where they first say something."""
+    said = segments.filter(F.coalesce(F.col(text).rlike(r"\S"), F.lit(False))).groupBy(F.coalesce("audio", F.lit("UNKNOWN")).alias("audio")).agg(F.min("line_no").alias("first_turn"))
+    return transcript_json(punctuated_transcripts(segments, text).join(said, "audio").withColumn("dir", F.lit(""))).select("json")
+
+
+def write_text(rows: DataFrame, path: str, text: str, by: tuple[str, ...] = ()) -> None:
+    """A document a row as text files, one folder for each value of ``by``; what was there is replaced."""
+    rows.select(*by, F.col(text).alias("value")).write.mode("overwrite").partitionBy(*by).text(path)
+
+
 def write_lines(rows: DataFrame, path: str, line: str = "line", by: tuple[str, ...] = (), order: tuple[str, ...] = ()) -> None:
     """Lines as text files, one folder for each value of ``by``, in ``order`` within them."""
     rows = rows.select(*by, *[F.col(c).alias(f"__{c}") for c in order], F.col(line).alias("value"))

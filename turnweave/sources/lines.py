@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip
 from ..functions.times import parse_offset
+from ..model import PlanConfig
+from ..operators.planning import token_sizes
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -57,6 +59,11 @@ def read_segments(spark: SparkSession, path: str, strict: bool = True) -> DataFr
     return rows.select("path", "line_no", F.coalesce(text("audio"), F.lit("UNKNOWN")).alias("audio"), F.coalesce(parse_offset(text("start")), F.lit(0)).alias("start_us"), parse_offset(text("end")).alias("end_us"), F.coalesce(text("text"), F.lit("")).alias("text"), "raw")
 
 
+def dialog_tokens(spark: SparkSession, path: str, config: PlanConfig = PlanConfig()) -> DataFrame:
+    """Of each dialog file ``path, n_segments, tokens`` and the ``chunks`` that a plan asks for."""
+    return token_sizes(parse_dialog(read_lines(spark, path), ["path"]), ["path"], config)
+
+
 def read_note(spark: SparkSession, path: str | None) -> str:
     """A small text file in one piece, stripped; no path: empty; a missing file is an error."""
     if not path:

@@ -102,3 +102,22 @@ def final_summaries(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``keys, summary, status``: the final summary of finished dialogs, the last kept one of the others."""
     place = F.struct((F.col("pass") == RECHECK).alias("final"), "pass", "chunk")
     return rows.groupBy(*keys).agg(F.max_by("summary", place).alias("summary"), F.max_by("status", place).alias("status"))
+
+
+def write_state(rows: DataFrame, path: str) -> DataFrame:
+    """Adds a job's rows to the state table at ``path`` and reads the whole table back: what ``summarise`` takes as ``state``."""
+    rows.write.mode("append").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def open_state(state: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows of ``state`` that a later job still needs: those of dialogs that are not finished. Written over the table, it is
+    cleared of the others."""
+    done = state.filter((F.col("pass") == RECHECK) & (F.col("status") == "done")).select(*keys, "content_hash").distinct()
+    return state.join(done, [*keys, "content_hash"], "left_anti")
+
+
+def partial_summaries(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Of dialogs that stopped: the last summary, why, and the window to go on with."""
+    stopped = rows.filter("status <> 'done'")
+    return stopped.select(*keys, "summary", "status", "error", F.col("pass").alias("failed_pass"), F.col("chunk").alias("failed_chunk"))
