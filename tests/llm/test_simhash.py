@@ -1,8 +1,9 @@
 import random
 
+import numpy as np
 import xxhash
 
-from turnweave.llm import simhash
+from turnweave.llm import bktree, simhash
 
 
 def plain_fingerprint(text):
@@ -64,12 +65,100 @@ def test_links_with_small_pieces_connect_the_same(spark):
         assert set(roots) == linked
 
 
-def test_bk_tree_finds_all_within_the_radius():
-    rng = random.Random(3)
-    values = {rng.getrandbits(16) for _ in range(500)}
-    tree = simhash.BKTree(values)
-    for q in rng.sample(range(2**16), 50):
-        assert sorted(tree.search(q, 3)) == sorted(v for v in values if (v ^ q).bit_count() <= 3)
+def test_bk_trees_find_all_within_the_radius():
+    rng = np.random.default_rng(3)
+    seeds = rng.integers(0, 2**63, (40, 2)).astype(np.uint64)
+    bit = lambda: np.uint64(1) << rng.integers(0, 64, (900, 2)).astype(np.uint64)
+    values = np.unique(seeds[rng.integers(0, 40, 900)] ^ bit() ^ bit(), axis=0)
+    rng.shuffle(values)
+    first = np.array([0, 250, 251, len(values)])
+    trees = bktree.Trees(values, first)
+    roots = np.repeat(first[:-1], np.diff(first))
+    all_ = bktree.distance(values[:, None], values[None])
+    for radius in (0, 3, 8, 28):
+        q, n, d = trees.search(values, roots, radius)
+        assert set(zip(q.tolist(), n.tolist(), strict=True)) == set(zip(*[x.tolist() for x in np.nonzero((all_ <= radius) & (roots[:, None] == roots))], strict=True))
+        assert (all_[q, n] == d).all()
+        once = q > n
+        kept = bktree.forest(len(values), q[once], n[once], d[once])
+        label = list(range(len(values)))
+
+        def root(x):
+            while label[x] != x:
+                x = label[x]
+            return x
+
+        least = []
+        for u, v, w in sorted(zip(q[once].tolist(), n[once].tolist(), d[once].tolist(), strict=True), key=lambda e: e[2]):
+            if root(u) != root(v):
+                label[root(u)] = root(v)
+                least.append(w)
+        assert len(kept) == len(least) and d[once][kept].sum() == sum(least)
+    nodes = [k for k in range(len(values)) if trees.parent[k] >= 0]
+    assert all(all_[k, trees.parent[k]] == trees.edge[k] for k in nodes) and len({(trees.parent[k], trees.edge[k]) for k in nodes}) == len(nodes)
+
+
+def jaccard_groups(rows, similarity=0.8, width=5):
+    """Group of each row number over links of the sets of shingles."""
+    sets = []
+    for _, t in rows:
+        w = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "").encode().split()
+        sets.append({tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set())
+    label = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            both = len(sets[a] | sets[b])
+            if not both or len(sets[a] & sets[b]) >= similarity * both - 1e-9:
+                old, new = label[a], label[b]
+                label = [new if x == old else x for x in label]
+    return label
+
+
+def test_similar_texts_against_brute_force(spark):
+    rng = random.Random(9)
+    rows = []
+    for k in range(12):  # each with copies that differ in up to a word in thirty: similarities from 0.7 to 1
+        base = [f"w{rng.randrange(3000)}" for _ in range(rng.choice([8, 60, 300, 1200]))]
+        rows.append((len(rows), " ".join(base)))
+        for n in range(12):
+            rows.append((len(rows), near(rng, base, rng.randint(0, max(1, len(base) // 30)))))
+    rows += [(len(rows) + i, t) for i, t in enumerate([None, "", " \n", "one", "ONE", "one two", "a b c d", "A b  c d", "a b c d e f", "x"])]
+    rows += [(None, "nobody's text of six words"), (None, "nobody's text of six words"), (rows[0][0], rows[0][1]), (900, rows[1][1].upper())]
+    frame = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, node string, Size int").repartition(3)
+    kept = simhash.drop_similar(frame)
+    assert kept.columns == frame.columns
+    label = jaccard_groups(rows)
+    groups = {}
+    for (i, t), g in zip(rows, label, strict=True):
+        groups.setdefault(g, []).append((i is None, i or 0))
+    got = sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect())
+    want = sorted(min(g) for g in groups.values())
+    # links are found by chance: all but a few of those near the threshold
+    assert set(want) <= set(got) and len(got) <= len(want) + len(rows) // 50
+    assert simhash.drop_similar(frame.limit(0)).count() == 0
+
+
+def test_a_large_group_of_near_copies_in_pieces(spark, monkeypatch):
+    rng = random.Random(10)
+    base = [f"w{rng.randrange(500)}" for _ in range(400)]
+    rows = [(k, near(rng, base, 4)) for k in range(300)] + [(1000 + k, " ".join(rng.sample(base, 50))) for k in range(30)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").cache()
+    marked = simhash.shingled(frame, sets=True).cache()
+    for piece, broadcast in ((40, 0), (1024, 100_000)):
+        monkeypatch.setattr(simhash, "BROADCAST_ROWS", broadcast)
+        found = simhash.similar(frame, marked, piece=piece)
+        roots = {r.node: r.root for r in simhash.components(found).collect()}
+        assert len(set(roots.values())) == 1 and len(roots) >= 295
+        sets = {r.node: set(r.shingles) for r in marked.collect()}
+        assert all(5 * len(sets[r.a] & sets[r.b]) >= 4 * len(sets[r.a] | sets[r.b]) for r in found.collect())
+
+
+def test_shingles_and_fingerprints_of_any_length(spark):
+    texts = ["a b c d e f", "A B c d E f", "f e d c b a", "a b c d e f a b c d e", "a", "a b", None, " ", "x " * 50_000 + "y"]
+    found = {r.doc_id: r for r in simhash.shingled(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), sets=True).collect()}
+    assert [found[k].size for k in range(9)] == [2, 2, 2, 6, 1, 1, 0, 0, 2]
+    assert found[0].node == found[1].node != found[2].node and found[6].node == found[7].node and found[4].node != found[5].node
+    assert all(sorted(r.shingles) == r.shingles and len(r.shingles) == r.size for r in found.values())
 
 
 def test_null_ids_and_empty_table(spark):

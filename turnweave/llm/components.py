@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import made, materialise, remove
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
@@ -28,14 +28,16 @@ def components(links: DataFrame) -> DataFrame:
     """``node, root`` (the component's smallest node) for every node with a link; ``links`` has columns a and b.
 
     Each round at least halves what keeps a component from being a star; rounds go on until nothing changes. Every
-    round's links are written to the shared folder. Loops and null ends are ignored.
+    round's links are written to the shared folder and removed after the next. Loops and null ends are ignored.
     """
     links = materialise(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     mark = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
     now = mark(links)
     while now[0]:
+        old = len(made()) - 1  # the links of the round before and what comes of them
         links = materialise(_star(materialise(_star(links, True), "large"), False), "small")
         before, now = now, mark(links)
+        remove(links.sparkSession, made()[old:-1])
         if before == now:
             break
     roots = links.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -1,65 +1,42 @@
 """SimHash near-duplicates found by BK-trees.
 
-A BK-tree keeps each child under the integer Hamming distance to its parent; a search within radius r follows only the
-edges from d-r to d+r. One tree over everything would visit a growing share of all nodes, so the fingerprints are dealt
-to shards first: their 64 bits are cut into blocks, and two fingerprints within r bits agree on some choice of
-``blocks - r`` blocks. Every such choice and its bits is a shard, which has a tree of its own; a shard with more
-fingerprints than ``piece`` is cut into pieces, and each piece's tree is sent to the tasks that search it for the other
-pieces. All links within r bits are found; a search returns a spanning forest of them, which connects the same.
+One tree over everything would visit a growing share of all nodes, so fingerprints are dealt to shards first, and every shard
+has trees of its own (``bktree``). A shard of more than ``piece`` fingerprints is cut into pieces; each piece's tree is built
+once and sent, as a row of bounded size, to the tasks that search it for the other pieces. A search returns a spanning forest
+of the links it finds, the shortest first, which connects the same.
+
+Two ways to deal: ``shard_keys`` cuts the 64 bits into blocks, of which two fingerprints within r bits agree on some choice of
+``blocks - r``, so no link is missed. For similarities of word shingles the distances are too wide for that; ``sampled_keys``
+then takes so many samples of bits that two texts just similar enough agree on one of them with a stated chance. Links
+found so are candidates: each is held against the two texts' whole sets of shingles.
 """
 
 from __future__ import annotations
 
+import math
+import random
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import bktree, textbuf
 from .common import materialise, ship
 from .components import components
+from .decontam import runs
 
-#: Distinct fingerprints that one tree holds.
-PIECE = 1024
-
-
-class BKTree:
-    """Fingerprints (ints) by Hamming distance."""
-
-    def __init__(self, values=()):
-        self.root: list | None = None  # [value, {distance: child}]
-        for v in values:
-            self.add(v)
-
-    def add(self, value: int) -> None:
-        if self.root is None:
-            self.root = [value, {}]
-            return
-        node = self.root
-        while d := (node[0] ^ value).bit_count():
-            child = node[1].get(d)
-            if child is None:
-                node[1][d] = [value, {}]
-                return
-            node = child
-
-    def search(self, value: int, radius: int) -> list[int]:
-        """All held values within ``radius`` bits."""
-        found, todo = [], [self.root] if self.root else []
-        while todo:
-            held, children = todo.pop()
-            d = (held ^ value).bit_count()
-            if d <= radius:
-                found.append(held)
-            if children:
-                if len(children) <= 2 * radius:
-                    todo += [c for k, c in children.items() if d - radius <= k <= d + radius]
-                else:
-                    todo += [children[k] for k in range(max(1, d - radius), d + radius + 1) if k in children]
-        return found
+#: Distinct fingerprints that one tree holds, and pairs of values of a tree that are looked at in one go.
+PIECE, PAIRS = 1024, 1 << 22
+#: Chance that two texts just at the similarity share a shard, and the deviations of their distance that a search takes in.
+CHANCE, DEVIATIONS = 0.996, 3.5
+#: Candidates' rows up to which their keys (some 40 bytes each) are broadcast to fetch their texts.
+BROADCAST_ROWS = 100_000
+#: Text bytes whose shingles are made at a time, and shingles whose bits are.
+CHUNK_BYTES, CHUNK_SHINGLES = 1 << 20, 1 << 17
+_WHITE = textbuf.separators("white")
 
 
 def fingerprint(text: bytes, width: int = 3) -> int:
@@ -105,80 +82,156 @@ def blocks_for(n: int, radius: int) -> int:
     return blocks
 
 
-def shard_keys(fp, radius: int, blocks: int):
-    """Columns of the shards' keys: each choice of blocks that must agree, with its bits."""
+def shard_keys(fp: Column, radius: int, blocks: int) -> Column:
+    """The shards' keys: each choice of blocks that must agree, with its bits."""
     cuts = [64 * i // blocks for i in range(blocks + 1)]
     keys = []
     for number, chosen in enumerate(combinations(range(blocks), blocks - radius)):
         mask = sum(((1 << (cuts[i + 1] - cuts[i])) - 1) << cuts[i] for i in chosen)
-        signed = mask - (1 << 64) if mask >> 63 else mask
-        keys.append(F.struct(F.lit(number).alias("t"), fp.bitwiseAND(F.lit(signed)).alias("bits")))
+        keys.append(F.struct(F.lit(number).alias("t"), fp.bitwiseAND(F.lit(_signed(mask))).alias("bits")))
     return F.array(*keys)
 
 
-def _forest(values: list[int], side: list[int], within: bool, radius: int, links: list[tuple[int, int]]) -> None:
-    """Adds the spanning forest of the links within a piece (``within``), or between two pieces, of a shard."""
-    parent: dict[int, int] = {}
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
 
-    def root(x: int) -> int:
-        while parent.setdefault(x, x) != x:
-            parent[x] = x = parent[parent[x]]
-        return x
 
-    tree = BKTree() if within else BKTree(v for v, s in zip(values, side, strict=True) if not s)
-    for v, s in zip(values, side, strict=True):
-        if within or s:
-            for near in tree.search(v, radius):
-                if (a := root(v)) != (b := root(near)):
-                    parent[a] = b
-                    links.append((v, near))
-        if within:
-            tree.add(v)
+def unlike(similarity: float) -> float:
+    """Share of bits in which fingerprints of two equally large sets of that Jaccard similarity differ."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def _forests(radius: int):
-    """Shards come sorted, one behind the other; the last of a batch waits for the next batch."""
+def sampled_keys(words: list[Column], n: int, similarity: float, seed: int = 0) -> Column:
+    """Keys of shards of agreeing samples of bits, some 32 of ``n`` evenly spread fingerprints to a shard. The samples are as
+    many as give two fingerprints of ``similarity`` the chance ``CHANCE`` to share one: a power of ``n`` of 0.23 at 0.8."""
+    bits = min(48, max(4, round(math.log2(max(n, 1) / 32 + 1))))
+    agree = (1 - unlike(similarity)) ** bits
+    rng, keys = random.Random(seed), []
+    for number in range(math.ceil(math.log(1 - CHANCE) / math.log1p(-agree))):
+        chosen = rng.sample(range(64 * len(words)), bits)
+        masks = [sum(1 << (c % 64) for c in chosen if c // 64 == k) for k in range(len(words))]
+        keys.append(F.struct(F.lit(number).alias("t"), F.xxhash64(*[w.bitwiseAND(F.lit(_signed(m))) for w, m in zip(words, masks, strict=True)]).alias("bits")))
+    return F.array(*keys)
 
-    def search(batches):
-        held = None
-        for batch in batches:
-            part = batch.to_pandas()
-            held = part if held is None else pd.concat([held, part], ignore_index=True)
-            keys = held[["t", "bits", "i", "j"]].to_numpy()
-            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
-            if len(cuts):
-                yield _found(held.iloc[: cuts[-1]], cuts[:-1], radius)
-                held = held.iloc[cuts[-1] :]
-        if held is not None and len(held):
-            yield _found(held, np.zeros(0, np.int64), radius)
 
-    return search
+_FOUND = "a long, b long, t int, bits long, x int, p int, tree binary"
+
+
+def _row(a=(), b=(), t=(), bits=(), x=(), p=(), tree=()) -> pa.RecordBatch:
+    """Links, or trees; the other's columns are null."""
+    n = max(len(a), len(t))
+    full = lambda v, kind: pa.array(v, kind) if len(v) else pa.nulls(n, kind)
+    columns = [full(a, pa.int64()), full(b, pa.int64()), full(t, pa.int32()), full(bits, pa.int64()), full(x, pa.int32()), full(p, pa.int32()), full(tree, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=["a", "b", "t", "bits", "x", "p", "tree"])
+
+
+class _Shards:
+    """Rows of several shards' pieces: node numbers, fingerprints, sizes, and where each piece begins."""
+
+    def __init__(self, node: np.ndarray, values: np.ndarray, size: np.ndarray, first: np.ndarray, parent=None, edge=None):
+        self.node, self.size, self.trees = node, size, bktree.Trees(values, first, parent, edge)
+
+    def blob(self, k: int) -> bytes:
+        """One piece's tree."""
+        a, b = self.trees.first[k : k + 2]
+        parent = np.where(self.trees.parent[a:b] >= 0, self.trees.parent[a:b] - a, -1)
+        parts = [self.node[a:b], self.size[a:b], parent, self.trees.edge[a:b], self.trees.values[a:b].view(np.int64).ravel()]
+        return np.concatenate([[b - a], *parts]).astype(np.int64).tobytes()
 
+    @classmethod
+    def of(cls, blob: bytes) -> _Shards:
+        data = np.frombuffer(blob, np.int64)
+        n = int(data[0])
+        node, size, parent, edge = data[1 : 1 + 4 * n].reshape(4, n)
+        return cls(node, data[1 + 4 * n :].view(np.uint64).reshape(n, -1), size, np.array([0, n]), parent, edge)
 
-def _found(rows: pd.DataFrame, cuts: np.ndarray, radius: int) -> pa.RecordBatch:
-    values = rows["fp"].to_numpy().view(np.uint64).tolist()
-    side, within = rows["side"].tolist(), (rows["i"] == rows["j"]).tolist()
-    bounds, out = [0, *cuts.tolist(), len(values)], []
-    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-        if b - a > 1:
-            _forest(values[a:b], side[a:b], within[a], radius, out)
-    pairs = np.array(out, np.uint64).reshape(-1, 2).view(np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+    def links(self, other: _Shards | None, radius: int, ratio: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+        """A forest of the links within each piece, or from the values of ``other`` to those of the one piece here. ``ratio``: least
+        share of the larger size that the smaller must be."""
+        mine = other is None
+        queries = self if mine else other
+        roots = np.repeat(self.trees.first[:-1], np.diff(self.trees.first)) if mine else np.zeros(len(other.node), np.int64)
+        q, n, d = self.trees.search(queries.trees.values, roots, radius)
+        x, y = queries.size[q], self.size[n]
+        fits = ratio[1] * np.minimum(x, y) >= ratio[0] * np.maximum(x, y)
+        if mine:
+            fits &= q > n
+        q, n, d = q[fits], n[fits], d[fits]
+        kept = bktree.forest(len(self.node) + (0 if mine else len(other.node)), q if mine else q + len(self.node), n, d)
+        return queries.node[q[kept]], self.node[n[kept]]
+
+
+def _grown(words: list[str], radius: int, ratio: tuple[int, int]):
+    """Pieces come sorted, one behind the other; the last of a batch waits for the next batch."""
+
+    def grow(batches):
+        held = None
+        for batch in batches:
+            part = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in batch.schema.names}
+            held = part if held is None else {n: np.concatenate([held[n], part[n]]) for n in part}
+            new = np.zeros(len(held["t"]), bool)
+            for n in ("t", "bits", "x"):
+                new[1:] |= held[n][1:] != held[n][:-1]
+            cuts = np.flatnonzero(new)
+            if len(cuts):
+                yield from told({n: v[: cuts[-1]] for n, v in held.items()}, np.concatenate([[0], cuts]))
+                held = {n: v[cuts[-1] :] for n, v in held.items()}
+        if held is not None and len(held["t"]):
+            yield from told(held, np.array([0, len(held["t"])]))
+
+    def told(rows, first):
+        pairs = np.cumsum(np.diff(first) ** 2)
+        i = 0
+        while i < len(first) - 1:
+            j = max(i + 1, int(np.searchsorted(pairs, (pairs[i - 1] if i else 0) + PAIRS, "right")))
+            a, b = first[i], first[j]
+            values = np.stack([rows[w][a:b].view(np.uint64) for w in words], 1)
+            shards = _Shards(rows["node"][a:b], values, rows["size"][a:b].astype(np.int64), first[i : j + 1] - a)
+            x, y = shards.links(None, radius, ratio)
+            yield _row(a=x, b=y)
+            many = [k for k in range(i, j) if rows["p"][first[k]] > 1]
+            if many:
+                at = first[many]
+                yield _row(t=rows["t"][at], bits=rows["bits"][at], x=rows["x"][at], p=rows["p"][at], tree=[shards.blob(k - i) for k in many])
+            i = j
+
+    return grow
+
+
+def _crossed(radius: int, ratio: tuple[int, int]):
+    """Links between two pieces: the second's values are searched in the first's tree."""
+
+    def cross(batches):
+        for batch in batches:
+            for tree, other in zip(*[batch.column(k) for k in range(2)], strict=True):
+                a, b = _Shards.of(tree.as_buffer().to_pybytes()).links(_Shards.of(other.as_buffer().to_pybytes()), radius, ratio)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return cross
+
+
+def shard_links(rows: DataFrame, words: list[str], keys: Column, radius: int, piece: int = PIECE, ratio: tuple[int, int] = (0, 1)) -> DataFrame:
+    """Links (a, b) between the ``node`` numbers of ``rows`` (node, fingerprint ``words``, ``size``) that connect, within each
+    shard of ``keys``, what any links of at most ``radius`` bits connect. Nodes are distinct. A shard of n values takes
+    n / piece trees, each searched for n values at most. ``rows`` are read twice, so pass a table."""
+    ship(rows.sparkSession)
+    keyed = rows.select("node", *words, "size", F.explode(keys).alias("k")).select("k.t", "k.bits", "node", *words, "size")
+    counts = keyed.groupBy("t", "bits").agg(F.count("*").alias("n")).filter("n > 1").withColumn("p", F.ceil(F.col("n") / piece).cast("int")).drop("n")
+    dealt = keyed.join(counts, ["t", "bits"]).withColumn("x", F.pmod(F.xxhash64("node"), F.col("p")).cast("int"))
+    shard = ["t", "bits", "x"]
+    grown = materialise(dealt.repartition(*shard).sortWithinPartitions(*shard, "node").mapInArrow(_grown(words, radius, ratio), _FOUND), "trees")
+    trees = grown.filter("tree IS NOT NULL").select("t", "bits", "x", "p", "tree")
+    sent = trees.filter("x < p - 1").select("t", "bits", "tree", F.explode(F.sequence(F.col("x") + 1, F.col("p") - 1)).alias("x"))
+    pairs = sent.join(trees.select(*shard, F.col("tree").alias("other")), shard).select("tree", "other")
+    across = pairs.mapInArrow(_crossed(radius, ratio), "a long, b long")
+    return grown.filter("a IS NOT NULL").select("a", "b").unionByName(across).distinct()
 
 
 def links(values: DataFrame, radius: int = 3, blocks: int | None = None, piece: int = PIECE) -> DataFrame:
     """Links (a, b) between the distinct fingerprints of column ``fp`` that connect what any two within ``radius`` bits
-    connect. A shard of n fingerprints takes (n / piece)^2 / 2 tree searches of ``piece`` values each."""
-    ship(values.sparkSession)
+    connect."""
     blocks = blocks or blocks_for(values.count(), radius)
-    keyed = materialise(values.select("fp", F.explode(shard_keys(F.col("fp"), radius, blocks)).alias("k")).select("fp", "k.t", "k.bits"), "keys")
-    counts = keyed.groupBy("t", "bits").agg(F.count("*").alias("n")).filter("n > 1").withColumn("p", F.ceil(F.col("n") / piece).cast("int"))
-    dealt = keyed.join(counts, ["t", "bits"]).withColumn("x", F.pmod(F.xxhash64("fp"), F.col("p")).cast("int"))
-    # piece x searches and is searched: once for each pair of pieces with it
-    pairs = F.transform(F.sequence(F.lit(0), F.col("p") - 1), lambda y: F.struct(F.least("x", y).alias("i"), F.greatest("x", y).alias("j"), (F.col("x") > y).cast("int").alias("side")))
-    spread = dealt.select("t", "bits", "fp", F.explode(pairs).alias("q")).select("t", "bits", "fp", "q.i", "q.j", "q.side")
-    shard = ["t", "bits", "i", "j"]
-    return spread.repartition(*shard).sortWithinPartitions(*shard).mapInArrow(_forests(radius), "a long, b long").distinct()
+    return shard_links(values.select(F.col("fp").alias("node"), "fp", F.lit(1).alias("size")), ["fp"], shard_keys(F.col("fp"), radius, blocks), radius, piece)
 
 
 def _clusters(docs: DataFrame, doc_id: str, text: str, radius: int, width: int) -> tuple[DataFrame, DataFrame]:
@@ -204,17 +257,140 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = 3, width: int = 3) -> DataFrame:
-    """``docs`` with one row of each component: that of the smallest doc_id, null ids last; of several such rows, one.
+def shingled(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, sets: bool = False) -> DataFrame:
+    """Per document: doc_id, ``body`` (hash of the whole text), ``node`` (hash of its set of shingles), the fingerprint of 128 bits
+    as ``fp0, fp1``, ``size`` of the set and, with ``sets``, the set itself as ``shingles``, ascending 64-bit hashes.
 
-    The texts are shuffled once, by a key that is never null; repeated rows are dropped in the same partitioning.
+    Shingles are runs of ``width`` words, A-Z lower-cased, each counted once; a text of fewer words is one shingle, one without
+    words has none. Null texts have no words.
     """
-    marked, named = _clusters(docs, doc_id, text, radius, width)
-    key = lambda c: F.coalesce(F.concat(F.lit("k"), c.cast("string")), F.lit("n"))
-    first = marked.join(named, "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "body")).alias("f"))
-    first = first.select(key(F.col("f.doc_id")).alias("__key"), F.col("f.body").alias("__body"))
-    rows = docs.withColumns({"__key": key(F.col(f"`{doc_id}`")), "__body": F.xxhash64(F.col(f"`{text}`"))})
-    kept = rows.join(first, ["__key", "__body"], "left_semi")
+    ship(docs.sparkSession)
+    body = F.col(f"`{text}`")
+    source = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(body).alias("body"), body.cast("binary").alias("__text"))
+    schema = source.select("doc_id", "body", *[F.lit(0).cast("long").alias(c) for c in ("node", "fp0", "fp1")], F.lit(0).alias("size"), *[F.array(F.lit(0).cast("long")).alias("shingles")] * sets).schema
+    names = schema.fieldNames()
+
+    def mark(batches):
+        for batch in batches:
+            data, offsets = textbuf.buffer(batch.column(2))
+            for i, j in runs(offsets, CHUNK_BYTES):
+                owner, held = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width)
+                size = np.bincount(owner, minlength=j - i)
+                node, full = np.zeros(j - i, np.uint64), size > 0
+                if full.any():
+                    node[full] = np.add.reduceat(textbuf.mixed(held ^ np.uint64(_SALT[2])), (np.cumsum(size) - size)[full])
+                fp = _majority(owner, held, size)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *[batch.column(k).slice(i, j - i) for k in (0, 1)],
+                        *[pa.array(x.view(np.int64)) for x in (textbuf.mixed(node), np.ascontiguousarray(fp[:, 0]), np.ascontiguousarray(fp[:, 1]))],
+                        pa.array(size, pa.int32()),
+                        *([pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(held.view(np.int64)))] if sets else []),
+                    ],
+                    names=names,
+                )
+
+    return source.mapInArrow(mark, schema)
+
+
+_SALT = (0x9E6C63D0A95B3F1D, 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7)
+
+
+def shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Text number and hash of each text's distinct shingles, ascending by both."""
+    data = textbuf.LOWER[data]
+    starts, ends, first = textbuf.words(data, offsets, _WHITE)
+    h, counts = textbuf.hashes(data, starts, ends), np.diff(first)
+    text = np.repeat(np.arange(len(counts)), counts)
+    whole = np.flatnonzero(np.arange(len(h)) + width <= first[1:][text])
+    owner, found = [text[whole]], [textbuf.window_hashes(h, width, whole)]
+    for n in range(1, width):
+        short = np.flatnonzero(counts == n)
+        owner.append(short)
+        found.append(textbuf.window_hashes(h, n, first[short]))
+    owner, found = np.concatenate(owner), np.concatenate(found)
+    order = np.lexsort((found.view(np.int64), owner))
+    owner, found = owner[order], found[order]
+    new = np.ones(len(owner), bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (found[1:] != found[:-1])
+    return owner[new], found[new]
+
+
+def _majority(owner: np.ndarray, held: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """128 bits per text, each set where it is in over half of the text's shingles."""
+    ones = np.zeros((len(size), 128), np.int64)
+    for a in range(0, len(held), CHUNK_SHINGLES):
+        part, own = held[a : a + CHUNK_SHINGLES], owner[a : a + CHUNK_SHINGLES]
+        bits = np.stack([textbuf.mixed(part ^ np.uint64(_SALT[k])) for k in range(2)], 1).astype("<u8").view(np.uint8)
+        # added up as bytes, eight in a number, so by 255 at most
+        starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        cuts = np.flatnonzero((np.arange(len(own)) - np.repeat(starts, np.diff(np.append(starts, len(own))))) % 255 == 0)
+        sums = np.add.reduceat(np.unpackbits(bits, axis=1, bitorder="little").view(np.uint64), cuts, axis=0).view(np.uint8).astype(np.int64)
+        ones[own[starts]] += np.add.reduceat(sums, np.searchsorted(cuts, starts), axis=0)
+    return np.packbits(2 * ones > size[:, None], axis=1, bitorder="little").view("<u8").astype(np.uint64)
+
+
+def _key(doc_id: Column) -> Column:
+    """A key that is never null."""
+    return F.coalesce(F.concat(F.lit("k"), doc_id.cast("string")), F.lit("n"))
+
+
+def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return docs.withColumns({"__key": _key(F.col(f"`{doc_id}`")), "__body": F.xxhash64(F.col(f"`{text}`"))})
+
+
+def similar(docs: DataFrame, marked: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: tuple[int, int] = (4, 5), width: int = 5, piece: int = PIECE, seed: int = 0) -> DataFrame:
+    """Links (a, b) between the nodes of ``marked`` (``shingled`` rows of ``docs``, a table) whose sets have at least that Jaccard
+    similarity: candidates by their fingerprints, held against the whole sets of one text of each node in question."""
+    share = similarity[0] / similarity[1]
+    nodes = materialise(marked.groupBy("node").agg(*[F.any_value(c).alias(c) for c in ("fp0", "fp1", "size")]).filter("size > 0"), "nodes")
+    mean = 128 * unlike(share)
+    radius = math.floor(mean + DEVIATIONS * math.sqrt(mean * (1 - unlike(share))))
+    words = ["fp0", "fp1"]
+    candidates = materialise(shard_links(nodes, words, sampled_keys([F.col(w) for w in words], nodes.count(), share, seed), radius, piece, similarity), "candidates")
+    wanted = candidates.select(F.col("a").alias("node")).unionByName(candidates.select(F.col("b").alias("node"))).distinct()
+    one = marked.join(wanted, "node", "left_semi").groupBy("node").agg(F.min(F.struct(_key(F.col("doc_id")).alias("key"), "body")).alias("o"))
+    one = materialise(one.select(F.col("o.key").alias("__key"), F.col("o.body").alias("__body")), "wanted")
+    texts = _keyed(docs, doc_id, text).join(F.broadcast(one) if one.count() <= BROADCAST_ROWS else one, ["__key", "__body"], "left_semi")
+    sets = shingled(texts.select(F.col(f"`{doc_id}`"), F.col(f"`{text}`")), doc_id, text, width, sets=True)
+    sets = materialise(sets.select("node", "shingles").dropDuplicates(["node"]), "sets")
+    own = lambda side: sets.select(F.col("node").alias(side), F.col("shingles").alias(f"of_{side}"))
+    shared = F.size(F.array_intersect("of_a", "of_b"))
+    both = F.size("of_a") + F.size("of_b") - shared
+    return candidates.join(own("a"), "a").join(own("b"), "b").filter(similarity[1] * shared >= similarity[0] * both).select("a", "b")
+
+
+def _kept(docs: DataFrame, doc_id: str, text: str, marked: DataFrame, roots: DataFrame) -> DataFrame:
+    """``docs`` with one row of each root's: of the smallest doc_id, null ids last. ``marked``: doc_id, body, node; ``roots``: node,
+    root for nodes that are linked."""
+    rooted = marked.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    first = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "body")).alias("f"))
+    first = first.select(_key(F.col("f.doc_id")).alias("__key"), F.col("f.body").alias("__body"))
+    kept = _keyed(docs, doc_id, text).join(first, ["__key", "__body"], "left_semi")
     if not marked.groupBy("doc_id", "body").count().filter("count > 1").isEmpty():  # rows that repeat whole
         kept = kept.dropDuplicates(["__key", "__body"])
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = 3, width: int = 3) -> DataFrame:
+    """``docs`` with one row of each component of ``near_duplicates``: that of the smallest doc_id, null ids last; of several such
+    rows, one.
+
+    The texts are shuffled once, by a key that is never null; repeated rows are dropped in the same partitioning.
+    """
+    marked, named = _clusters(docs, doc_id, text, radius, width)
+    return _kept(docs, doc_id, text, marked.withColumnRenamed("fp", "node"), named.select(F.col("fp").alias("node"), "root"))
+
+
+def drop_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: tuple[int, int] = (4, 5), width: int = 5) -> DataFrame:
+    """``docs`` with one row of each group of texts linked by a Jaccard similarity of at least ``similarity`` of their sets of
+    ``width``-word shingles: the row of the smallest doc_id, null ids last; of several such rows, one.
+
+    Texts of one set, exact copies among them, are one node; texts without words are one too. No link is taken unverified. One
+    just at the similarity is a candidate with a chance of about ``CHANCE``, or over others of its group; closer ones nearly
+    always. Repeated rows are copies. Empty table: no rows. ``docs`` is read three times, so pass a table; the texts are shuffled
+    once, and those of candidates twice where they are more than a broadcast of their keys takes.
+    """
+    marked = materialise(shingled(docs, doc_id, text, width), "shingled")
+    roots = materialise(components(similar(docs, marked, doc_id, text, similarity, width)), "roots")
+    return _kept(docs, doc_id, text, marked.select("doc_id", "body", "node"), roots)
