@@ -32,14 +32,15 @@ def test_query(spark, name):
 
 
 def test_token_case_takes_all_words_of_the_whole_texts(spark, tmp_path):
-    texts = ["Über den Fluß, señor: 12été3 x", "one ONE two-three\n日本 мир", "éa 'q'", "", None, "--- 77"]
+    texts = ["Über den Fluß, señor: 12été3 x", "one ONE two-three\n日本 мир ßa", "éa 'q'", "", None, "--- 77"]
     spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    words = {"Über", "den", "Fluß", "señor", "été", "x", "one", "ONE", "two", "three", "日本", "мир", "éa", "q"}
-    want = {(w, "OTHER", w) for w in words}
+    words = {"Über", "den", "Fluß", "señor", "été", "x", "one", "ONE", "two", "three", "日本", "мир", "éa", "q", "ßa"}
+    labels = [f"{c}_{m}" for c in ("LOWER", "UPPER", "UPPER_TOTAL") for m in MARKS] + ["OTHER"]
+    want = set()
     for w in words:
-        for m, sign in MARKS.items():
-            want.add((w, f"LOWER_{m}", w + sign))
-            for form, shaped in (("UPPER", w[:1].upper()[:1] + w[1:].lower()), ("UPPER_TOTAL", w.upper())):
-                want.add((w, f"{form}_{m}", shaped + (" " if m == "TIRE" else "") + sign))
-    found = [(r.token, r.label, r.shaped) for r in QUERIES["token_case_words"](spark, str(tmp_path)).collect()]
+        label = labels[(len(w) * 5 + ord(w[0])) % len(labels)]
+        form, _, mark = label.rpartition("_")
+        shaped = w if form in ("", "LOWER") else w.upper() if form == "UPPER_TOTAL" else w.capitalize()
+        want.add((w, label, shaped + (" " if mark == "TIRE" and form != "LOWER" else "") + MARKS.get(mark, "")))
+    found = [tuple(r) for r in QUERIES["token_case"](spark, str(tmp_path)).collect()]
     assert len(found) == len(set(found)) and set(found) == want

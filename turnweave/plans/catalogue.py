@@ -68,12 +68,15 @@ def transcript_documents(spark, sf_dir):
     return transcript_json(dialog_transcript(spark, sf_dir))
 
 
-@query(f"""WITH {MERGED_SQL}, q AS (SELECT * FROM m WHERE n_segments > 1)
-SELECT d.dir, turn, audio, start_us, end_us, text, n_segments FROM (SELECT DISTINCT dir FROM s) d LEFT JOIN q ON d.dir = q.dir""")
+def _user_days(sql: str) -> str:
+    """With a user's day as the session: one in ten of those has nothing but silent segments."""
+    return sql.replace("'%Y-%m-%d') AS dir", "'%Y-%m-%d') || '/' || user_id AS dir")
+
+
+@query(f"WITH {_user_days(MERGED_SQL)} SELECT d.dir, turn, audio, start_us, end_us, text, n_segments FROM (SELECT DISTINCT dir FROM s) d LEFT JOIN m ON d.dir = m.dir")
 def dialog_sessions(spark, sf_dir):
-    segments = event_segments(spark, sf_dir)
-    long = dialog.merge_turns(segments, DIALOG_GAP).filter("n_segments > 1")
-    return dialog.with_empty_dialogs(segments, long)
+    segments = event_segments(spark, sf_dir).withColumn("dir", F.concat_ws("/", "dir", "user_id"))
+    return dialog.with_empty_dialogs(segments, dialog.merge_turns(segments, DIALOG_GAP))
 
 
 PADDED_SQL = SPAN_SQL + """, tot AS (SELECT user_id, max(end_us) AS total FROM u GROUP BY user_id), p AS (
@@ -263,24 +266,27 @@ _CASES = ", ".join(f"'{c}'" for c in X.CASES)
 _MARKS = ", ".join(f"('{k}', '{v}')" for k, v in X.MARKS.items())
 
 
-@query(f"""WITH w AS (SELECT DISTINCT regexp_extract(text, '[A-Za-z]+') AS token FROM documents), m(mark, sign) AS (VALUES {_MARKS}), c AS (SELECT unnest([{_CASES}]) AS form)
-SELECT token, form || '_' || mark AS label, CASE form WHEN 'LOWER' THEN token WHEN 'UPPER' THEN upper(token[1]) || lower(token[2:]) ELSE upper(token) END
-  || CASE WHEN mark = 'TIRE' AND form <> 'LOWER' THEN ' ' ELSE '' END || sign AS shaped FROM w, m, c
-UNION ALL SELECT token, 'OTHER' AS label, token AS shaped FROM w""")
-def token_case(spark, sf_dir):
-    return _cased(table(spark, sf_dir, "documents").select(F.regexp_extract("text", "[A-Za-z]+", 0).alias("token")))
-
-
-def _cased(words):
-    labels = F.array(*[F.lit(f"{c}_{m}") for c in X.CASES for m in X.MARKS], F.lit("OTHER"))
-    return words.distinct().select("token", F.explode(labels).alias("label")).withColumn("shaped", X.marked(F.col("token"), F.col("label")))
+#: Labels of every case and mark, and one that is none; a word takes the one its length and first letter number.
+_LABELS = [f"{c}_{m}" for c in X.CASES for m in X.MARKS] + ["OTHER"]
 
 
-@query()
-def token_case_words(spark, sf_dir):
+@query(f"""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '\\p{{L}}[\\p{{L}}\\p{{M}}]*')) AS token FROM documents), m(mark, sign) AS (VALUES {_MARKS}),
+l AS (SELECT token, [{", ".join(f"'{x}'" for x in _LABELS)}][(length(token) * 5 + unicode(token)) % {len(_LABELS)} + 1] AS label FROM w),
+p AS (SELECT *, regexp_extract(label, '^(UPPER_TOTAL|UPPER|LOWER)', 1) AS form, regexp_extract(label, '_([A-Z]+)$', 1) AS mark FROM l),
+q AS (SELECT token, label, form, mark, CASE form WHEN 'LOWER' THEN token WHEN 'UPPER' THEN CASE WHEN token[1] = 'ß' THEN 'Ss' ELSE upper(token[1]) END || lower(token[2:]) ELSE replace(replace(upper(token), 'ẞ', 'SS'), 'ß', 'SS') END AS shaped FROM p)
+SELECT token, label, CASE WHEN label = 'OTHER' THEN token ELSE shaped || CASE WHEN mark = 'TIRE' AND form <> 'LOWER' THEN ' ' ELSE '' END || sign END AS shaped FROM q LEFT JOIN m USING (mark)""")
+def token_case(spark, sf_dir):
     """All words of the whole texts: runs of letters of any script, with their combining marks."""
     found = F.regexp_extract_all("text", F.lit(r"(\p{L}[\p{L}\p{M}]*)"), 1)
-    return _cased(table(spark, sf_dir, "documents").select(F.explode(found).alias("token")))
+    words = table(spark, sf_dir, "documents").select(F.explode(found).alias("token")).distinct()
+    number = (F.length("token") * 5 + _code_point(F.col("token"))) % len(_LABELS)
+    labelled = words.withColumn("label", F.get(F.array(*[F.lit(x) for x in _LABELS]), number.cast("int")))
+    return labelled.withColumn("shaped", X.marked(F.col("token"), F.col("label")))
+
+
+def _code_point(text):
+    """Of the first character."""
+    return F.conv(F.hex(F.encode(F.left(text, F.lit(1)), "UTF-32")), 16, 10).cast("long")
 
 
 @query(f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), h AS (SELECT *, substr(t, 1, length(t) // 2) AS a, substr(t, length(t) // 2 + 1) AS b FROM d)
@@ -368,19 +374,26 @@ def chunk_text(spark, sf_dir):
 
 
 _LINE = """CASE turn % 5 WHEN 0 THEN '{"speaker":"' || role || '","text":' || quoted || ',"start":"00:00:0' || (turn % 10) || '"}'
-  WHEN 1 THEN ' ' || role || ' : "' || flat || '" ' WHEN 2 THEN '{"audio":"' || role || '.wav","text":' || quoted || '}' WHEN 3 THEN flat ELSE '{"text":' || turn || '}' END"""
+  WHEN 1 THEN ' ' || role || ' : "' || text || '" ' WHEN 2 THEN '{"audio":"' || role || '.wav","text":' || quoted || '}' WHEN 3 THEN text ELSE '{"text":' || turn || '}' END"""
 
 
-@query(f"""WITH q AS (SELECT conv_id, turn, role, regexp_replace(text, '[^A-Za-z ,.]', '', 'g') AS flat FROM conversations),
-l AS (SELECT *, '"' || flat || '"' AS quoted FROM q), r AS (
-  SELECT conv_id, turn AS line_no, CASE turn % 5 WHEN 0 THEN role WHEN 1 THEN role ELSE role || '.wav' END AS speaker, regexp_replace(flat, '^ +| +$', '', 'g') AS text,
-    CASE WHEN turn % 5 = 2 THEN role || '.wav' END AS audio, CASE WHEN turn % 5 = 0 THEN '00:00:0' || (turn % 10) END AS start, CAST(NULL AS VARCHAR) AS stop
-  FROM l WHERE turn % 5 < 3 AND trim(flat) <> ''
+def _stripped(text: str) -> str:
+    return f"regexp_replace({text}, '^{WS}+|{WS}+$', '', 'g')"
+
+
+@query(f"""WITH q AS (SELECT conv_id, turn AS line_no, turn % 5 AS kind, turn, role, coalesce(text, '') AS text FROM conversations),
+l AS (SELECT *, {_stripped('text')} AS whole, instr(text, ':') AS colon FROM q WHERE kind < 4 AND (kind < 3 OR instr(text, ':') > 0)),
+b AS (SELECT *, CASE kind WHEN 3 THEN {_stripped("substr(whole, instr(whole, ':') + 1)")} ELSE whole END AS said FROM l),
+c AS (SELECT *, {_stripped("CASE WHEN kind = 3 AND said LIKE '\"%\"' AND length(said) > 1 THEN substr(said, 2, length(said) - 2) WHEN kind = 3 AND said = '\"' THEN '' ELSE said END")} AS bare FROM b),
+r AS (
+  SELECT conv_id, line_no, CASE kind WHEN 2 THEN role || '.wav' WHEN 3 THEN coalesce(nullif({_stripped("substr(whole, 1, instr(whole, ':') - 1)")}, ''), 'Unknown') ELSE role END AS speaker, bare AS text,
+    CASE WHEN kind = 2 THEN role || '.wav' END AS audio, CASE WHEN kind = 0 THEN '00:00:0' || (turn % 10) END AS start, CAST(NULL AS VARCHAR) AS stop FROM c WHERE bare <> ''
 )
 SELECT conv_id, line_no, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY line_no) AS INTEGER) AS index, speaker, text, audio, start, stop AS "end" FROM r""")
 def dialog_lines_parse(spark, sf_dir):
-    flat = F.regexp_replace("text", "[^A-Za-z ,.]", "")
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", flat.alias("flat"), F.concat(F.lit('"'), flat, F.lit('"')).alias("quoted"))
+    """The whole texts of the conversations, as JSON strings and as they are, colons, quotes and line ends included."""
+    text = F.coalesce("text", F.lit(""))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", text.alias("text"), X.quoted(text).alias("quoted"))
     return parse_dialog(rows.select("conv_id", F.col("turn").alias("line_no"), F.expr(_LINE).alias("line")), ["conv_id"])
 
 
