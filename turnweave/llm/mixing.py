@@ -5,7 +5,8 @@ which may run round twice; the stream is cut into blocks of ``block_words`` word
 splits the sources' block quotas exactly: at each node the left half draws its share without replacement. Every shard
 so gets a disjoint run of each source's permuted blocks, and orders its rows by another hash.
 
-Only per-source totals reach the driver (one row per source).
+The level of the targets is found by aggregates over the sources' sizes. Quotas are drawn on the driver, for ``GROUP`` sources
+at a time: first the groups' totals go through the tree, then each group's sources share out what the group got.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import math
 import random
 from collections.abc import Sequence
 from fractions import Fraction
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,32 +24,33 @@ from pyspark.sql import types as T
 from .common import WORD, materialise
 
 WEIGHTS = (5, 2, 1)
-#: Most sources the driver plans for (about 100 MB of plan); more raise an error, none is dropped.
-MAX_SOURCES = 1_000_000
-#: Sources up to which their totals are broadcast: about 2 MB.
-BROADCAST_SOURCES = 10_000
+#: Sources whose quotas are drawn at a time, and up to which the plan is broadcast (about 2 MB).
+GROUP = 10_000
 #: Hash buckets of a source: the unit in which its stream is numbered.
 BUCKETS = 4096
 
 
-def targets(sizes: Sequence[int], weights: Sequence[float], share: float = 1.5, most: int = 2) -> list[Fraction]:
-    """Words per source: ``share`` of all sizes by weight; what is above ``most`` times a source's size is shared again
-    by weight among the others, until none is above."""
-    sizes, weights = [int(s) for s in sizes], [Fraction(w) for w in weights]
-    left, found = Fraction(share) * sum(sizes), [Fraction(0)] * len(sizes)
-    free = {i for i, (s, w) in enumerate(zip(sizes, weights, strict=True)) if s > 0 and w > 0}
-    while free and left > 0:
-        total = sum(weights[i] for i in free)
-        above = {i for i in free if left * weights[i] / total > most * sizes[i]}
-        if not above:
-            for i in free:
-                found[i] = left * weights[i] / total
-            break
-        for i in above:
-            found[i] = Fraction(most * sizes[i])
-            left -= found[i]
-        free -= above
-    return found
+def level(sums: DataFrame, weights: Sequence[float], share: float = 1.5, most: int = 2) -> list[Fraction] | None:
+    """What a source of each weight gets if it is not held at ``most`` times its size: its weight's part of what the sources so
+    held leave of ``share`` of all sizes. None: all are held. ``sums``: source sizes ``n`` and numbers of weights ``w``.
+
+    Each round holds the sources that the last level puts above their bound, by one aggregate; the level only rises.
+    """
+    weights = [Fraction(w).limit_denominator(1_000_000) for w in weights]
+    scale = math.lcm(*[w.denominator for w in weights])
+    whole = [int(w * scale) for w in weights]
+    rows = sums.select(F.col("n").cast("decimal(38,0)").alias("n"), F.element_at(F.array(*[F.lit(w).cast("decimal(38,0)") for w in whole]), F.col("w") + 1).alias("w")).filter("n > 0 AND w > 0")
+    total = Fraction(int(sums.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])) * Fraction(share)
+    now = Fraction(0)
+    while True:
+        # a source is held if its bound is below the level times its weight
+        held = F.col("n") * F.lit(most * now.denominator).cast("decimal(38,0)") < F.col("w") * F.lit(now.numerator).cast("decimal(38,0)")
+        taken, free = rows.agg(F.sum(F.when(held, F.col("n"))), F.sum(F.when(~held, F.col("w")))).first()
+        if not free:
+            return None
+        before, now = now, max(Fraction(0), total - most * int(taken or 0)) / int(free)
+        if now == before:
+            return [now * w for w in whole]
 
 
 def hypergeometric(good: int, bad: int, draws: int, rng: random.Random) -> int:
@@ -73,14 +76,15 @@ def hypergeometric(good: int, bad: int, draws: int, rng: random.Random) -> int:
     return mode
 
 
-def split_quotas(quotas: Sequence[int], shards: int, seed: int = 0) -> list[list[int]]:
-    """Blocks of each source (column) for each shard (row); columns add up to ``quotas``, rows differ by one at most."""
+def split_quotas(quotas: Sequence[int], shards: int, seed: int | str = 0, sizes: Sequence[int] | None = None) -> list[list[int]]:
+    """Blocks of each source (column) for each shard (row); columns add up to ``quotas``, rows to ``sizes`` or else differ by one
+    at most."""
 
     def go(q: list[int], first: int, n: int) -> list[list[int]]:
         if n == 1:
             return [q]
         left_n, total = n // 2, sum(q)
-        rng, want, rest, left = random.Random(f"{seed}/{first}/{n}"), total * left_n // n, total, []
+        rng, want, rest, left = random.Random(f"{seed}/{first}/{n}"), sum(sizes[first : first + left_n]) if sizes else total * left_n // n, total, []
         for x in q:
             rest -= x
             got = hypergeometric(x, rest, want, rng)
@@ -108,17 +112,45 @@ def _stream(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed:
     ).withColumn("__b", F.conv(F.substring("__h", 1, 3), 16, 10).cast("int"))
 
 
-def _plan(sums: DataFrame, weights: Sequence[float], share: float, most: int) -> tuple[list, list[Fraction]]:
-    """Totals per source in order, and their targets; one row per source reaches the driver."""
-    totals = sums.groupBy("source").agg(F.sum("n").alias("n")).limit(MAX_SOURCES + 1).collect()
-    if len(totals) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    totals.sort(key=lambda r: (r.source is None, (r.source or "").encode()))
-    return totals, targets([r.n for r in totals], [weights[i % len(weights)] for i in range(len(totals))], share, most)
+def _sources(sums: DataFrame, weights: Sequence[float], share: float, most: int) -> tuple[DataFrame, int]:
+    """A row per source: its size, ``w`` (the number of its weight, by code-point order, nulls last), target and words wanted.
+    Sources are numbered by ranges, so no task holds all of them."""
+    totals = sums.groupBy("source").agg(F.sum("n").alias("n"))
+    dealt = materialise(totals.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("range", F.spark_partition_id()), "sources")
+    counts = dealt.groupBy("range").agg(F.count("*").alias("c"))
+    before = counts.select("range", F.coalesce(F.sum("c").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))
+    place = F.row_number().over(Window.partitionBy("range").orderBy(F.col("source").asc_nulls_last())) - 1 + F.col("first")
+    numbered = materialise(dealt.join(F.broadcast(before), "range").select("source", "n", place.alias("no")).withColumn("w", (F.col("no") % len(weights)).cast("int")), "numbered-sources")
+    free, bound = level(numbered, weights, share, most), F.col("n").cast("double") * most
+    targets, words = bound, F.col("n") * most
+    if free is not None:
+        pick = lambda values, kind: F.element_at(F.array(*[F.lit(v).cast(kind) for v in values]), F.col("w") + 1)
+        # above the level exactly if above its whole part
+        held = F.col("n") * most <= pick([math.floor(v) for v in free], "long")
+        targets, words = F.when(held, bound).otherwise(pick([float(v) for v in free], "double")), F.when(held, words).otherwise(pick([round(v) for v in free], "long"))
+    none = (F.col("n") <= 0) | F.element_at(F.array(*[F.lit(not w > 0) for w in weights]), F.col("w") + 1)
+    planned = numbered.select(F.col("source").alias("__s"), "no", F.col("n").alias("source_size"), F.when(none, 0.0).otherwise(targets).alias("target"), F.when(none, 0).otherwise(words).cast("long").alias("__want"))
+    planned = materialise(planned, "targets")
+    return planned, planned.count()
+
+
+def _cuts(planned: DataFrame, n_sources: int, shards: int, block_words: int, seed: int) -> DataFrame:
+    """``__t`` (a source) and ``__cuts``: the blocks of its stream before the end of each shard's run."""
+    group, quota = F.floor(F.col("no") / GROUP), F.ceil(F.col("__want") / block_words)
+    totals = [int(r.q) for r in planned.groupBy(group.alias("g")).agg(F.sum(quota).alias("q")).orderBy("g").collect()]
+    by_group = list(zip(*split_quotas(totals, shards, seed), strict=True)) if totals else []
+    schema = T.StructType([T.StructField("__t", T.StringType()), T.StructField("__cuts", T.ArrayType(T.LongType()))])
+    found = planned.sparkSession.createDataFrame([], schema)
+    for g, sizes in enumerate(by_group):
+        own = planned.filter(group == g).select("__s", "no", quota.alias("q")).orderBy("no").collect()  # ``GROUP`` rows at most
+        runs = list(zip(*split_quotas([int(r.q) for r in own], shards, seed if len(by_group) == 1 else f"{seed}/{g}", sizes), strict=True))
+        part = planned.sparkSession.createDataFrame([(r[0], list(accumulate(run))) for r, run in zip(own, runs, strict=True)], schema)
+        found = part if n_sources <= GROUP else found.unionByName(materialise(part, "cuts"))
+    return found
 
 
 def _small(df: DataFrame, n_sources: int) -> DataFrame:
-    return F.broadcast(df) if n_sources <= BROADCAST_SOURCES else df
+    return F.broadcast(df) if n_sources <= GROUP else df
 
 
 def _starts(sums: DataFrame) -> DataFrame:
@@ -148,60 +180,87 @@ def mix(
     """
     rows = materialise(_stream(docs, id_col, text_col, source_col, seed), "mix-rows")
     sums = materialise(rows.groupBy("source", "__b").agg(F.sum("size").alias("n")), "mix-sums")
-    totals, want = _plan(sums, weights, share, most)
-    words = [round(t) for t in want]
-    plan = split_quotas([-(-w // block_words) for w in words], shards, seed)
-    cuts, upto = [], [0] * len(totals)
-    for quota in plan:
-        upto = [a + b for a, b in zip(upto, quota, strict=True)]
-        cuts.append(upto)
-    schema = T.StructType([T.StructField("__s", T.StringType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField("__want", T.LongType()), T.StructField("__cuts", T.ArrayType(T.LongType()))])
-    by_source = docs.sparkSession.createDataFrame([(r.source, int(r.n), float(t), w, [c[i] for c in cuts]) for i, (r, t, w) in enumerate(zip(totals, want, words, strict=True))], schema)
+    planned, n = _sources(sums, weights, share, most)
+    cuts = _cuts(planned, n, shards, block_words, seed)
     within = Window.partitionBy("source", "__b").orderBy("__h", F.col("doc_id").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    by_source = planned.join(_small(cuts, n), F.col("__s").eqNullSafe(F.col("__t"))).drop("no", "__t")
     placed = (
         rows.withColumn("__at", F.coalesce(F.sum("size").over(within), F.lit(0)))
         .join(_starts(sums).drop("n"), F.col("source").eqNullSafe(F.col("__s2")) & (F.col("__b") == F.col("__b2")))
         .withColumn("__at", F.col("__at") + F.col("__first"))
-        .join(_small(by_source, len(totals)), F.col("source").eqNullSafe(F.col("__s")), "left")
+        .join(_small(by_source, n), F.col("source").eqNullSafe(F.col("__s")), "left")
     )
     out, taken = [], F.lit(0).cast("long")
     for k in range(most):
         begin = F.col("__at") + F.lit(k) * F.col("source_size")
         taken = taken + F.greatest(F.lit(0), F.least(F.col("size"), F.col("__want") - begin))
-        block = F.floor(begin / F.lit(block_words))
-        shard = _ranges_before("__cuts", block)
         here = (F.col("size") > 0) & (begin < F.col("__want"))
+        shard = _ranges_before("__cuts", F.floor(begin / F.lit(block_words)))
         out += [F.when(here, shard).cast("int").alias(f"shard_{k + 1}"), F.when(here, F.xxhash64("__h", F.lit(k))).alias(f"order_{k + 1}")]
     return placed.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), *out)
 
 
 def mix_rows(
-    docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.5, most: int = 2, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **dealing
+    docs: DataFrame,
+    weights: Sequence[float] = WEIGHTS,
+    share: float = 1.5,
+    most: int = 2,
+    shards: int = 16,
+    block_words: int = 4096,
+    seed: int = 0,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
 ) -> DataFrame:
-    """The mix as rows with the columns of ``docs``: whole documents, each as often as a copy of it begins in the mix.
-    A document of no words is not taken; rows that repeat whole are taken together. ``dealing``: options of ``mix`` for the
-    output shards, which don't change what is taken.
+    """The mix as rows with the columns of ``docs``: whole documents, each as often as ``mix`` begins a copy of it, dealt to the
+    tree's output shards: a partition holds the rows of one shard or more, each shard's in its own shuffled order. A document
+    of no words is not taken. Of rows equal in id and text, which tie, as many are taken as ``mix`` takes.
 
-    The texts are never shuffled. A source's stream is cut in a bucket of the permutation, so only the rows of that bucket
-    (one in ``BUCKETS``) are put in order to find the last hash that is taken; all rows are then judged where they are,
-    by bucket and hash. ``docs`` is read three times, so pass a table.
+    A shard's run begins, and the mix ends, at some hash of a source's stream; these are found in the few buckets they fall into,
+    so all rows are judged where they are, by their hash. Only what is taken is shuffled, once. ``docs`` is read three times,
+    so pass a table.
     """
     hashed = _stream(docs, id_col, text_col, source_col, seed)
     sums = materialise(hashed.groupBy("source", "__b").agg(F.sum("size").alias("n")), "mix-sums")
-    totals, want = _plan(sums, weights, share, most)
-    schema = T.StructType([T.StructField("__s", T.StringType()), T.StructField("__k", T.IntegerType()), T.StructField("__left", T.LongType())])
-    left = [(r.source, k, min(round(t) - k * int(r.n), int(r.n))) for r, t in zip(totals, want, strict=True) for k in range(most)]
-    wanted = _small(docs.sparkSession.createDataFrame(left, schema), len(totals))
-    # the bucket that each copy of a stream ends in, and the words it still gives
-    ends = _starts(sums).join(wanted, F.col("__s2").eqNullSafe(F.col("__s"))).filter("__first < __left AND __left <= __first + n")
-    ends = materialise(ends.select(F.col("__s2").alias("__s"), "__k", F.col("__b2").alias("__end"), (F.col("__left") - F.col("__first")).alias("__rest")), "mix-ends")
-    inside = hashed.select("source", "__b", "__h", "size").join(_small(ends, len(totals)), F.col("source").eqNullSafe(F.col("__s")) & (F.col("__b") == F.col("__end")))
-    before = F.coalesce(F.sum("size").over(Window.partitionBy("__s", "__k").orderBy("__h").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    last = inside.withColumn("__before", before).filter("__before < __rest").groupBy("__s", "__k").agg(F.max("__h").alias("__last"))
-    marks = materialise(last.groupBy("__s").agg(F.sort_array(F.collect_list("__last")).alias("__lasts")), "mix-marks")
-    carried = _stream(docs, id_col, text_col, source_col, seed, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    judged = carried.join(_small(marks, len(totals)), F.col("source").eqNullSafe(F.col("__s")))
-    # the bucket leads the hash, so one comparison judges both
-    times = F.size(F.filter("__lasts", lambda h: F.col("__h") <= h))
-    picked = judged.filter("size > 0").select("row", times.alias("__times")).filter("__times > 0")
-    return picked.select("row", F.explode(F.sequence(F.lit(1), "__times"))).select("row.*")
+    planned, n = _sources(sums, weights, share, most)
+    cuts = _cuts(planned, n, shards, block_words, seed)
+    by_source = planned.join(_small(cuts, n), F.col("__s").eqNullSafe(F.col("__t"))).drop("no", "__t")
+    # borders in words of each copy's stream: where the shards' runs begin (but the first's), and behind them where the mix ends
+    starts = F.transform(F.slice("__cuts", 1, shards - 1), lambda c: c * block_words) if shards > 1 else F.array().cast("array<bigint>")
+    borders = F.concat(starts, F.array("__want"))
+    shifted = lambda k: F.transform(borders, lambda at, j: F.struct(F.lit(k).alias("k"), j.alias("j"), (at - k * F.col("source_size")).alias("at")))
+    local = F.flatten(F.array(*[shifted(k) for k in range(most)]))
+    bordered = materialise(by_source.select(F.col("__s"), F.col("source_size"), local.alias("__borders")), "borders")
+    inside = lambda b: (F.col("__first") < b["at"]) & (b["at"] <= F.col("__first") + F.col("n"))
+    met = _starts(sums).join(_small(bordered, n), F.col("__s2").eqNullSafe(F.col("__s"))).select("__s", F.col("__b2"), "__first", F.explode(F.filter("__borders", inside)).alias("b"))
+    met = materialise(met.select("__s", "__b2", "b.k", "b.j", (F.col("b.at") - F.col("__first")).alias("__rest")), "met")
+    # the first hash that lies behind each border; of rows that tie there, the share before it
+    per = Window.partitionBy("__s", "k", "j")
+    before = F.coalesce(F.sum("size").over(per.orderBy("__h").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    near = hashed.select("source", "__b", "__h", "size").join(_small(met, n), F.col("source").eqNullSafe(F.col("__s")) & (F.col("__b") == F.col("__b2")))
+    near = near.select("__s", "k", "j", "__h", "__b2", "__rest", before.alias("__before")).withColumn("__at", F.min(F.when(F.col("__before") >= F.col("__rest"), F.col("__h"))).over(per))
+    tied = F.count_if(F.col("__h") == F.col("__at"))
+    found = near.groupBy("__s", "k", "j").agg(
+        # no hash of its bucket lies behind it: the next bucket does, if there is one
+        F.coalesce(F.any_value("__at"), F.when(F.any_value("__b2") < BUCKETS - 1, F.lpad(F.lower(F.hex(F.any_value("__b2") + 1)), 3, "0")), F.lit("~")).alias("h"),
+        (F.count_if((F.col("__h") == F.col("__at")) & (F.col("__before") < F.col("__rest"))) / F.greatest(tied, F.lit(1))).alias("part"),
+    )
+    marks = found.groupBy("__s").agg(F.collect_list(F.struct("k", "j", "h", "part")).alias("__found"))
+    outside = lambda b: F.struct(b["k"], b["j"], F.when(b["at"] <= 0, "").otherwise("~").alias("h"), F.lit(0.0).alias("part"))
+    beyond = F.transform(F.filter("__borders", lambda b: (b["at"] <= 0) | (b["at"] > F.col("source_size"))), outside)
+    whole = bordered.join(marks.withColumnRenamed("__s", "__t"), F.col("__s").eqNullSafe(F.col("__t")), "left")
+    whole = materialise(whole.select("__s", F.sort_array(F.concat(beyond, F.coalesce("__found", F.array().cast(marks.schema["__found"].dataType)))).alias("__marks")), "marks")
+    carried = _stream(docs, id_col, text_col, source_col, seed, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), (F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 30)) / float(1 << 30)).alias("__u"))
+    judged = carried.filter("size > 0").join(_small(whole, n), F.col("source").eqNullSafe(F.col("__s")))
+
+    def copy(k: int) -> Column:
+        end = F.get("__marks", F.lit(k * shards + shards - 1))
+        runs = F.slice("__marks", k * shards + 1, shards - 1) if shards > 1 else F.array().cast(whole.schema["__marks"].dataType)
+        here = (F.col("__h") < end["h"]) | (F.col("__h") == end["h"]) & (F.col("__u") < end["part"])
+        return F.when(here, F.struct(F.size(F.filter(runs, lambda m: m["h"] <= F.col("__h"))).alias("shard"), F.xxhash64("__h", F.lit(k)).alias("order")))
+
+    copies = F.filter(F.array(*[copy(k) for k in range(most)]), lambda c: c.isNotNull())
+    dealt = judged.select("row", F.explode(copies).alias("c"))
+    # a shard is as large as the data asks: its rows are spread over many tasks and shuffled within each
+    spread = dealt.repartition(F.col("c.shard"), F.pmod("c.order", F.lit(BUCKETS))).sortWithinPartitions("c.shard", "c.order")
+    return spread.select("row.*")
