@@ -37,7 +37,10 @@ def prompts_of(segments: DataFrame, keys: Sequence[str], config: PlanConfig = Pl
     every = rows[0]
     for more in rows[1:]:
         every = every.unionByName(more)
-    hashed = segments.groupBy(*keys).agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("index", "speaker", "text"))), lambda x: F.concat_ws("\x1f", x["index"].cast("string"), x["speaker"], x["text"])), "\x1e").cast("binary")).alias("content_hash"))
+    # of each segment its hash is gathered, not its text
+    own = F.md5(F.concat_ws("\x1f", F.col("index").cast("string"), "speaker", "text").cast("binary"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("index", "own"))), lambda x: x["own"]), "\x1e")
+    hashed = segments.select(*keys, "index", own.alias("own")).groupBy(*keys).agg(F.md5(whole.cast("binary")).alias("content_hash"))
     return every.join(hashed, keys).select(*keys, "content_hash", "pass", "chunk", "chunks", fragment(prompts, config.passes, F.col("pass"), F.col("chunk"), F.col("chunks"), F.col("body")).alias("blocks"))
 
 
