@@ -57,6 +57,12 @@ def dialog_merge(spark, sf_dir):
     return dialog.merge_turns(event_segments(spark, sf_dir), DIALOG_GAP)
 
 
+@query(ORACLE_SQL["dialog_merge"])
+def dialog_merge_sliced(spark, sf_dir):
+    """The same turns where no session's rows meet in one task: slices of six hours."""
+    return dialog.merge_turns(event_segments(spark, sf_dir), DIALOG_GAP, slice_us=6 * HOUR)
+
+
 @query(f"WITH {MERGED_SQL} SELECT dir, audio, string_agg(text, ' ' ORDER BY turn) AS text, min(turn) AS first_turn FROM m GROUP BY dir, audio")
 def dialog_transcript(spark, sf_dir):
     return dialog.transcripts(dialog_merge(spark, sf_dir))
@@ -105,6 +111,12 @@ def interval_merge_close(spark, sf_dir):
     return intervals.merge_close(_padded(spark, sf_dir), ["user_id"], HOUR)
 
 
+@query(ORACLE_SQL["interval_merge_close"])
+def interval_merge_sliced(spark, sf_dir):
+    """The same spans where no recording's rows meet in one task: slices of a day."""
+    return intervals.merge_close(_padded(spark, sf_dir), ["user_id"], HOUR, slice_us=24 * HOUR)
+
+
 def _split_sql(source: str, limit: int, width: int, name: str) -> str:
     return f"""{name} AS (SELECT user_id, k AS start_us, CASE WHEN e - b > {limit} THEN least(k + {width}, e) ELSE e END AS end_us FROM (
   SELECT user_id, start_us AS b, end_us AS e, unnest(CASE WHEN end_us - start_us > {limit} THEN generate_series(start_us, end_us - 1, {width}) ELSE [start_us] END) AS k FROM {source}))"""
