@@ -4,7 +4,8 @@ With a difference cover D modulo v, any two positions i and j have a shift s < v
 positions (residue in D). So windows of ``width`` words that are equal share an aligned anchor: the ``width - v + 1`` words
 from a cover position on. Only anchors are hashed for all documents (|D| of v positions). An anchor that stands anywhere
 else makes the windows around it candidates; these are extended to their full width, and a candidate is removed if its
-whole word sequence starts anywhere else.
+whole word sequence starts anywhere else: by two 64-bit hashes of it, made of different hashes of its words. Among 10^12
+windows two such pairs of random numbers agree by chance once in 10^14 runs.
 
 Two rounds of packed records are shuffled (anchors; candidate windows), and the texts once. In either round a task sends a
 value that it holds many times only twice and flags its own places itself, so a passage in a third of all documents
@@ -53,11 +54,12 @@ def _anchors(w: _Words, width: int) -> tuple[np.ndarray, np.ndarray]:
     return at, textbuf.window_hashes(w.hashes, length, at)
 
 
-def _send(h: np.ndarray, uid: np.ndarray, place: np.ndarray, buckets: int, doc_buckets: int):
-    """Kind 0: records for the bucket of their hash. Kind 1: places found repeated, by the bucket of their document;
-    they ride along to some bucket and pass through it."""
-    once, flagged = packed.first_and_repeats(h)
-    out = [packed.dealt((h[once] % np.uint64(buckets)).astype(np.int64), 0, h[once] // np.uint64(buckets), uid[once], place[once].astype(np.int32))]
+def _send(h: np.ndarray, uid: np.ndarray, place: np.ndarray, buckets: int, doc_buckets: int, more: np.ndarray | None = None):
+    """Kind 0: records for the bucket of their hash, with ``more`` of it if given. Kind 1: places found repeated, by the bucket of
+    their document; they ride along to some bucket and pass through it."""
+    once, flagged = packed.first_and_repeats(h, more)
+    columns = [h // np.uint64(buckets), *([] if more is None else [more]), uid, place.astype(np.int32)]
+    out = [packed.dealt((h[once] % np.uint64(buckets)).astype(np.int64), 0, *[c[once] for c in columns])]
     if len(flagged):
         out.append(_to_documents(uid[flagged], place[flagged], doc_buckets))
     return out
@@ -68,14 +70,14 @@ def _to_documents(uid: np.ndarray, place: np.ndarray, doc_buckets: int) -> pa.Re
     return packed.dealt(owner, 1, place.astype(np.int32), uid)
 
 
-def _count(doc_buckets: int):
-    """Of a bucket's records those whose hash stands twice or more, by document."""
+def _count(doc_buckets: int, wide: bool = False):
+    """Of a bucket's records those whose hash stands twice or more, by document; ``wide``: records with more of it."""
 
     def count(rows: pa.Table) -> pa.Table:
         kinds = rows["kind"].to_numpy()
         blobs = rows["blob"].combine_chunks()
-        h, uid, place = packed.unpack_all([blobs[int(i)] for i in np.flatnonzero(kinds == 0)], np.uint64, np.int64, np.int32)
-        again = packed.repeated(h)
+        h, *more, uid, place = packed.unpack_all([blobs[int(i)] for i in np.flatnonzero(kinds == 0)], np.uint64, *[np.uint64] * wide, np.int64, np.int32)
+        again = packed.repeated(h, *more)
         found = _to_documents(uid[again], place[again], doc_buckets)
         return pa.concat_tables([rows.filter(pa.array(kinds == 1)).cast(packed.FIELDS), pa.Table.from_batches([found])])
 
@@ -108,7 +110,8 @@ def remove_repeats(docs: DataFrame, width: int = 35, doc_id: str = "doc_id", tex
     """One row per document: doc_id, n_words, n_removed, kept_sha256, and with ``texts`` the kept words joined by blanks
     as ``kept``. A word is removed if a window of ``width`` words that covers it starts anywhere else in the input.
 
-    Null and empty texts: no words. Repeated rows and rows of one doc_id are documents of their own. Empty table: none.
+    Null and empty texts: no words. Repeated rows and rows of one doc_id are documents of their own. Empty table: none. Ids are
+    whole numbers; others are an error.
     ``width`` must be at least ``PERIOD``.
     """
     if width < PERIOD:
@@ -131,14 +134,16 @@ def remove_repeats(docs: DataFrame, width: int = 35, doc_id: str = "doc_id", tex
         out = [pa.RecordBatch.from_pylist([], schema=packed.FIELDS)]
         if right.num_rows:
             uids = left["uid"].to_numpy()
-            w = _Words(*textbuf.buffer(left["text"]))
+            data, offsets = textbuf.buffer(left["text"])
+            w = _Words(data, offsets)
             at = _places(right, uids, w.first)
             owner = w.text[at]
             begin = np.maximum(w.first[owner], at - (PERIOD - 1))
             end = np.minimum(at, w.first[owner + 1] - width) + 1
             candidates = np.flatnonzero(_spread(len(w.starts), begin[end > begin], end[end > begin]))
             h = textbuf.window_hashes(w.hashes, width, candidates, _SECOND)
-            out += _send(h, uids[w.text[candidates]], w.place[candidates], buckets, doc_buckets)
+            more = textbuf.window_hashes(textbuf.hashes(data, w.starts, w.ends, textbuf.OTHER), width, candidates)
+            out += _send(h, uids[w.text[candidates]], w.place[candidates], buckets, doc_buckets, more)
         return pa.Table.from_batches(out)
 
     fields = [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())] + [("kept", pa.string())] * texts
@@ -163,6 +168,6 @@ def remove_repeats(docs: DataFrame, width: int = 35, doc_id: str = "doc_id", tex
     owned = placed.groupBy("bucket")
     anchors = rows.select("uid", "text").mapInArrow(scan, packed.SCHEMA).groupBy("bucket").applyInArrow(_count(doc_buckets), packed.SCHEMA)
     windows = owned.cogroup(anchors.groupBy("bucket")).applyInArrow(extend, packed.SCHEMA)
-    found = windows.groupBy("bucket").applyInArrow(_count(doc_buckets), packed.SCHEMA)
+    found = windows.groupBy("bucket").applyInArrow(_count(doc_buckets, wide=True), packed.SCHEMA)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * texts
     return owned.cogroup(found.groupBy("bucket")).applyInArrow(remove, schema)

@@ -76,24 +76,31 @@ def with_uid(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return materialise(rows.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text"), "numbered")
 
 
-def first_and_repeats(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Indices to send on, and those that repeat right here. Of values that stand here twice or more two are sent, so
-    that whoever counts them knows; how often one stands here then doesn't matter."""
-    order = np.argsort(values, kind="stable")
+def _sorted(values: np.ndarray, more: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the values (with ``more`` behind them, if given), and which equal the one before."""
+    order = np.argsort(values, kind="stable") if more is None else np.lexsort((more, values))
     v = values[order]
     same = v[1:] == v[:-1]
+    if more is not None:
+        w = more[order]
+        same &= w[1:] == w[:-1]
+    return order, same
+
+
+def first_and_repeats(values: np.ndarray, more: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Indices to send on, and those that repeat right here. Of values that stand here twice or more two are sent, so
+    that whoever counts them knows; how often one stands here then doesn't matter."""
+    order, same = _sorted(values, more)
     before, after = np.concatenate([[False], same]), np.concatenate([same, [False]])
     third = before.copy()
     third[1:] &= before[:-1]
     third[:1] = False
-    return np.sort(order[~third]), np.sort(order[before | after])
+    return np.sort(order[~third[: len(order)]]), np.sort(order[(before | after)[: len(order)]])
 
 
-def repeated(values: np.ndarray) -> np.ndarray:
+def repeated(values: np.ndarray, more: np.ndarray | None = None) -> np.ndarray:
     """Flags of values that occur twice or more."""
-    order = np.argsort(values, kind="stable")
-    v = values[order]
-    same = v[1:] == v[:-1]
+    order, same = _sorted(values, more)
     out = np.zeros(len(values), bool)
     out[order] = np.concatenate([[False], same]) | np.concatenate([same, [False]]) if len(values) else False
     return out

@@ -10,8 +10,9 @@ import numpy as np
 import pyarrow as pa
 
 _RNG = np.random.Generator(np.random.PCG64(0x5EED))
-#: A random number for each byte value.
+#: A random number for each byte value, and another for hashes that must not depend on the first's.
 BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
+OTHER = _RNG.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 2**64)
 #: Bytes that are hashed at a time.
@@ -92,7 +93,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, numbers: np.ndarray = BYTE) -> np.ndarray:
     """64-bit hashes of the byte ranges, which ascend without overlap. Equal bytes give equal hashes anywhere."""
     out = np.empty(len(starts), np.uint64)
     i = 0
@@ -102,7 +103,7 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
         n = int(ends[j - 1] - low)
         up, down = _tables(max(CHUNK, n) + 1)
         sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(BYTE[data[low : low + n]] * up[:n], out=sums[1:])
+        np.cumsum(numbers[data[low : low + n]] * up[:n], out=sums[1:])
         s, e = starts[i:j] - low, ends[i:j] - low
         out[i:j] = mixed((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
         i = j
