@@ -38,12 +38,12 @@ def test_measures_against_a_plain_loop(spark):
     assert quality.measure(frame.limit(0)).count() == 0
 
 
-def plain_cutoffs(rows, labels, strata_of):
+def plain_cutoffs(rows, labels, strata_of, texts):
     """Cutoffs by stratum from exact binomials. rows: id -> measure."""
     values = {
         "symbols": lambda m: m[2] / m[0], "word_length": lambda m: m[1] / m[0], "lines": lambda m: m[4] / max(m[3], 1), "windows": lambda m: m[5] / m[0],
     }
-    hold = lambda i: hashlib.md5(f"{i}/holdout".encode()).hexdigest()[0] < "8"
+    hold = lambda i: hashlib.md5(f"holdout/{texts[i]}".encode()).hexdigest()[0] < "8"
     known = {i: q for i, q in labels.items() if i in rows and not rows[i][6]}
     strata = sorted({strata_of[i] for i in known})
     a, found = quality.MAX_REJECTION, {}
@@ -81,7 +81,7 @@ def test_verdicts_against_exact_binomials(spark):
     frame = spark.createDataFrame(docs, "doc_id long, text string, lang string").withColumn("kept", F.lit("clash"))
     marks = spark.createDataFrame([(i, q, 0) for i, q in labels.items()] + [(5, 1, 0), (None, 1, 0), (3, None, 0), (77777, 1, 0)], "doc_id long, quality int, toxic int")
     rows = {i: plain_measure(t) for i, t, _ in docs if i is not None and i < 9000}
-    cuts, values = plain_cutoffs(rows, labels, strata)
+    cuts, values = plain_cutoffs(rows, labels, strata, {i: t for i, t, _ in reversed(docs)})
     assert any(cuts["en", r] for r in quality.RULES) and not any(cuts["few", r] for r in quality.RULES)  # too few labels to certify anything
     want = []
     for i, t, lang in docs:

@@ -2,7 +2,7 @@
 
 Each document is measured natively (words, symbols, repeated lines, repeated word windows). A rule rejects a document
 whose measure is above a cutoff. Cutoffs come from labelled documents, per stratum (language), in two halves by a hash of
-the id. The selection half puts all cutoffs of all rules in a chain: first those that reject fewest good documents, of
+the whole text, so exact copies never stand on both sides (near copies may; drop them before where there are many). The selection half puts all cutoffs of all rules in a chain: first those that reject fewest good documents, of
 these the ones that reject most bad ones. The holdout half, which had no say in that, tests the chain's beginnings one after
 the other: a beginning (all its cutoffs together) is certified if the exact binomial tail P(Bin(n, max_rejection) <= k)
 of its k rejections among n good documents is at most delta divided by the number of strata. Testing stops at the first
@@ -28,6 +28,8 @@ RULES = {
     "windows": ("n_repeat_words / n_words", (0.19, 0.175, 0.15, 0.125, 0.1, 0.075, 0.05)),
 }
 MAX_REJECTION, DELTA, COST = 0.05, 0.05, 20
+#: Column of the hash that deals labelled documents to the halves.
+HALF = "__half"
 #: Strata up to which the table of cutoffs (some 100 bytes each) is broadcast; above, it is joined by a shuffle.
 BROADCAST_STRATA = 10_000
 
@@ -95,13 +97,14 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
 
 def cutoffs(measured: DataFrame, labels: DataFrame, stratum: str = "lang", max_rejection: float = MAX_REJECTION, delta: float = DELTA, cost: int = COST) -> DataFrame:
     """One row per stratum that has a cutoff: ``stratum`` and ``cut_<rule>``, null where none is certified or catches anything.
+    ``measured``: rows of ``measure`` with a hash of the text as ``HALF``.
 
     ``labels``: doc_id, quality (1 good, 0 bad); a document with several labels is good if all say so; null labels are
     left out. Null and empty strata are one. What is gathered per stratum has as many rows as there are cutoffs.
     """
     one = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     rows = measured.filter(~F.col("base_failed")).join(one, "doc_id")
-    hold = F.substring(F.md5(F.concat(F.col("doc_id").cast("string"), F.lit("/holdout")).cast("binary")), 1, 1) < "8"
+    hold = F.substring(F.col(HALF), 1, 1) < "8"
     values = F.expr("array(" + ", ".join(m for m, _ in RULES.values()) + ")")
     rows = materialise(rows.select(F.coalesce(F.col(f"`{stratum}`"), F.lit("")).alias("stratum"), hold.alias("hold"), (F.col("quality") == 1).alias("good"), values.alias("x")), "labelled")
     # as SQL text: hundreds of column objects take the driver longer than the job
@@ -133,9 +136,13 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", text: str =
     The measures are written to the shared folder once and used to fit and to judge. Documents need no label. Null id:
     judged, never a labelled case. Repeated rows stay. Empty labels: no cutoffs.
     """
-    narrow = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{stratum}`").alias("lang"), F.col(f"`{text}`").alias("text"))
+    narrow = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{stratum}`").alias("lang"), F.col(f"`{text}`").alias("text"), _half(text))
     measured = materialise(measure(narrow), "measures")
-    return _verdict(measured, _usable(cutoffs(measured, labels, "lang", **options)))
+    return _verdict(measured, _usable(cutoffs(measured, labels, "lang", **options))).drop(HALF)
+
+
+def _half(text: str) -> Column:
+    return F.md5(F.concat(F.lit("holdout/"), F.coalesce(F.col(f"`{text}`"), F.lit(""))).cast("binary")).alias(HALF)
 
 
 def _usable(cuts: DataFrame) -> DataFrame:
@@ -155,7 +162,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang", text: s
     """The rows of ``docs`` that the rules keep. They are measured once and written with their measures to the shared
     folder; only the measures of labelled documents are shuffled."""
     carried = docs.select(
-        F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{stratum}`").alias("lang"), F.col(f"`{text}`").alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+        F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{stratum}`").alias("lang"), F.col(f"`{text}`").alias("text"), _half(text), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     )
     measured = materialise(measure(carried), "measured-rows")
     return _verdict(measured, _usable(cutoffs(measured.drop("row"), labels, "lang", **options))).filter("kept").select("row.*")

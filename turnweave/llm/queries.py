@@ -14,6 +14,25 @@ def op1_sharding(spark, sf_dir):
 
 
 QUERIES["op1_sharding"] = op1_sharding
+# CRC-32 byte by byte over a table made of its polynomial; scores of shards 0 to 15 and, for the grown count, 16
+ORACLE_SQL["op1_sharding"] = r"""
+WITH tab AS (SELECT list(c ORDER BY b) AS t FROM (
+  SELECT b, list_reduce(list_prepend(CAST(b AS BIGINT), range(8)), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c FROM range(256) r(b))
+), d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce('k' || CAST(doc_id AS VARCHAR), 'n') AS key, hex(encode(coalesce(text, ''))) AS h FROM documents
+), c AS (
+  SELECT r, doc_id, key, CAST(length(h) // 2 + 1 AS BIGINT) AS size,
+    CAST(xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(0, length(h) // 2), lambda i:
+      (instr('0123456789ABCDEF', h[2 * i + 1]) - 1) * 16 + instr('0123456789ABCDEF', h[2 * i + 2]) - 1)),
+      lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1])), 4294967295) AS BIGINT) AS text_crc32 FROM d, tab
+), s AS (
+  SELECT r, i, -ln((CAST(CAST('0x' || substr(md5(key || '/' || i), 1, 12) AS UBIGINT) AS DOUBLE) + 0.5) / 281474976710656.0) AS score FROM c, range(17) x(i)
+), w AS (SELECT r, arg_min(i, score) FILTER (i < 16) AS shard, arg_min(i, score) AS grown FROM s GROUP BY r)
+SELECT doc_id, size, text_crc32, 'key' AS law, CAST(shard AS INTEGER) AS shard,
+  row_number() OVER (PARTITION BY shard ORDER BY substr(md5(key || '/k' || text_crc32 || '/k' || size), 1, 3), doc_id NULLS FIRST, text_crc32, size) - 1 AS slot,
+  CAST(grown AS INTEGER) AS grown_shard
+FROM c JOIN w USING (r)
+"""
 
 
 def op10_mixing(spark, sf_dir):
@@ -106,14 +125,14 @@ WITH d AS (
   SELECT doc_id, count(DISTINCT p) AS n FROM (
     SELECT doc_id, unnest(range(i, i + 5)) AS p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, v) AS c FROM win) WHERE c > 1) GROUP BY doc_id
 ), m AS (
-  SELECT doc_id, stratum, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+  SELECT doc_id, stratum, text, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
     CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols, len(l) AS n_lines,
     CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words
   FROM d LEFT JOIN rep USING (doc_id)
 ), f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m),
 rules AS ({rules}),
 lab AS (
-  SELECT f.*, q.quality = 1 AS good, substr(md5(CAST(doc_id AS VARCHAR) || '/holdout'), 1, 1) < '8' AS hold
+  SELECT f.*, q.quality = 1 AS good, substr(md5('holdout/' || text), 1, 1) < '8' AS hold
   FROM f JOIN (SELECT doc_id, min(quality) AS quality FROM labels WHERE quality IS NOT NULL GROUP BY doc_id) q USING (doc_id) WHERE NOT base_failed
 ), x AS (SELECT doc_id, stratum, good, hold, rule, no, cut, {values} > cut AS over FROM lab, rules),
 chain AS (
