@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from turnweave.backends import half
 from turnweave.functions import text as X
 from turnweave.functions.numbers import half_even
-from turnweave.functions.times import format_offset, parse_offset
+from turnweave.functions.times import format_offset, one_decimal, parse_offset
 from turnweave.model import SECOND
 from turnweave.operators.overlap import plain_tokens
 
@@ -26,6 +26,11 @@ def test_format_offset(spark):
     assert column(spark, ["01:01:01.500", "22.33", "0", "x", "1:2", "1:2:3:4"], parse_offset(F.col("v"))) == [3661_500_000, 22_330_000, 0, None, 62_000_000, None]
 
 
+def test_one_decimal(spark):
+    values = [*range(0, 3_000_000, 50_000), *(10**15 + k * 50_000 for k in range(60)), 49_999, 50_001, 123_456_749_999_999, 61_050_000]
+    assert column(spark, values, one_decimal(F.col("v")), kind="long") == [f"{v / 1e6:.1f}" for v in values]
+
+
 def test_half_even(spark):
     values = [*range(-30, 31), 10**15 + 5, -(10**15) - 5]
     assert column(spark, values, half_even(F.col("v"), 10), kind="long") == [round(v / 10) for v in values]

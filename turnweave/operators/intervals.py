@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.numbers import div
-from ..functions.times import to_samples
+from ..functions.times import one_decimal, to_samples
 from ..model import SliceConfig
 from ..session import ship
 
@@ -132,7 +132,7 @@ def speech_spans(spans: DataFrame, keys: Sequence[str], config: SliceConfig = Sl
 
 def report(spans: DataFrame, word: str = "Голос") -> DataFrame:
     """A line for each span, as seconds with one decimal."""
-    return spans.withColumn("line", F.format_string(f"%.1f-%.1f {word}", F.col("start_us") / 1e6, F.col("end_us") / 1e6))
+    return spans.withColumn("line", F.concat(one_decimal(F.col("start_us")), F.lit("-"), one_decimal(F.col("end_us")), F.lit(f" {word}")))
 
 
 def number_segments(chunks: DataFrame, keys: Sequence[str], rate: int = 16_000, keep: Sequence[str] = ()) -> DataFrame:

@@ -198,6 +198,12 @@ def transcript_blocks(spark, sf_dir):
     return transcript_text(dialog_transcript(spark, sf_dir)).select("dir", "audio", "block")
 
 
+@query(f"WITH {EVENT_SQL} SELECT seg_no, printf('%.1f-%.1f Голос', (start_us % 100000000000) / 1e6, (end_us % 100000000000) / 1e6) AS line FROM s")
+def report_lines(spark, sf_dir):
+    s = event_segments(spark, sf_dir)
+    return intervals.report(s.select("seg_no", (F.col("start_us") % 100_000_000_000).alias("start_us"), (F.col("end_us") % 100_000_000_000).alias("end_us"))).select("seg_no", "line")
+
+
 #: A recording of 16-bit samples for each user: the numbers from 0 on, as many as the user has milliseconds of speech.
 _CLIPPED = 16 * SECOND
 

@@ -11,7 +11,7 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import Protocol
 
-from .messages import first_candidate, first_choice, plain, prepared, role, with_instruction
+from .messages import first_candidate, first_choice, plain, prepared, with_instruction
 from .policy import ChatError, RateLimited, RateLimiter, Retry, error_message, generation, requests_per_minute, retry_after
 
 
