@@ -250,9 +250,16 @@ def text_density(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.word_count(text).cast("long").alias("n_words"), dense.alias("dense"))
 
 
-@query(f"""SELECT doc_id, array_to_string(list_filter(string_split_regex(lower(regexp_replace(nfc_normalize(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}_\\s\\x0B\\x1C-\\x1F\\x{{85}}\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]', '', 'g')), '{WS}+'), lambda x: x <> ''), ' ') AS tokens FROM documents""")
+#: Words with compatibility characters, put behind every tenth text, and what these stand for (DuckDB only composes).
+_COMPATIBLE = {"ﬁne": "fine", "Ⅳ x²": "IV x2", "ｆｕｌｌ１": "full1", "①ﬂ…": "1fl...", "ĳ ŉ": "ij ʼn"}
+_STANDS_FOR = ", ".join(f"'{x}'" for x in _COMPATIBLE.values())
+
+
+@query(f"""SELECT doc_id, array_to_string(list_filter(string_split_regex(lower(regexp_replace(nfc_normalize(coalesce(text, '') || CASE WHEN doc_id % 10 = 0 THEN ' ' || [{_STANDS_FOR}][doc_id // 10 % {len(_COMPATIBLE)} + 1] ELSE '' END), '[^\\p{{L}}\\p{{N}}_\\s\\x0B\\x1C-\\x1F\\x{{85}}\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]', '', 'g')), '{WS}+'), lambda x: x <> ''), ' ') AS tokens FROM documents""")
 def text_norm_tokens(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(X.norm_tokens(F.coalesce("text", F.lit(""))), " ").alias("tokens"))
+    behind = F.get(F.array(*[F.lit(x) for x in _COMPATIBLE]), F.expr(f"CAST(doc_id div 10 % {len(_COMPATIBLE)} AS INT)"))
+    text = F.concat(F.coalesce("text", F.lit("")), F.when(F.col("doc_id") % 10 == 0, F.concat(F.lit(" "), behind)).otherwise(""))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(X.norm_tokens(text), " ").alias("tokens"))
 
 
 @query()
