@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..backends import punctuate
 from ..functions import text as X
 from ..functions.times import format_offset
 from ..model import SECOND, DedupConfig, PlanConfig, SliceConfig
 from ..operators import dialog, intervals, overlap, planning
-from ..session import table
+from ..operators.fold import ordered_fold
+from ..session import ship, table
 from ..sinks import clean_line, dialog_rows, punctuated, quoted_line, segment_rows, transcript_json, transcript_text
-from ..sources.lines import parse_dialog
-from ..backends import punctuate
 from ..sources.audio import cut
-from ..summary import fold, messages
+from ..sources.lines import parse_dialog
+from ..summary import fold, messages, policy
 from ..summary.clients import Digest
 from .tables import EVENT_SQL, SPAN_SQL, TURN_SQL, event_segments, turns, user_spans
 
@@ -536,3 +540,52 @@ def summary_fold_resumed(spark, sf_dir):
     windows = fold.prompts_of(turns(spark, sf_dir), ["conv_id"], PLAN)
     first = fold.summarise(windows, ["conv_id"], Digest).filter("pass = 0")
     return first.unionByName(fold.summarise(windows, ["conv_id"], Digest, state=first)).select("conv_id", "pass", "chunk", "summary", "status")
+
+
+@query(f"""WITH m AS (SELECT conv_id, turn, role, {_stripped("coalesce(text, '')")} AS text FROM conversations)
+SELECT conv_id, '[' || string_agg('{{"role":"' || CASE role WHEN 'assistant' THEN 'model' ELSE 'user' END || '","parts":[{{"text":' || CAST(to_json(text) AS VARCHAR) || '}}]}}', ',' ORDER BY turn) FILTER (role <> 'system') || ']' AS contents,
+  '[' || string_agg('{{"role":"' || role || '","content":' || CAST(to_json(text) AS VARCHAR) || '}}', ',' ORDER BY turn) || ']' AS messages, first(text ORDER BY turn) AS answer FROM m GROUP BY conv_id""")
+def chat_payloads(spark, sf_dir):
+    """Each conversation as the two providers take it, and its first text read back from an answer of either form."""
+
+    def finish(said):
+        write = lambda x: json.dumps(x, ensure_ascii=False, separators=(",", ":"))
+        text = messages.plain(said["turns"][0]["content"])
+        one = messages.first_candidate({"candidates": [{}, {"content": {"parts": [{"text": "no", "thought": True}, {"text": text}]}}]})
+        two = messages.first_choice({"choices": [{"message": {"content": [{"text": text}, {"image": 1}]}}]})
+        yield {"conv_id": said["key"], "contents": write(messages.with_instruction(said["turns"])["contents"]), "messages": write(messages.prepared(said["turns"])), "answer": one if one == two else None}
+
+    def step(said, row):
+        said["turns"].append({"role": row["speaker"], "content": [{"type": "text", "text": row["text"]}, {"text": " "}]})
+        return ()
+
+    schema = T.StructType([T.StructField("conv_id", T.LongType())] + [T.StructField(c, T.StringType()) for c in ("contents", "messages", "answer")])
+    return ordered_fold(turns(spark, sf_dir), ["conv_id"], ["index"], schema, lambda key: {"key": key[0], "turns": []}, step, finish)
+
+
+_RULES = "CASE event_id % 5 WHEN 0 THEN 'off' WHEN 1 THEN 'dynamic' WHEN 2 THEN 'manual' WHEN 3 THEN 'default' ELSE 'auto' END"
+
+
+@query(f"""WITH e AS (SELECT event_id, event_id % 6 AS attempt, CASE WHEN event_id % 7 < 3 THEN 503 ELSE 500 END AS status, CASE WHEN event_id % 4 = 0 THEN '' ELSE CAST(event_id % 90 AS VARCHAR) END AS header, {_RULES} AS mode FROM events)
+SELECT event_id, CASE WHEN status = 503 THEN [60.0, 180.0, 300.0][CAST(least(3, greatest(1, attempt)) AS INTEGER)] ELSE least(30.0, 1.5 * pow(2, greatest(1, attempt) - 1)) END AS delay,
+  TRY_CAST(nullif(header, '') AS DOUBLE) AS wait, CASE mode WHEN 'off' THEN 0 WHEN 'manual' THEN event_id + 1 WHEN 'default' THEN NULL ELSE -1 END AS budget,
+  CASE event_id % 3 WHEN 0 THEN 'm' || event_id WHEN 1 THEN 'c' || event_id ELSE 'no json ' || event_id END AS problem FROM e""")
+def client_rules(spark, sf_dir):
+    """Waits without jitter, a provider's wait, thinking budgets and error texts for every event."""
+
+    def rules(batches):
+        retry = policy.Retry()
+        for batch in batches:
+            out = {c: [] for c in ("event_id", "delay", "wait", "budget", "problem")}
+            for k, mode in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                status, attempt = 503 if k % 7 < 3 else 500, k % 6
+                out["event_id"].append(k)
+                out["delay"].append(float(retry.after(503, attempt) if status == 503 else retry.delay(attempt, lambda a, b: 0.0)))
+                out["wait"].append(policy.retry_after({"X-RateLimit-Reset": "" if k % 4 == 0 else str(k % 90)}))
+                out["budget"].append((policy.thinking(mode, k + 1 if mode == "manual" else None) or {}).get("thinkingBudget"))
+                out["problem"].append(policy.error_message((f'{{"error":{{"message":"m{k}","code":1}}}}', f'{{"error":{{"message":"","code":" c{k}"}}}}', f" no json {k}")[k % 3]))
+            kinds = {"event_id": pa.int64(), "delay": pa.float64(), "wait": pa.float64(), "budget": pa.int64(), "problem": pa.string()}
+            yield pa.RecordBatch.from_arrays([pa.array(out[c], t) for c, t in kinds.items()], names=list(kinds))
+
+    ship(spark)
+    return table(spark, sf_dir, "events").selectExpr("event_id", f"{_RULES} AS mode").mapInArrow(rules, "event_id long, delay double, wait double, budget long, problem string")
