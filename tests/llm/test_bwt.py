@@ -24,6 +24,27 @@ def test_merged_order_and_common_prefixes_equal_sorting_all_suffixes():
             assert merged.common[i] == k
 
 
+def test_repeats_are_the_merged_intervals_of_two_rows_or_more():
+    rng = random.Random(6)
+    for depth in (1, 3, 20, 50):
+        word = bytes(rng.choice(b"ab\xff") for _ in range(200))
+        shards = [[word[(i := rng.randrange(150)) : i + rng.randrange(90)] + bytes(rng.choice(b"ab") for _ in range(rng.randrange(5))) for _ in range(rng.randrange(9))] for _ in range(4)]
+        built = [bwt.Shard(s) for s in shards]
+        merged = bwt.Merged(built, depth)
+        want, now = set(), []
+        for n, k, i, o in zip(merged.interval.tolist(), *[x.tolist() for x in merged.places(built)], strict=True):
+            if len(shards[k][i]) - o >= depth:
+                now.append((n, k, int(built[k].first[i]) + o))
+        for n in {x[0] for x in now}:
+            group = frozenset(x[1:] for x in now if x[0] == n)
+            if len(group) > 1:
+                want.add(group)
+        shard, place, first = bwt.repeats(built, depth)
+        ends = np.append(first[1:], len(shard))
+        assert {frozenset(zip(shard[a:b].tolist(), place[a:b].tolist(), strict=True)) for a, b in zip(first.tolist(), ends.tolist(), strict=True)} == want
+        assert len(first) == len(want)
+
+
 def test_least_owner_against_brute_force():
     rng = random.Random(5)
     word = bytes(rng.randrange(256) for _ in range(90))

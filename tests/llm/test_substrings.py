@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import numpy as np
 
@@ -67,6 +68,22 @@ def test_pieces_too_many_to_merge_give_the_same(monkeypatch):
     monkeypatch.setattr(substrings, "MERGE_BYTES", 500)
     other = substrings._resolve(texts, h, least, source, 50)
     assert all((merged[k] == other[k]).all() for k in range(len(texts)))
+    want = lambda k, i: min(int(o) for t, o in zip(texts, least, strict=True) if texts[k][i : i + 50] in t)
+    assert all(other[k][i] == want(k, i) for k in range(len(texts)) for i in range(len(texts[k]) - 49))
+
+
+def test_a_minimizer_of_any_many_bytes_takes_linear_time():
+    rng = random.Random(8)
+    core = bytes(rng.randrange(256) for _ in range(200))
+    texts = [bytes(rng.randrange(256) for _ in range(30)) + core[: 26 + k % 150] for k in range(20_000)] + [b"z" * n for n in range(50, 400)]
+    least = np.arange(len(texts))[::-1].copy()
+    begun = time.perf_counter()
+    found = substrings._resolve(texts, np.zeros(len(texts), np.uint64), least, np.arange(len(texts)), 50)
+    assert time.perf_counter() - begun < 30 and len(found) == len(texts)
+    for k in rng.sample(range(len(texts)), 30):
+        for i in range(0, len(texts[k]) - 49, 7):
+            w = texts[k][i : i + 50]
+            assert found[k][i] == min(int(o) for t, o in zip(texts, least, strict=True) if w in t)
 
 
 def test_pieces_cover_every_window_once_whatever_the_step(monkeypatch):

@@ -4,7 +4,8 @@ A shard is a set of strings, each ended by a mark of its own below all bytes. Th
 with the shards' rows one behind the other and, round by round, deals them by the symbol before them (the last-to-first
 mapping of each shard). After h rounds all rows stand in the order of their first h symbols; a border that appears between
 two neighbours in round h says that they share h - 1 symbols. Rows without a border after ``depth`` rounds share at least
-``depth`` symbols: these are the repeated intervals.
+``depth`` symbols: these are the repeated intervals. ``Merged`` keeps all rows and their common prefixes; ``repeats`` follows
+only the rows that may still be in such an interval.
 """
 
 from __future__ import annotations
@@ -128,25 +129,42 @@ class Merged:
         return shard, string, offset
 
 
+def repeats(shards: Sequence[Shard], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The intervals of ``Merged`` with two rows or more, one behind the other: shard and place in its text of each row, and where
+    each interval begins.
+
+    A row that shares its first h symbols with no other settles there, and so does, a round later, the row of the suffix one
+    symbol longer: a round works on the rows that are left, so merging costs as much as there is repetition.
+    """
+    base = np.concatenate([[0], np.cumsum([len(s.text) for s in shards])])
+    symbol = np.concatenate([s.transform for s in shards])
+    back = np.concatenate([s.back() + o for s, o in zip(shards, base, strict=False)])  # behind a symbol 0 it has no meaning
+    row, block = np.arange(base[-1]), np.zeros(base[-1], np.int32)
+    for _ in range(depth):
+        before = symbol.take(row)
+        order = np.argsort(before, kind="stable")[np.count_nonzero(before == 0) :]
+        row, before, block = back.take(row.take(order)), before.take(order), block.take(order)
+        new = np.ones(len(row) + 1, bool)
+        new[1:-1] = (before[1:] != before[:-1]) | (block[1:] != block[:-1])
+        shared = ~(new[1:] & new[:-1])
+        row, block = row[shared], np.cumsum(new[:-1], dtype=np.int32)[shared]
+        if not len(row):
+            break
+    shard = np.searchsorted(base, row, "right") - 1
+    place = np.concatenate([s.order for s in shards]).take(row)
+    return shard, place, np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])) if len(row) else row
+
+
 def least_owner(shards: Sequence[Sequence[bytes]], owners: Sequence[np.ndarray], width: int) -> list[list[np.ndarray]]:
     """For each string of each shard, the least owner of any string that holds its ``width`` bytes, per offset."""
     built = [Shard(s) for s in shards]
-    merged = Merged(built, width)
-    shard, string, offset = merged.places(built)
-    owner = np.empty(len(shard), np.int64)
-    lengths = np.empty(len(shard), np.int64)
-    for k, s in enumerate(built):
-        own = shard == k
-        owner[own] = owners[k][string[own]]
-        lengths[own] = (np.diff(s.first) - 1)[string[own]]
-    whole = lengths - offset >= width
-    least = np.full(int(merged.interval[-1]) + 1 if len(shard) else 0, np.iinfo(np.int64).max)
-    np.minimum.at(least, merged.interval[whole], owner[whole])
-    found = least[merged.interval]
-    out = []
-    for k, s in enumerate(built):
-        flat = np.empty(len(s.text), np.int64)
-        own = (shard == k) & whole
-        flat[s.first[string[own]] + offset[own]] = found[own]
-        out.append([flat[a : max(a, b - width)] for a, b in zip(s.first[:-1], s.first[1:], strict=True)])
-    return out
+    flat = [np.repeat(np.asarray(o, np.int64), np.diff(s.first)) for s, o in zip(built, owners, strict=True)]
+    shard, place, first = repeats(built, width) if built else (np.zeros(0, np.int64),) * 3
+    if len(first):
+        held = np.empty(len(place), np.int64)
+        for k, f in enumerate(flat):
+            held[shard == k] = f[place[shard == k]]
+        least = np.repeat(np.minimum.reduceat(held, first), np.diff(np.append(first, len(place))))
+        for k, f in enumerate(flat):
+            f[place[shard == k]] = least[shard == k]
+    return [[f[a : max(a, b - width)] for a, b in zip(s.first[:-1], s.first[1:], strict=True)] for s, f in zip(built, flat, strict=True)]

@@ -2,9 +2,14 @@
 
 Every window of ``width`` bytes is routed by its minimizer, the least hash of the ``GRAM``-byte grams in it: equal windows
 have equal minimizers. A maximal run of windows of one minimizer is a piece. Minimizers that stand once in all documents
-are dropped; the texts of the other pieces meet by minimizer. If all pieces of a minimizer are the same bytes, their
+are dropped; of the other pieces each bucket of documents sends the bytes, once, and the least document that has them, and they
+meet by minimizer. If all pieces of a minimizer are the same bytes, their
 windows repeat as a whole. Else the distinct pieces go into shards by the documents they come from; the shards'
-transforms are merged and their intervals of ``width`` common bytes give each window its least document.
+transforms are merged and their intervals of ``width`` common bytes give each window its least document. Where one
+minimizer's pieces are too many to merge at once, longer grams cut them again.
+
+The buckets of documents are told the least document of their pieces' windows, and find the places themselves. A passage in a
+third of all documents so brings its minimizer a record for each bucket of documents, not for each document.
 
 Shuffled are the minimizers (some 7 bytes of hash, id and place each), the texts once, and the pieces that may repeat.
 """
@@ -20,18 +25,21 @@ from pyspark.sql import functions as F
 
 from . import bwt, packed, textbuf
 from .anchors import _count, _places, _send, _sizes
-from .common import ship
+from .common import materialise, ship
 from .decontam import runs
 
 GRAM = 26
 CHUNK_BYTES = 4 << 20
-#: Bytes of pieces whose transforms are merged at a time, and the most that one minimizer's pieces may have for it.
-MERGE_BYTES = 512 << 10
+#: Bytes of pieces whose transforms are merged at a time. A minimizer with more of them is cut by longer grams first.
+MERGE_BYTES = 128 << 10
+FINER = 12
 SHARDS = 4
 _BASE = 0xA0761D6478BD642F
 _INVERSE = pow(_BASE, -1, 2**64)
 _STEP = 1 << 18
 _LAST = np.iinfo(np.int64).max
+#: Kinds of rows for a bucket of documents: places that may repeat are 1, answers from bucket k of the minimizers are this and k more.
+_ANSWER = 2
 
 
 def _table(width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -48,7 +56,7 @@ def _least(x: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (n - span)], x[n - span :]) if n > span else x
 
 
-def pieces(data: np.ndarray, offsets: np.ndarray, width: int, table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def pieces(data: np.ndarray, offsets: np.ndarray, width: int, table, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Minimizer, first window and number of windows of each piece. Windows never cross texts; a text of any size is read in
     steps, and a piece goes on over the end of a step."""
     up, down = table
@@ -60,9 +68,9 @@ def pieces(data: np.ndarray, offsets: np.ndarray, width: int, table) -> tuple[np
         part = data[low : low + m + width - 1]
         sums = np.zeros(len(part) + 1, np.uint64)
         np.cumsum(textbuf.BYTE[part] * up[: len(part)], out=sums[1:])
-        k = len(part) - GRAM + 1
-        h = textbuf.mixed((sums[GRAM:] - sums[:-GRAM]) * down[:k])
-        least = _least(h, width - GRAM + 1)
+        k = len(part) - gram + 1
+        h = textbuf.mixed((sums[gram:] - sums[:-gram]) * down[:k])
+        least = _least(h, width - gram + 1)
         new = np.empty(m, bool)
         new[1:] = least[1:] != least[:-1]
         new[0] = last is None or least[0] != last
@@ -90,42 +98,75 @@ def pieces(data: np.ndarray, offsets: np.ndarray, width: int, table) -> tuple[np
     return h[inside], at[inside], count[inside]
 
 
-def _blob(found: list[tuple], owners: np.ndarray, uids: np.ndarray, starts: np.ndarray) -> bytes:
-    """Pieces (minimizer, bytes, number of occurrences) and behind them their occurrences."""
-    text = b"".join(p[1] for p in found)
-    head = packed.pack(np.array([p[0] for p in found], np.uint64), np.array([len(p[1]) for p in found], np.int32), np.array([p[2] for p in found], np.int32))
-    tail = packed.pack(owners, uids, starts)
-    return b"".join([len(head).to_bytes(4, "little"), len(tail).to_bytes(4, "little"), len(text).to_bytes(4, "little"), head, tail, pa.compress(text, codec="zstd", asbytes=True) if text else b""])
-
-
-def _unblob(blob: bytes):
-    a, b, n = (int.from_bytes(blob[i : i + 4], "little") for i in (0, 4, 8))
-    h, length, count = packed.unpack(blob[12 : 12 + a], np.uint64, np.int32, np.int32)
-    owner, uid, start = packed.unpack(blob[12 + a : 12 + a + b], np.int64, np.int64, np.int32)
-    return h, length, count, owner, uid, start, pa.decompress(blob[12 + a + b :], n, codec="zstd", asbytes=True) if n else b""
-
-
-def _by_windows(texts: list[bytes], least: np.ndarray, width: int) -> list[np.ndarray]:
-    """As ``bwt.least_owner`` for pieces too many to merge at once: windows compared as bytes, in parts by their hash."""
-    owner: dict[bytes, int] = {}
-    parts = max(1, sum(map(len, texts)) // MERGE_BYTES)
-    out = [np.full(len(t) - width + 1, _LAST) for t in texts]
-    for part in range(parts):
-        owner.clear()
-        chosen = []
-        for k, t in enumerate(texts):
-            for i in range(len(t) - width + 1):
-                w = t[i : i + width]
-                if hash(w) % parts == part:
-                    chosen.append((k, i, w))
-                    if owner.get(w, _LAST) > least[k]:
-                        owner[w] = int(least[k])
-        for k, i, w in chosen:
-            out[k][i] = owner[w]
+class _Pieces:
+    """The distinct pieces that may repeat in a bucket of documents, in the order of their minimizers and bytes, and where they
+    stand: ``of`` has the piece of each occurrence, ``doc`` and ``start`` its text and first byte there."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, flagged: np.ndarray, owners: np.ndarray, width: int):
+        h, at, count = pieces(data if len(flagged) else data[:0], offsets, width, _table(width))
+        chosen = np.searchsorted(at, flagged)
+        chosen = chosen[at[np.minimum(chosen, len(at) - 1)] == flagged] if len(at) else chosen[:0]
+        h, at, count = h[chosen], at[chosen], count[chosen]
+        raw = data.tobytes()
+        number: dict[bytes, int] = {}  # equal bytes have one minimizer
+        which = np.array([number.setdefault(raw[a : a + n], len(number)) for a, n in zip(at.tolist(), (count + width - 1).tolist(), strict=True)], np.int64)
+        own = np.empty(len(number), np.uint64)
+        own[which] = h
+        texts = list(number)
+        order = np.argsort(own, kind="stable")
+        same = np.flatnonzero(own[order][1:] == own[order][:-1])
+        for run in np.split(same, np.flatnonzero(np.diff(same) > 1) + 1) if len(same) else []:
+            order[run[0] : run[-1] + 2] = sorted(order[run[0] : run[-1] + 2].tolist(), key=texts.__getitem__)
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        places = np.argsort(rank[which], kind="stable")
+        self.of = rank[which][places]
+        self.doc = np.searchsorted(offsets, at[places], "right") - 1
+        self.start, self.owner = at[places] - offsets[self.doc], owners[self.doc]
+        self.h, self.texts = own[order], [texts[k] for k in order.tolist()]
+        self.least = np.minimum.reduceat(self.owner, np.searchsorted(self.of, np.arange(len(order)))) if len(order) else np.zeros(0, np.int64)
+
+
+def _blob(h: np.ndarray, least: np.ndarray, texts: list[bytes]) -> bytes:
+    text = b"".join(texts)
+    head = packed.pack(h, least, np.array([len(t) for t in texts], np.int32))
+    return b"".join([len(head).to_bytes(4, "little"), len(text).to_bytes(4, "little"), head, pa.compress(text, codec="zstd", asbytes=True) if text else b""])
+
+
+def _unblob(blob: bytes) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    n, size = (int.from_bytes(blob[i : i + 4], "little") for i in (0, 4))
+    h, least, length = packed.unpack(blob[8 : 8 + n], np.uint64, np.int64, np.int32)
+    text = pa.decompress(blob[8 + n :], size, codec="zstd", asbytes=True) if size else b""
+    ends = np.cumsum(length).tolist()
+    return h, least, [text[e - k : e] for e, k in zip(ends, length.tolist(), strict=True)]
+
+
+def _finer(texts: list[bytes], least: np.ndarray, source: np.ndarray, width: int, gram: int) -> list[np.ndarray]:
+    """The least owner of each window of pieces that are too many to merge at once: the pieces are cut again, by the minimizers of
+    longer grams. Grams as long as a window leave equal windows only."""
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    h, at, count = pieces(data, offsets, width, _table(width), gram)
+    owner = np.searchsorted(offsets, at, "right") - 1
+    out = [np.empty(len(t) - width + 1, np.int64) for t in texts]
+    raw = data.tobytes()
+    number: dict[tuple, int] = {}
+    parts, hs, low, mine = [], [], [], np.empty(len(h), np.int64)
+    for k, (x, a, n, i) in enumerate(zip(h.tolist(), at.tolist(), count.tolist(), owner.tolist(), strict=True)):
+        j = mine[k] = number.setdefault((x, raw[a : a + n + width - 1]), len(parts))
+        if j == len(parts):
+            parts.append(raw[a : a + n + width - 1])
+            hs.append(x)
+            low.append((least[i], source[i]))
+        elif least[i] < low[j][0]:
+            low[j] = least[i], low[j][1]
+    own, of = np.array(low, np.int64).T
+    found = _resolve(parts, np.array(hs, np.uint64), own, of, width, gram)
+    for j, a, n, i in zip(mine.tolist(), at.tolist(), count.tolist(), owner.tolist(), strict=True):
+        out[i][a - offsets[i] : a - offsets[i] + n] = found.get(j, own[j])
     return out
 
 
-def _resolve(texts: list[bytes], h: np.ndarray, least: np.ndarray, source: np.ndarray, width: int) -> dict[int, np.ndarray]:
+def _resolve(texts: list[bytes], h: np.ndarray, least: np.ndarray, source: np.ndarray, width: int, gram: int = GRAM) -> dict[int, np.ndarray]:
     """For pieces whose minimizer has several distinct pieces, the least owner of each window."""
     order = np.argsort(h, kind="stable")
     same = h[order][1:] == h[order][:-1]
@@ -146,7 +187,11 @@ def _resolve(texts: list[bytes], h: np.ndarray, least: np.ndarray, source: np.nd
     for g in groups:
         own = sum(len(texts[i]) for i in g)
         if own > MERGE_BYTES:
-            out.update(zip(g.tolist(), _by_windows([texts[i] for i in g], least[g], width), strict=True))
+            if gram == width:  # all windows of these pieces are the same bytes
+                out.update((i, np.full(len(texts[i]) - width + 1, least[g].min())) for i in g.tolist())
+            else:
+                finer = _finer([texts[i] for i in g], least[g], source[g], width, min(width, gram + FINER))
+                out.update(zip(g.tolist(), finer, strict=True))
             continue
         if size + own > MERGE_BYTES and batch:
             merge()
@@ -158,49 +203,35 @@ def _resolve(texts: list[bytes], h: np.ndarray, least: np.ndarray, source: np.nd
     return out
 
 
-def _meet(width: int, doc_buckets: int):
-    """The removed spans, by document, of the pieces that meet in a bucket."""
+def _meet(width: int):
+    """The answer to each bucket of documents (by ``kind`` of its row): of its pieces, by number, those with windows that are owned by
+    a smaller document than the bucket's own least, and the least owners of their windows."""
 
     def meet(rows: pa.Table) -> pa.Table:
-        number: dict[tuple, int] = {}
-        texts, hs, source, least = [], [], [], []
-        of, owners, uids, starts = [], [], [], []
-        for b, blob in enumerate(rows["blob"].combine_chunks()):
-            h, length, count, owner, uid, start, text = _unblob(blob.as_buffer().to_pybytes())
-            ends = np.cumsum(length).tolist()
-            mine = np.empty(len(h), np.int64)
-            first = np.concatenate([[0], np.cumsum(count)])
-            low = np.minimum.reduceat(owner, first[:-1]).tolist() if len(h) else []
-            for k, (x, e, n) in enumerate(zip(h.tolist(), ends, length.tolist(), strict=True)):
-                key = (x, text[e - n : e])
-                i = number.setdefault(key, len(texts))
-                if i == len(texts):
-                    texts.append(key[1])
-                    hs.append(x)
-                    source.append(b)
-                    least.append(low[k])
-                elif low[k] < least[i]:
-                    least[i] = low[k]
-                mine[k] = i
-            of.append(np.repeat(mine, count))
-            owners.append(owner)
-            uids.append(uid)
-            starts.append(start)
-        of, owners, uids, starts = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (of, owners, uids, starts))
-        least, lengths = np.array(least, np.int64), np.array([len(t) for t in texts], np.int64)
-        found = _resolve(texts, np.array(hs, np.uint64), least, np.array(source), width)
-        several = np.zeros(len(texts), bool)
-        several[list(found)] = True
-        whole = ~several[of] & (least[of] < owners) if len(of) else np.zeros(0, bool)
-        out = [(uids[whole], starts[whole], lengths[of[whole]])]
-        for j in np.flatnonzero(several[of]) if len(of) else []:
-            gone = found[int(of[j])] < owners[j]
-            if gone.any():
-                edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
-                begin, end = edge[::2], edge[1::2]
-                out.append((np.full(len(begin), uids[j]), starts[j] + begin, end - begin + width - 1))
-        uid, start, length = (np.concatenate([o[k] for o in out]).astype(d) for k, d in enumerate((np.int64, np.int32, np.int32)))
-        return pa.Table.from_batches([packed.dealt(packed.id_bucket(uid, doc_buckets), 1, start, uid, length)])
+        number: dict[bytes, int] = {}
+        asked = []
+        for bucket, blob in zip(rows["kind"].to_pylist(), rows["blob"].combine_chunks(), strict=True):
+            h, own, parts = _unblob(blob.as_buffer().to_pybytes())
+            asked.append((bucket, h, np.array([number.setdefault(t, len(number)) for t in parts], np.int64), own))
+        texts = list(number)
+        hs, source, least = np.empty(len(texts), np.uint64), np.empty(len(texts), np.int64), np.full(len(texts), _LAST)
+        for bucket, h, mine, own in asked:
+            hs[mine], source[mine] = h, bucket
+            least[mine] = np.minimum(least[mine], own)  # a bucket has each text once
+        found = _resolve(texts, hs, least, source, width)
+        low = least.copy()
+        for i, windows in found.items():
+            low[i] = windows.min()
+        buckets, blobs = [], []
+        for bucket, _, mine, own in asked:
+            told = np.flatnonzero(low[mine] < own)
+            if len(told):
+                windows = [found.get(i, least[i : i + 1]) for i in mine[told].tolist()]
+                head = packed.pack(told.astype(np.int32), np.array([len(w) for w in windows], np.int32))
+                buckets.append(bucket)
+                blobs.append(len(head).to_bytes(4, "little") + head + packed.pack(np.concatenate(windows)))
+        kinds = pa.array(np.full(len(buckets), _ANSWER + rows["bucket"][0].as_py(), np.int32))
+        return pa.Table.from_arrays([pa.array(buckets, pa.int32()), kinds, pa.array(blobs, pa.binary())], schema=packed.FIELDS)
 
     return meet
 
@@ -209,8 +240,8 @@ def remove_repeats(docs: DataFrame, width: int = 50, doc_id: str = "doc_id", tex
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with ``texts`` the kept bytes as binary
     ``kept``. A byte is removed if a ``width``-byte string that covers it also starts in a document of a smaller id.
 
-    Null text: empty. Rows of one id are no smaller than each other; a null id is larger than all others. Empty table: no
-    rows. ``width`` must be above ``GRAM``.
+    Null text: empty. Rows of one id are no smaller than each other; a null id is larger than all others. Ids are whole numbers;
+    others are an error. Empty table: no rows. ``width`` must be above ``GRAM``.
     """
     if width <= GRAM:
         raise ValueError(f"width must be above {GRAM}")
@@ -229,45 +260,58 @@ def remove_repeats(docs: DataFrame, width: int = 50, doc_id: str = "doc_id", tex
                 text = np.searchsorted(own, at, "right") - 1
                 yield from _send(h & np.uint64(2**48 - 1), uids[i:j][text], at - own[text], buckets, doc_buckets)
 
+    def own(left: pa.Table, right: pa.Table):
+        uids = left["uid"].to_numpy()
+        data, offsets = textbuf.buffer(left["text"])
+        found = _Pieces(data, offsets, np.unique(_places(right, uids, offsets)), left["owner"].to_numpy(), width)
+        return data, offsets, found, (found.h % np.uint64(buckets)).astype(np.int64)
+
     def cut(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        out = [pa.RecordBatch.from_pylist([], schema=packed.FIELDS)]
-        if right.num_rows:
-            uids, owners = left["uid"].to_numpy(), left["owner"].to_numpy()
-            data, offsets = textbuf.buffer(left["text"])
-            h, at, count = pieces(data, offsets, width, _table(width))
-            flagged = np.unique(_places(right, uids, offsets))
-            chosen = np.searchsorted(at, flagged)
-            chosen = chosen[(chosen < len(at)) & (at[np.minimum(chosen, len(at) - 1)] == flagged)]
-            h, at, count = h[chosen], at[chosen], count[chosen]
-            doc = np.searchsorted(offsets, at, "right") - 1
-            bucket = (h % np.uint64(buckets)).astype(np.int64)
+        out = []
+        if left.num_rows and right.num_rows:
+            _, _, found, bucket = own(left, right)
             order = np.argsort(bucket, kind="stable")
-            cuts = np.flatnonzero(np.diff(bucket[order])) + 1
-            raw = data.tobytes()
-            numbers, blobs = [], []
-            for part in np.split(order, cuts) if len(order) else []:
-                same: dict[tuple, list[int]] = {}
-                for i, x, a, n in zip(part.tolist(), h[part].tolist(), at[part].tolist(), count[part].tolist(), strict=True):
-                    same.setdefault((x, raw[a : a + n + width - 1]), []).append(i)
-                places = np.concatenate([np.array(v) for v in same.values()])
-                d = doc[places]
-                blobs.append(_blob([(x, t, len(v)) for (x, t), v in same.items()], owners[d], uids[d], (at[places] - offsets[d]).astype(np.int32)))
-                numbers.append(int(bucket[part[0]]))
-            out.append(pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array([0] * len(numbers), pa.int32()), pa.array(blobs, pa.binary())], schema=packed.FIELDS))
-        return pa.Table.from_batches(out)
+            for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []:
+                out.append((int(bucket[part[0]]), _blob(found.h[part], found.least[part], [found.texts[k] for k in part.tolist()])))
+        kinds = pa.array(np.full(len(out), key[0].as_py(), np.int32))
+        return pa.Table.from_arrays([pa.array([b for b, _ in out], pa.int32()), kinds, pa.array([x for _, x in out], pa.binary())], schema=packed.FIELDS)
 
     fields = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())] + [("kept", pa.binary())] * texts
 
     def remove(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        uids = left["uid"].to_numpy()
-        data, offsets = textbuf.buffer(left["text"])
-        blobs = [b.as_buffer().to_pybytes() for b in right["blob"].combine_chunks()] if right.num_rows else []
-        start, uid, length = packed.unpack_all(blobs, np.int32, np.int64, np.int32)
-        order = np.argsort(uids, kind="stable")
-        begin = offsets[order[np.searchsorted(uids[order], uid)]] + start
+        kinds = right["kind"].to_numpy()
+        data, offsets, found, bucket = own(left, right.filter(pa.array(kinds == 1)))
+        least, several = found.least.copy(), np.zeros(len(found.texts), np.int64)  # first of a piece's windows in ``told``, from 1
+        told, held = [np.zeros(1, np.int64)], 1
+        order = np.argsort(bucket, kind="stable")
+        for kind, blob in zip(kinds.tolist(), right["blob"].combine_chunks(), strict=True):
+            if kind >= _ANSWER:
+                blob = blob.as_buffer().to_pybytes()
+                n = int.from_bytes(blob[:4], "little")
+                number, lengths = packed.unpack(blob[4 : 4 + n], np.int32, np.int32)
+                (windows,) = packed.unpack(blob[4 + n :], np.int64)
+                mine = order[np.searchsorted(bucket[order], kind - _ANSWER) :][number]  # as they were sent
+                first, one = np.cumsum(lengths) - lengths, lengths == 1
+                least[mine[one]] = np.minimum(least[mine[one]], windows[first[one]])
+                several[mine[~one]] = held + first[~one]
+                told.append(windows)
+                held += len(windows)
+        told = np.concatenate(told)
+        size = np.array([len(t) for t in found.texts], np.int64)
+        begin = offsets[found.doc] + found.start
+        whole = (several[found.of] == 0) & (least[found.of] < found.owner)
         change = np.zeros(len(data) + 1, np.int32)
-        np.add.at(change, begin, 1)
-        np.add.at(change, begin + length, -1)
+        np.add.at(change, begin[whole], 1)
+        np.add.at(change, (begin + size[found.of])[whole], -1)
+        apart = np.flatnonzero(several[found.of])
+        upto = np.cumsum(size[found.of[apart]] - width + 1)
+        for part in np.split(apart, np.searchsorted(upto, np.arange(_STEP, int(upto[-1]), _STEP))) if len(apart) else []:
+            count = size[found.of[part]] - width + 1
+            window = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+            owned = told[window + np.repeat(several[found.of[part]], count)] < np.repeat(found.owner[part], count)
+            single = (window + np.repeat(begin[part], count))[owned]
+            np.add.at(change, single, 1)
+            np.add.at(change, single + width, -1)
         gone = np.cumsum(change[:-1]) > 0
         begins = gone.copy()
         begins[1:] &= ~gone[:-1]
@@ -286,8 +330,8 @@ def remove_repeats(docs: DataFrame, width: int = 50, doc_id: str = "doc_id", tex
 
     placed = rows.withColumn("bucket", packed.id_bucket_column(F.col("uid"), doc_buckets))  # exchanged once, used twice
     owned = placed.groupBy("bucket")
-    minimizers = rows.select("uid", "text").mapInArrow(scan, packed.SCHEMA).groupBy("bucket").applyInArrow(_count(doc_buckets), packed.SCHEMA)
-    candidates = owned.cogroup(minimizers.groupBy("bucket")).applyInArrow(cut, packed.SCHEMA)
-    spans = candidates.groupBy("bucket").applyInArrow(_meet(width, doc_buckets), packed.SCHEMA)
+    flagged = materialise(rows.select("uid", "text").mapInArrow(scan, packed.SCHEMA).groupBy("bucket").applyInArrow(_count(doc_buckets), packed.SCHEMA), "flagged")
+    asked = owned.cogroup(flagged.groupBy("bucket")).applyInArrow(cut, packed.SCHEMA)
+    answers = asked.groupBy("bucket").applyInArrow(_meet(width), packed.SCHEMA)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts
-    return owned.cogroup(spans.groupBy("bucket")).applyInArrow(remove, schema)
+    return owned.cogroup(flagged.unionByName(answers).groupBy("bucket")).applyInArrow(remove, schema)
