@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 from turnweave.llm import bktree, simhash
@@ -138,6 +139,56 @@ def test_similar_texts_against_brute_force(spark):
     assert simhash.drop_similar(frame.limit(0)).count() == 0
 
 
+def test_no_link_at_the_threshold_is_left_out(spark):
+    rng = random.Random(14)
+    rows = []
+    for _ in range(150):  # texts of 90 shingles of which ten, at one of their ends or both, are another's: similar by 0.8 or less
+        base = [f"w{rng.randrange(9000)}" for _ in range(94)]
+        for n in (0, 10, 10, 5, 11):
+            at = rng.choice([0, n, n // 2])
+            rows.append((len(rows), " ".join([rng.choice("xyz") + str(rng.randrange(9000)) for _ in range(at)] + base[at : 94 - n + at] + [f"v{rng.randrange(9000)}" for _ in range(n - at)])))
+    kept = simhash.drop_similar(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    first = {}
+    for (i, _), g in zip(rows, jaccard_groups(rows), strict=True):
+        first.setdefault(g, i)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(first.values())
+
+
+def test_pairs_that_meet_lose_no_similar_pair(monkeypatch):
+    rng = np.random.default_rng(15)
+    monkeypatch.setattr(simhash, "MEET", 7)
+    sets = []
+    for size in (1, 2, 5, 31, 33, 70, 500):
+        base = rng.integers(0, 2**63, size).astype(np.uint64)
+        for _ in range(15):
+            changed = base.copy()
+            n = rng.integers(0, size // 8 + 1)
+            changed[:n] = rng.integers(0, 2**63, n)
+            sets.append(np.unique(np.concatenate([changed[rng.integers(0, size // 10 + 1) :], np.arange(3, dtype=np.uint64)])))
+    size = np.array([len(s) for s in sets])
+    owner, held = np.repeat(np.arange(len(sets)), size), np.concatenate(sets)
+    similar = {(a, b) for b in range(len(sets)) for a in range(b) if 5 * len(shared := np.intersect1d(sets[a], sets[b])) >= 4 * (size[a] + size[b] - len(shared))}
+    parity = simhash._parities(owner, held, size).to_pylist()
+    for common in (None, (np.arange(3), np.array([9, 8, 8]))):
+        prefix = simhash._prefixes(owner, held, size, (4, 5), common).to_pylist()
+        assert [len(x) for x in prefix] == [n - -(-4 * n // 5) + 1 for n in size]
+        rows = sorted((k, a, a, int(size[a]), i) for a, x in enumerate(prefix) for i, k in enumerate(x))
+        kinds = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("root", pa.int64()), ("size", pa.int32()), ("pos", pa.int32())])
+        table = pa.Table.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=kinds.names).cast(kinds)
+        meeting = pa.Table.from_batches(simhash._meeting(table.to_batches(max_chunksize=50))).to_pylist()
+        assert max(r["p"] for r in meeting) > 1
+        cells = [r | {"c0": min(r["x"], y), "c1": max(r["x"], y), "root": r["node"] % 40, "parity": parity[r["node"]]} for r in meeting for y in range(r["p"])]
+        cells.sort(key=lambda r: (r["key"], r["c0"], r["c1"], r["node"]))
+        types = {"size": pa.int32(), "pos": pa.int32(), "p": pa.int32(), "x": pa.int32(), "c0": pa.int32(), "c1": pa.int32(), "parity": pa.binary()}
+        batches = pa.Table.from_pylist(cells, pa.schema([(c, types.get(c, pa.int64())) for c in cells[0]])).to_batches(max_chunksize=60)
+        found = {(r["a"], r["b"]) for r in pa.Table.from_batches(simhash._met((4, 5), False)(batches)).to_pylist()}
+        apart = {(a, b) for a, b in similar if a % 40 != b % 40}
+        assert apart and apart <= found and len(found) < 2 * len(similar)
+        closest = {(r["a"], r["b"]) for r in pa.Table.from_batches(simhash._met((4, 5), True)(batches)).to_pylist()}
+        roots = lambda pairs: {tuple(sorted((a % 40, b % 40))) for a, b in pairs}
+        assert closest <= found and roots(closest) == roots(found)
+
+
 def test_a_large_group_of_near_copies_in_pieces(spark, monkeypatch):
     rng = random.Random(10)
     base = [f"w{rng.randrange(500)}" for _ in range(400)]

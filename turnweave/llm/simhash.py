@@ -8,7 +8,9 @@ of the links it finds, the shortest first, which connects the same.
 Two ways to deal: ``shard_keys`` cuts the 64 bits into blocks, of which two fingerprints within r bits agree on some choice of
 ``blocks - r``, so no link is missed. For similarities of word shingles the distances are too wide for that; ``sampled_keys``
 then takes so many samples of bits that two texts just similar enough agree on one of them with a stated chance. Links
-found so are candidates: each is held against the two texts' whole sets of shingles.
+found so are candidates: each is held against the two texts' whole sets of shingles. What chance or the forest of candidates left
+out is found by prefixes: of two similar sets, the first fifths (at 0.8) in any one order share a shingle. Pairs that meet
+so and are not connected yet are held against each other, first by bounds that lose none, then by their whole sets.
 """
 
 from __future__ import annotations
@@ -36,6 +38,9 @@ CHANCE, DEVIATIONS = 0.996, 3.5
 BROADCAST_ROWS = 100_000
 #: Text bytes whose shingles are made at a time, and shingles whose bits are.
 CHUNK_BYTES, CHUNK_SHINGLES = 1 << 20, 1 << 17
+#: Texts whose shingles' counts give the prefixes' order (any order finds all; a good one lets few meet), the shingles that get a
+#: place by their count at most, and rows that meet at one shingle and are compared in one go.
+SAMPLE, COMMON, MEET = 8192, 1 << 16, 1 << 14
 _WHITE = textbuf.separators("white")
 
 
@@ -161,23 +166,30 @@ class _Shards:
         return queries.node[q[kept]], self.node[n[kept]]
 
 
+def _groups(batches, by: tuple[str, ...]):
+    """Columns of whole groups, and where each group begins, and the end. Groups come sorted, one behind the other; the last of a
+    batch waits for the next batch."""
+    held = None
+    for batch in batches:
+        part = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in batch.schema.names}
+        held = part if held is None else {n: np.concatenate([held[n], part[n]]) for n in part}
+        new = np.zeros(len(held[by[0]]), bool)
+        for n in by:
+            new[1:] |= held[n][1:] != held[n][:-1]
+        cuts = np.flatnonzero(new)
+        if len(cuts):
+            yield {n: v[: cuts[-1]] for n, v in held.items()}, np.concatenate([[0], cuts])
+            held = {n: v[cuts[-1] :] for n, v in held.items()}
+    if held is not None and len(held[by[0]]):
+        yield held, np.array([0, len(held[by[0]])])
+
+
 def _grown(words: list[str], radius: int, ratio: tuple[int, int]):
-    """Pieces come sorted, one behind the other; the last of a batch waits for the next batch."""
+    """Trees and links of shards' pieces."""
 
     def grow(batches):
-        held = None
-        for batch in batches:
-            part = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in batch.schema.names}
-            held = part if held is None else {n: np.concatenate([held[n], part[n]]) for n in part}
-            new = np.zeros(len(held["t"]), bool)
-            for n in ("t", "bits", "x"):
-                new[1:] |= held[n][1:] != held[n][:-1]
-            cuts = np.flatnonzero(new)
-            if len(cuts):
-                yield from told({n: v[: cuts[-1]] for n, v in held.items()}, np.concatenate([[0], cuts]))
-                held = {n: v[cuts[-1] :] for n, v in held.items()}
-        if held is not None and len(held["t"]):
-            yield from told(held, np.array([0, len(held["t"])]))
+        for rows, first in _groups(batches, ("t", "bits", "x")):
+            yield from told(rows, first)
 
     def told(rows, first):
         pairs = np.cumsum(np.diff(first) ** 2)
@@ -257,9 +269,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def shingled(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, sets: bool = False) -> DataFrame:
+def shingled(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, sets: bool = False, similarity: tuple[int, int] = (4, 5), common: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
     """Per document: doc_id, ``body`` (hash of the whole text), ``node`` (hash of its set of shingles), the fingerprint of 128 bits
-    as ``fp0, fp1``, ``size`` of the set and, with ``sets``, the set itself as ``shingles``, ascending 64-bit hashes.
+    as ``fp0, fp1``, ``size`` of the set, ``prefix`` (those of the set's shingles that one similar set must share at least one of,
+    first of them those not ``common``), ``parity`` (a bit for some shingles each, set if it has an odd number of them) and, with
+    ``sets``, the set itself as ``shingles``, ascending 64-bit hashes.
 
     Shingles are runs of ``width`` words, A-Z lower-cased, each counted once; a text of fewer words is one shingle, one without
     words has none. Null texts have no words.
@@ -267,7 +281,7 @@ def shingled(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
     ship(docs.sparkSession)
     body = F.col(f"`{text}`")
     source = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(body).alias("body"), body.cast("binary").alias("__text"))
-    schema = source.select("doc_id", "body", *[F.lit(0).cast("long").alias(c) for c in ("node", "fp0", "fp1")], F.lit(0).alias("size"), *[F.array(F.lit(0).cast("long")).alias("shingles")] * sets).schema
+    schema = source.select("doc_id", "body", *[F.lit(0).cast("long").alias(c) for c in ("node", "fp0", "fp1")], F.lit(0).alias("size"), F.array(F.lit(0).cast("long")).alias("prefix"), F.lit(b"").alias("parity"), *[F.array(F.lit(0).cast("long")).alias("shingles")] * sets).schema
     names = schema.fieldNames()
 
     def mark(batches):
@@ -285,6 +299,8 @@ def shingled(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
                         *[batch.column(k).slice(i, j - i) for k in (0, 1)],
                         *[pa.array(x.view(np.int64)) for x in (textbuf.mixed(node), np.ascontiguousarray(fp[:, 0]), np.ascontiguousarray(fp[:, 1]))],
                         pa.array(size, pa.int32()),
+                        _prefixes(owner, held, size, similarity, common),
+                        _parities(owner, held, size),
                         *([pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(held.view(np.int64)))] if sets else []),
                     ],
                     names=names,
@@ -330,6 +346,119 @@ def _majority(owner: np.ndarray, held: np.ndarray, size: np.ndarray) -> np.ndarr
     return np.packbits(2 * ones > size[:, None], axis=1, bitorder="little").view("<u8").astype(np.uint64)
 
 
+def _prefixes(owner: np.ndarray, held: np.ndarray, size: np.ndarray, similarity: tuple[int, int], common: tuple[np.ndarray, np.ndarray] | None) -> pa.Array:
+    """Of each set the first ``size - ceil(similarity * size) + 1`` shingles: common ones come last by their counts, else the hash
+    decides. Similar sets share that share of the larger, so the first shingle that both have stands in both beginnings."""
+    held = held.view(np.int64)
+    if common is not None and len(common[0]):
+        at = np.minimum(np.searchsorted(common[0], held), len(common[0]) - 1)
+        held = held[np.lexsort((np.where(common[0][at] == held, common[1][at], 0), owner))]
+    length = np.where(size > 0, size + (-similarity[0] * size) // similarity[1] + 1, 0)
+    taken = np.arange(len(held)) - np.repeat(np.cumsum(size) - size, size) < np.repeat(length, size)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]), pa.int32()), pa.array(held[taken]))
+
+
+def _parities(owner: np.ndarray, held: np.ndarray, size: np.ndarray) -> pa.Array:
+    """Of each set a power of two of bits, at least twice its size and 64. Two sets differ in as many shingles as bits at least;
+    the halves of a longer one, by exclusive or, are the one of half the length."""
+    words = 1 << np.ceil(np.log2(np.maximum(size, 32) / 32)).astype(np.int64)
+    begin = np.cumsum(words) - words
+    bits = np.zeros(int(words.sum()), np.uint64)
+    bit = held & (64 * words[owner] - 1).astype(np.uint64)
+    np.bitwise_xor.at(bits, begin[owner] + (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+    offsets = np.concatenate([[0], np.cumsum(8 * words)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(bits.astype("<u8"))])
+
+
+def _differing(parity: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bits in which the parities numbered ``a`` and ``b`` differ, the longer folded to the shorter's length."""
+    out = np.empty(len(a), np.int64)
+    if not len(a):
+        return out
+    words = np.array([len(x) // 8 for x in parity], np.int64)
+    least = np.minimum(words[a], words[b])
+    for width in np.unique(least).tolist():
+        pairs = np.flatnonzero(least == width)
+        used = np.unique(np.concatenate([a[pairs], b[pairs]]))
+        folded = np.empty((len(used), width), np.uint64)
+        for long in np.unique(words[used]).tolist():
+            those = np.flatnonzero(words[used] == long)
+            part = np.frombuffer(b"".join(parity[used[those]]), "<u8").reshape(-1, long)
+            while part.shape[1] > width:
+                half = part.shape[1] // 2
+                part = part[:, :half] ^ part[:, half:]
+            folded[those] = part
+        step = max(1, PAIRS // 2 // width)
+        for i in range(0, len(pairs), step):
+            now = pairs[i : i + step]
+            out[now] = bktree.distance(folded[np.searchsorted(used, a[now])], folded[np.searchsorted(used, b[now])])
+    return out
+
+
+def _common(docs: DataFrame, doc_id: str, text: str, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that stand in many of about ``SAMPLE`` texts, ascending, and in how many; at most ``COMMON``."""
+    every = max(1, docs.count() // SAMPLE)
+    texts = docs.select(F.col(f"`{doc_id}`"), F.col(f"`{text}`")).filter(F.pmod(F.xxhash64(F.col(f"`{text}`")), F.lit(every)) == 0).dropDuplicates([text])
+    some = shingled(texts, doc_id, text, width, sets=True)
+    some = materialise(some.select("size", "shingles"), "sample")
+    least = max(8, (some.agg(F.sum("size").cast("long")).first()[0] or 0) // COMMON + 1)
+    found = some.select(F.explode("shingles").alias("h")).groupBy("h").count().filter(F.col("count") >= least).toArrow()
+    h, n = (found.column(k).to_numpy() for k in range(2))
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+_MEETING = "key long, node long, size int, pos int, p int, x int"
+
+
+def _meeting(batches):
+    """Of rows sorted by key, those of keys that hold more than one root, with the number of their piece ``x`` of ``p``."""
+    for rows, first in _groups(batches, ("key",)):
+        n = np.diff(first)
+        many = np.repeat(np.minimum.reduceat(rows["root"], first[:-1]) < np.maximum.reduceat(rows["root"], first[:-1]), n)
+        p = np.repeat(-(-n // MEET), n)
+        x = (np.arange(len(p)) - np.repeat(first[:-1], n)) % p
+        columns = [rows["key"], rows["node"], rows["size"], rows["pos"], p.astype(np.int32), x.astype(np.int32)]
+        yield pa.RecordBatch.from_arrays([pa.array(c[many]) for c in columns], names=["key", "node", "size", "pos", "p", "x"])
+
+
+def _met(similarity: tuple[int, int], best: bool):
+    """Pairs of nodes of different roots that meet at a key and that no bound rules out: not their sizes, not what can follow the
+    first common shingle, not their parities. ``best``: of the pairs of two roots that are looked at in one go, the closest."""
+    p, q = similarity
+
+    def find(batches):
+        for rows, first in _groups(batches, ("key", "c0", "c1")):
+            n = np.diff(first)
+            size, after, root, x = rows["size"].astype(np.int64), (rows["size"] - rows["pos"]).astype(np.int64), rows["root"], rows["x"]
+            across = rows["c0"] != rows["c1"]
+            later = np.repeat(first[1:], n) - np.arange(first[-1]) - 1
+            total = np.cumsum(later)
+            i = 0
+            while i < len(later):
+                j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + PAIRS // 4, "right")))
+                a = np.repeat(np.arange(i, j), later[i:j])
+                b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(later[i:j]) - later[i:j], later[i:j])
+                i = j
+                fits = (root[a] != root[b]) & (~across[a] | (x[a] != x[b]))
+                fits &= q * np.minimum(size[a], size[b]) >= p * np.maximum(size[a], size[b])
+                fits &= (p + q) * np.minimum(after[a], after[b]) >= p * (size[a] + size[b])
+                a, b = a[fits], b[fits]
+                differ, both = _differing(rows["parity"], a, b), size[a] + size[b]
+                fits = (p + q) * differ <= (q - p) * both
+                a, b, far = a[fits], b[fits], (differ / both)[fits]
+                if best and len(a):
+                    low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+                    order = np.lexsort((far, high, low))
+                    new = np.ones(len(order), bool)
+                    new[1:] = (low[order][1:] != low[order][:-1]) | (high[order][1:] != high[order][:-1])
+                    a, b = a[order[new]], b[order[new]]
+                u, v = rows["node"][a], rows["node"][b]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["a", "b"])
+
+    return find
+
+
 def _key(doc_id: Column) -> Column:
     """A key that is never null."""
     return F.coalesce(F.concat(F.lit("k"), doc_id.cast("string")), F.lit("n"))
@@ -340,14 +469,36 @@ def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def similar(docs: DataFrame, marked: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: tuple[int, int] = (4, 5), width: int = 5, piece: int = PIECE, seed: int = 0) -> DataFrame:
-    """Links (a, b) between the nodes of ``marked`` (``shingled`` rows of ``docs``, a table) whose sets have at least that Jaccard
-    similarity: candidates by their fingerprints, held against the whole sets of one text of each node in question."""
+    """Links (a, b) between the nodes of ``marked`` (``shingled`` rows of ``docs`` of one ``similarity`` and order, a table) whose
+    sets have at least that Jaccard similarity; they connect all that any such links connect.
+
+    Candidates by fingerprints connect most of it. Then nodes of different components that share a shingle of their prefixes are
+    compared: first the closest pair of two components, then, of components still apart, every pair."""
     share = similarity[0] / similarity[1]
-    nodes = materialise(marked.groupBy("node").agg(*[F.any_value(c).alias(c) for c in ("fp0", "fp1", "size")]).filter("size > 0"), "nodes")
+    nodes = materialise(marked.groupBy("node").agg(*[F.any_value(c).alias(c) for c in ("fp0", "fp1", "size", "prefix", "parity")]).filter("size > 0"), "nodes")
     mean = 128 * unlike(share)
     radius = math.floor(mean + DEVIATIONS * math.sqrt(mean * (1 - unlike(share))))
     words = ["fp0", "fp1"]
     candidates = materialise(shard_links(nodes, words, sampled_keys([F.col(w) for w in words], nodes.count(), share, seed), radius, piece, similarity), "candidates")
+    links = materialise(_verified(docs, marked, candidates, doc_id, text, similarity, width), "verified")
+    roots = materialise(components(links), "roots")
+    rooted = lambda rows: rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    entries = rooted(nodes.select("node", "size", "prefix")).select("node", "root", "size", F.posexplode("prefix").alias("pos", "key"))
+    shared = materialise(entries.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_meeting, _MEETING), "meeting")
+    cell = ["key", "c0", "c1"]
+    for best in (True, False):
+        rows = rooted(shared.join(nodes.select("node", "parity"), "node")).withColumn("y", F.explode(F.expr("sequence(0, p - 1)")))
+        rows = rows.select("key", F.least("x", "y").alias("c0"), F.greatest("x", "y").alias("c1"), "node", "root", "size", "pos", "x", "parity")
+        pairs = rows.repartition(*cell).sortWithinPartitions(*cell, "node").mapInArrow(_met(similarity, best), "a long, b long")
+        met = materialise(pairs.distinct(), "met")
+        links = links.unionByName(materialise(_verified(docs, marked, met, doc_id, text, similarity, width), "verified"))
+        if best:
+            roots = materialise(components(links), "roots")
+    return links
+
+
+def _verified(docs: DataFrame, marked: DataFrame, candidates: DataFrame, doc_id: str, text: str, similarity: tuple[int, int], width: int) -> DataFrame:
+    """Those of the candidates (a table) whose whole sets, of one text of each node in question, are similar."""
     wanted = candidates.select(F.col("a").alias("node")).unionByName(candidates.select(F.col("b").alias("node"))).distinct()
     one = marked.join(wanted, "node", "left_semi").groupBy("node").agg(F.min(F.struct(_key(F.col("doc_id")).alias("key"), "body")).alias("o"))
     one = materialise(one.select(F.col("o.key").alias("__key"), F.col("o.body").alias("__body")), "wanted")
@@ -386,11 +537,10 @@ def drop_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", si
     """``docs`` with one row of each group of texts linked by a Jaccard similarity of at least ``similarity`` of their sets of
     ``width``-word shingles: the row of the smallest doc_id, null ids last; of several such rows, one.
 
-    Texts of one set, exact copies among them, are one node; texts without words are one too. No link is taken unverified. One
-    just at the similarity is a candidate with a chance of about ``CHANCE``, or over others of its group; closer ones nearly
-    always. Repeated rows are copies. Empty table: no rows. ``docs`` is read three times, so pass a table; the texts are shuffled
-    once, and those of candidates twice where they are more than a broadcast of their keys takes.
+    Texts of one set, exact copies among them, are one node; texts without words are one too. No link is taken unverified and none
+    is left out. Repeated rows are copies. Empty table: no rows. ``docs`` is read seven times, so pass a table; the texts are
+    shuffled once, and once more for each of three rounds of candidates that are more than a broadcast of their keys takes.
     """
-    marked = materialise(shingled(docs, doc_id, text, width), "shingled")
+    marked = materialise(shingled(docs, doc_id, text, width, similarity=similarity, common=_common(docs, doc_id, text, width)), "shingled")
     roots = materialise(components(similar(docs, marked, doc_id, text, similarity, width)), "roots")
     return _kept(docs, doc_id, text, marked.select("doc_id", "body", "node"), roots)
