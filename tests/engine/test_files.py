@@ -227,3 +227,17 @@ def test_notes_and_keys(spark, tmp_path):
     (tmp_path / "bad.ini").write_text("api_key = 1")
     with pytest.raises(RuntimeError):
         lines.read_key(str(tmp_path / "bad.ini"), "a", "b")
+
+
+def test_cut_never_broadcasts_the_recordings(spark):
+    """Spark takes bytes that are made on the way for a few; a broadcast of them went to the driver and failed."""
+    size = 200_000
+    waves = spark.range(12).select(F.col("id").alias("path"), F.repeat(F.unhex(F.lpad(F.hex(F.col("id") + 1), 2, "0")).cast("string"), size).cast("binary").alias("pcm"))
+    chunks = spark.range(4000).select((F.col("id") % 13).alias("path"), (F.col("id") * 7 % 90_000).alias("start_sample"), (F.col("id") * 7 % 90_000 + F.col("id") % 20_000).alias("end_sample"))
+    done = audio.cut(waves.repartition(3, "path"), chunks.repartition(3, "path"))
+    found = done.select("path", "start_sample", "end_sample", F.octet_length("pcm").alias("n"), F.hex(F.substring("pcm", -1, 1)).alias("last")).collect()
+    want = [(k % 13, k * 7 % 90_000, k * 7 % 90_000 + k % 20_000) for k in range(4000) if k % 13 < 12]
+    want = [(p, a, z, n, f"{p + 1:02X}" if n else "") for p, a, z in want for n in [max(0, min(2 * z, size) - min(2 * a, size))]]
+    assert sorted(map(tuple, found)) == sorted(want)
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" not in plan and "ShuffledHashJoin" in plan

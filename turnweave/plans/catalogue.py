@@ -221,8 +221,8 @@ def chunk_cut(spark, sf_dir):
     spans = user_spans(spark, sf_dir).select("user_id", (F.col("start_us") % _CLIPPED).alias("a"), ((F.col("end_us") - F.col("start_us")) % _CLIPPED).alias("d"))
     sample = lambda c: F.expr(f"({c}) * 2 div 125")
     chunks = spans.select("user_id", sample("a").alias("start_sample"), sample("a + d").alias("end_sample")).filter("end_sample > start_sample").distinct()
-    both = F.unhex(F.repeat(F.concat(*[F.repeat(F.substring(F.md5(F.col("user_id").cast("string").cast("binary")), 1 + 2 * k, 2), 2) for k in range(16)]), 16000))
-    waves = chunks.select("user_id").distinct().select("user_id", both.alias("pcm"))
+    both = F.concat(*[F.repeat(F.substring(F.md5(F.col("user_id").cast("string").cast("binary")), 1 + 2 * k, 2), 2) for k in range(16)])
+    waves = chunks.select("user_id").distinct().select("user_id", F.repeat(F.unhex(both).cast("string"), 16000).cast("binary").alias("pcm"))
     clipped = cut(waves, chunks.filter("start_sample < 256000"), "user_id")
     return clipped.select("user_id", "start_sample", "end_sample", F.octet_length("pcm").cast("long").alias("n_bytes"), F.hex(F.substring("pcm", 1, 1)).alias("first_byte"))
 

@@ -146,8 +146,11 @@ def kept_waveforms(files: DataFrame, table: str, rate: int = 16_000, decode: Dec
 
 
 def cut(waves: DataFrame, chunks: DataFrame, key: str = "path") -> DataFrame:
-    """Each chunk (``start_sample, end_sample``) with its bytes as ``pcm``. No Python: a chunk is a substring of the bytes."""
-    both = chunks.join(waves.select(key, F.col("pcm").alias("__pcm")), key)
+    """Each chunk (``start_sample, end_sample``) with its bytes as ``pcm``. No Python: a chunk is a substring of the bytes. The
+    chunks are what is hashed; recordings pass by one at a time, and are neither sorted nor broadcast, whatever size Spark takes
+    them for. Partitions keep their number: rows' sizes don't tell how much is cut from them, so they would be put together."""
+    dealt = chunks.repartition(int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    both = dealt.hint("shuffle_hash").join(waves.select(key, F.col("pcm").alias("__pcm")), key)
     first = (2 * F.col("start_sample") + 1).cast("int")
     size = (2 * (F.col("end_sample") - F.col("start_sample"))).cast("int")
     return both.withColumn("pcm", F.substring("__pcm", first, size)).drop("__pcm")
