@@ -4,6 +4,7 @@ import json
 import wave
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -241,3 +242,21 @@ def test_cut_never_broadcasts_the_recordings(spark):
     assert sorted(map(tuple, found)) == sorted(want)
     plan = done._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan and "SortMergeJoin" not in plan and "ShuffledHashJoin" in plan
+
+
+def test_punctuate_answers_in_parts_of_bounded_size(spark, monkeypatch):
+    """A batch of 10,000 rows had the labels of all its words in memory at once."""
+    texts = ["one  two three " * 1500, None, " ", "", "x"] * 40 + ["y " * 200_000]
+    frame = spark.createDataFrame(list(enumerate(texts)), "i int, text string").coalesce(1)
+    done = backends.punctuate(frame)
+    assert [r.text_punct for r in done.orderBy("i").collect()] == [t if not t or not t.strip() else ("O" + " ".join(t.split())[1:] if t[0] == "o" else t.strip()[0].upper() + t.rstrip()[1:]) + "." for t in texts]
+
+    held = []
+    monkeypatch.setattr(type(frame), "mapInArrow", lambda self, run, *a, f=type(frame).mapInArrow, **b: held.append(run) or f(self, run, *a, **b))
+    backends.punctuate(frame)
+    batch = pa.RecordBatch.from_pydict({"i": list(range(len(texts))), "text": texts, "__text": texts})
+    out = list(held[0](iter([batch])))
+    assert [i for b in out for i in b.column(0).to_pylist()] == batch.column(0).to_pylist()
+    assert all(b.num_rows == 1 or sum(len(t or "") for t in b.column(1).to_pylist()) <= 1 << 18 for b in out) and len(out) > 4
+    said = [x for b in out for x in b.column(2).to_pylist()]
+    assert [x and [[p["word"] for p in run] for run in x] for x in said] == [[t.split()] if t and t.strip() else None for t in texts]

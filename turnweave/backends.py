@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .functions.text import fix_spaces, marked
+from .functions.text import fix_spaces, in_parts, marked
 from .model import VadConfig
 from .operators.intervals import split_long
 from .session import ship
@@ -149,11 +149,10 @@ def punctuate(texts: DataFrame, make: Callable[[], Punctuator] = RulePunctuator,
     source = texts.select(*kept, F.col(text).alias("__text"))
     item = "array<array<struct<word:string,entity_group:string>>>"
     schema = source.select(*kept, F.lit(None).cast(item).alias("__labels")).schema
-    arrow = pa.list_(pa.list_(pa.struct([("word", pa.string()), ("entity_group", pa.string())])))
 
     def labels(backend, said: str):
         try:
-            return [[{"word": p.get("word"), "entity_group": p.get("entity_group")} for p in backend.label(said)]]
+            return [[(p.get("word"), p.get("entity_group")) for p in backend.label(said)]]
         except Exception:  # whatever the model fails on, a shorter text may do
             cut = half(said)
             left, right = said[:cut].rstrip(), said[cut:].lstrip()
@@ -162,11 +161,25 @@ def punctuate(texts: DataFrame, make: Callable[[], Punctuator] = RulePunctuator,
             parts = labels(backend, left), labels(backend, right)
             return None if None in parts else parts[0] + parts[1]
 
+    def column(backend, said: pa.Array) -> pa.Array:
+        words, groups, ends, tops = [], [], [0], []  # flat: an object for each label would take many times the text
+        for t in said:
+            t = (t.as_py() or "").strip()
+            found = labels(backend, t) if t else None
+            tops.append(None if found is None else len(ends) - 1)
+            for pairs in found or ():
+                words.extend(w for w, _ in pairs)
+                groups.extend(g for _, g in pairs)
+                ends.append(len(words))
+        pairs = pa.StructArray.from_arrays([pa.array(words, pa.string()), pa.array(groups, pa.string())], ["word", "entity_group"])
+        return pa.ListArray.from_arrays(pa.array([*tops, len(ends) - 1], pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs))
+
     def run(batches):
         backend = make()
         for batch in batches:
-            found = [labels(backend, t.as_py().strip()) if (t.as_py() or "").strip() else None for t in batch.column(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, arrow)], names=[*kept, "__labels"])
+            for start, n in in_parts(batch.column(batch.num_columns - 1)):
+                part = batch.slice(start, n)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], column(backend, part.column(part.num_columns - 1))], names=[*kept, "__labels"])
 
     token = lambda p: marked(F.trim(F.coalesce(p["word"], F.lit(""))), F.coalesce(F.nullif(p["entity_group"], F.lit("")), F.lit("LOWER_O")))
     parts: Column = F.transform("__labels", lambda run: fix_spaces(F.array_join(F.transform(run, token), " ")))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from unicodedata import normalize
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -54,6 +56,18 @@ def is_dense(text: Column, duration_us: Column, config: DedupConfig = DedupConfi
     return F.coalesce((F.length(text) > 0) & dense, F.lit(False))
 
 
+def in_parts(texts: pa.Array, most: int = 1 << 18) -> Iterator[tuple[int, int]]:
+    """Start and length of runs of ``texts`` of at most so many bytes, or of one text: a batch is bounded by its rows only."""
+    start = size = 0
+    for k, n in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+        if k > start and size + n > most:
+            yield start, k - start
+            start, size = k, 0
+        size += n
+    if start < len(texts):
+        yield start, len(texts) - start
+
+
 def nfkc(text: Column) -> Column:
     """Compatibility form, in Arrow batches; Spark has no function for it."""
 
