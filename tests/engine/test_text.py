@@ -3,6 +3,7 @@ import re
 import time
 import unicodedata
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from turnweave.backends import half
@@ -124,3 +125,24 @@ def test_norm_tokens_of_compatibility_characters(spark):
     frame = spark.createDataFrame([(t,) for t in texts], "t string").select("t", X.norm_tokens(F.col("t")).alias("w"))
     for r in frame.collect():
         assert r.w is None if r.t is None else r.w == plain_tokens(r.t)
+
+
+def test_norm_text_sends_only_texts_that_may_change_to_python(spark, monkeypatch):
+    """Spark called Python for every row, as it does for a call in any branch."""
+    stable = re.compile(X.STABLE)
+
+    def picky(form, text, of=unicodedata.normalize):
+        if stable.match(text):
+            raise AssertionError(f"sent to Python: {text}")
+        return of(form, text)
+
+    monkeypatch.setattr(X, "normalize", picky)
+    texts = [*ODD, "plain  text\n only", "ﬁ" * 300_000 + " x", "мир" * 100_000, "№ ½ é", "...", None] * 3
+    assert column(spark, texts, X.norm_text(F.col("v"))) == [t if t is None else " ".join(plain_tokens(t)) for t in texts]
+    assert column(spark, texts, X.norm_tokens(F.col("v"))) == [t if t is None else plain_tokens(t) for t in texts]
+
+
+def test_parts_of_a_batch():
+    texts = ["é" * 5, None, "", "a" * 50, "b", "c" * 9, None]
+    assert list(X.in_parts(pa.array(texts), 10)) == [(0, 3), (3, 1), (4, 3)]
+    assert list(X.in_parts(pa.array([], pa.string()))) == []

@@ -263,7 +263,7 @@ _STANDS_FOR = ", ".join(f"'{x}'" for x in _COMPATIBLE.values())
 def text_norm_tokens(spark, sf_dir):
     behind = F.get(F.array(*[F.lit(x) for x in _COMPATIBLE]), F.expr(f"CAST(doc_id div 10 % {len(_COMPATIBLE)} AS INT)"))
     text = F.concat(F.coalesce("text", F.lit("")), F.when(F.col("doc_id") % 10 == 0, F.concat(F.lit(" "), behind)).otherwise(""))
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(X.norm_tokens(text), " ").alias("tokens"))
+    return table(spark, sf_dir, "documents").select("doc_id", X.norm_text(text).alias("tokens"))
 
 
 @query()
